@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, packing, warc
+from . import exact_dedup, knn, near_dedup, packing, substring_dedup, warc
 from .tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +27,33 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of words that repeat across documents, and where each passage stays; documents without any have no row."""
+    found = substring_dedup.spans(substring_dedup.pieces(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), "n_words", "removed", F.col("keep_id").alias("keep_doc_id"), "n_pieces")
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE_SQL["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT u.y, reach.c FROM reach JOIN u ON u.x = reach.id),
+comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.sh) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN comp ON comp.id = s.doc_id
+"""
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", knn.quantised(F.col("embedding")).alias("v"))
     return knn.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -101,4 +128,4 @@ SELECT page_id, url_key, kind,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op7_exact_top_k, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_substring_dedup, op6_minhash_near_dedup, op7_exact_top_k, op10_warc)}
