@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn, near_dedup, packing, substring_dedup, warc
+from . import bpe, exact_dedup, html_text, knn, near_dedup, packing, substring_dedup, warc
 from .tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +33,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), "n_words", "removed", F.col("keep_id").alias("keep_doc_id"), "n_pieces")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return bpe.round_trip_digests(encoded, vocabulary).withColumnRenamed("id", "doc_id")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -75,6 +83,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
     """Captures as a crawler would have stored them: pages with odd ids were asked for conditionally and answered 304."""
     etag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
@@ -128,4 +140,4 @@ SELECT page_id, url_key, kind,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_substring_dedup, op6_minhash_near_dedup, op7_exact_top_k, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op10_warc)}
