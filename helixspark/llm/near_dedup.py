@@ -258,3 +258,12 @@ def near_groups(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc
     alone = slim_sig.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     rows = linked.select("id", "n_shingles", F.col("component").alias("component_id")).unionByName(alone)
     return rows.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, but for documents linked to one with a smaller id.
+
+    Only the ids that go are joined to the table, by a left anti join; rows with a null id stay.
+    """
+    gone = near_groups(docs, params, id_col, text_col).where("not kept").select(F.col("id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, knn, near_dedup, packing, substring_dedup, warc
+from . import bpe, exact_dedup, html_text, knn, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from .labelled import fold
 from .tables import table
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -87,6 +94,14 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
     """Captures as a crawler would have stored them: pages with odd ids were asked for conditionally and answered 304."""
     etag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
@@ -140,4 +155,4 @@ SELECT page_id, url_key, kind,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op9_toxicity, op10_warc)}
