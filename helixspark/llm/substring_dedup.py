@@ -62,8 +62,16 @@ def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) ->
     lows = np.where(whole, lows, U(0))
     padded = np.concatenate([np.zeros(spread - 1, dtype=np.uint64), lows, np.zeros(spread - 1, dtype=np.uint64)])
     chosen = _slide(padded, spread, False)[:n] == rolled
-    chosen[1:] &= rolled[1:] != rolled[:-1]  # a word repeated over and over gives one anchor
-    return np.flatnonzero(chosen)
+    at = np.flatnonzero(chosen)
+    # of equal shingles in one neighbourhood the first is the anchor, so that text that repeats itself has few
+    value, text = rolled[at], np.searchsorted(first, at, side="right")
+    fresh = np.ones(len(at), dtype=bool)
+    for lag in range(1, len(at)):
+        near = at[lag:] - at[:-lag] <= spread
+        if not near.any():
+            break
+        fresh[lag:] &= ~(near & (value[lag:] == value[:-lag]) & (text[lag:] == text[:-lag]))
+    return at[fresh]
 
 
 def window_hashes(hashed: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
