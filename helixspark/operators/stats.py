@@ -56,7 +56,8 @@ def permanova(pairs: DataFrame, groups: DataFrame, n_permutations: int = 999, va
     ``p = (1 + #{F* >= F}) / (1 + permutations)``.  ``simple``: sums of squared deviations of the squared distances from
     their mean over whole square blocks, diagonal included, and ``p = mean(F* >= F)``.  Statistics are null where a
     degree of freedom or a divisor is 0; ``simple`` needs 3 samples.  Permutations are rows: one shuffle deals all of
-    them out, labels are permuted by md5 order, and one aggregate gives all statistics.
+    them out, labels are permuted by md5 order, and one aggregate gives all statistics.  Statistics that differ by rounding
+    only (1e-9) count as equal, so p does not depend on the order of summation.
     """
     groups = groups.join(groups.groupBy("variable").agg(F.countDistinct("value").alias("__n")).where("__n >= 2").select("variable"), "variable", "left_semi")
     observed = permuted_statistics(pairs, groups.withColumn("perm", F.lit(0)), variant).drop("perm")
@@ -67,7 +68,7 @@ def permanova(pairs: DataFrame, groups: DataFrame, n_permutations: int = 999, va
     place = each.withColumn("k", F.row_number().over(Window.partitionBy("variable", "perm").orderBy(order, "sample"))).select("variable", "perm", "sample", "k")
     given = groups.withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy("sample"))).select("variable", "k", "value")
     shuffled = permuted_statistics(pairs, place.join(given, ["variable", "k"]).drop("k"), variant).select("variable", F.col("f_statistic").alias("f_star"))
-    counted = shuffled.join(observed.select("variable", "f_statistic"), "variable").groupBy("variable").agg(F.sum((F.col("f_star") >= F.col("f_statistic")).cast("long")).alias("hits"))
+    counted = shuffled.join(observed.select("variable", "f_statistic"), "variable").groupBy("variable").agg(F.sum((F.col("f_star") >= F.col("f_statistic") * (1 - 1e-9)).cast("long")).alias("hits"))
     hits = F.coalesce("hits", F.lit(0))
     p = (hits + 1) / (F.lit(n_permutations) + 1) if variant == "standard" else hits / F.lit(n_permutations)
     done = observed.join(counted, "variable", "left")

@@ -385,7 +385,7 @@ def _permanova(spark, sf_dir, variant):
 
 @query(
     BC + PERMUTED + ", x AS (SELECT variable, perm, s1 / nn AS sst, (SELECT sum(coalesce(g1, 0) / n) FROM sz LEFT JOIN inn USING (variable, perm, value) WHERE sz.variable = wh.variable AND sz.perm = wh.perm) AS ssw, nn, gg, nn - gg AS dfw FROM wh JOIN tot USING (variable, perm))"
-    + FINISH.format(p="(1 + (SELECT count(*) FROM f s WHERE s.variable = o.variable AND s.perm > 0 AND s.f >= o.f)) / 100")
+    + FINISH.format(p="(1 + (SELECT count(*) FROM f s WHERE s.variable = o.variable AND s.perm > 0 AND s.f >= o.f * (1 - 1e-9))) / 100")
 )
 def permanova_standard(spark, sf_dir):
     return _permanova(spark, sf_dir, "standard")
@@ -393,7 +393,7 @@ def permanova_standard(spark, sf_dir):
 
 @query(
     BC + PERMUTED + ", x AS (SELECT variable, perm, 2 * s2 - 4 * s1 * s1 / (nn * nn) AS sst, (SELECT sum(CASE WHEN n > 1 THEN 2 * coalesce(g2, 0) - 4 * coalesce(g1, 0) * coalesce(g1, 0) / (n * n) ELSE 0 END) FROM sz LEFT JOIN inn USING (variable, perm, value) WHERE sz.variable = wh.variable AND sz.perm = wh.perm) AS ssw, nn, gg, idf AS dfw FROM wh JOIN tot USING (variable, perm))"
-    + FINISH.format(p="(SELECT count(*) FROM f s WHERE s.variable = o.variable AND s.perm > 0 AND s.f >= o.f) / 99")
+    + FINISH.format(p="(SELECT count(*) FROM f s WHERE s.variable = o.variable AND s.perm > 0 AND s.f >= o.f * (1 - 1e-9)) / 99")
 )
 def permanova_simple(spark, sf_dir):
     return _permanova(spark, sf_dir, "simple")
