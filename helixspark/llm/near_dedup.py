@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from helixspark.operators.graph import connected_components
 from .grouped import edge_batches, forest, in_blocks, runs, sorted_groups
-from .scratch import keep
+from helixspark.plans.scratch import keep
 from .shingling import U, mix, text_sets
+from .sieve import bitmap, part, sift
 from .tables import slim
 
 BLOCK = 256  # members of a block; a group holds two
@@ -148,8 +149,9 @@ def signatures(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc_
 def candidate_forest(reps: DataFrame, params: MinHash) -> DataFrame:
     """Edges ``src, dst`` whose components hold every two classes that may be linked, from their band groups."""
     cells = reps.select("id", F.explode("bands").alias("band"))
-    groups = cells.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = cells.join(groups, "band").join(reps.select("id", "planes"), "id")
+    groups = keep(cells.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    # most bands have one member; only what may be in a group is moved again
+    members = sift(cells, bitmap(groups, "band"), "band").join(groups, "band").join(reps.select("id", "planes"), "id")
     dealt = in_blocks(members, "band", "id", F.col("n") / BLOCK).select("gid", "id", "planes")
     cut = params.cut()
 
@@ -215,7 +217,8 @@ def verified_forest(docs: DataFrame, clusters: DataFrame, params: MinHash, id_co
 
     texts = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     blocks = F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
-    wanted = texts.join(clusters.select("id", "cluster", blocks.alias("blocks")), "id")
+    # few texts are in a cluster; the others are not moved
+    wanted = sift(texts, bitmap(clusters, "id"), "id").join(clusters.select("id", "cluster", blocks.alias("blocks")), "id")
     with_sets = wanted.mapInArrow(sets, "id long, cluster long, blocks double, shingles array<long>").where("size(shingles) > 0")
     dealt = in_blocks(with_sets, "cluster", "id", F.col("blocks")).select("gid", "id", "shingles")
 
@@ -261,9 +264,10 @@ def near_groups(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc
 
 
 def drop_near_copies(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, but for documents linked to one with a smaller id.
+    """The rows, with all their columns, but for documents linked to one with a smaller id; rows with a null id stay.
 
-    Only the ids that go are joined to the table, by a left anti join; rows with a null id stay.
+    Only rows that may have to go are moved, for a left anti join with the ids that go.
     """
-    gone = near_groups(docs, params, id_col, text_col).where("not kept").select(F.col("id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left_anti")
+    gone = keep(near_groups(docs, params, id_col, text_col).where("not kept").select(F.col("id").alias("__id")).distinct(), "gone")
+    maybe, stay = part(docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")), bitmap(gone, "__id"), "__id")
+    return stay.unionByName(maybe.join(gone, "__id", "left_anti")).select(*[f"`{c}`" for c in docs.columns])

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .near_dedup import MinHash, near_groups
 from .packing import WORD
-from .scratch import keep
+from helixspark.plans.scratch import keep
 from .shingling import _PLACE, U, _powers, mix, text_chunks, words
+from .sieve import bitmap, part, sift
 from .tables import slim
 
 PARAGRAPH_HASH = MinHash(rows=3, bands=10, bits=4)
@@ -125,11 +126,12 @@ def pieces(
     rows = texts(docs, id_col, text_col)
     wins = windows(rows, window, spread)
     shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
-    verbatim = wins.join(shared, ["k", "c"]).select("id", "th", "start", F.lit(window).alias("n_words"), "keep_id")
+    shared = keep(shared.select("k", "c", "keep_id"), "shared")
+    verbatim = sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", F.lit(window).alias("n_words"), "keep_id")
     paras = paragraphs(rows, min_paragraph)
     grouped = near_groups(paras.select("pid", "text"), params, "pid", "text").select("id", "component_id")
     near = keep(grouped.join(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
-    placed = keep(paras.select("pid", "id", "th", "start", "n_words").join(near, "pid"), "placed")
+    placed = keep(sift(paras.select("pid", "id", "th", "start", "n_words"), bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
     owners = placed.groupBy("component_id").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
     whole = placed.join(owners, "component_id").select("id", "th", "start", "n_words", "keep_id")
     return verbatim.unionByName(whole)
@@ -150,40 +152,42 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
-    """The table with every removed span cut out of its text; all columns stay, and ``chars_col`` follows the text.
+    """The table with every removed span cut out of its text; all columns stay, and ``chars_col`` follows a text that is cut.
 
     A text loses its words from the first to the last of a span and the white space behind them.  A text with nothing
     left but white space goes, if something was cut from it.
     """
-    cuts = (
+    cuts = keep(
         spans(pieces(docs, id_col, text_col, **options)).where("removed").groupBy("id", "th")
         .agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
-        .select(F.col("id").alias("__cut_id"), F.col("th").alias("__cut_th"), F.col("spans.start").alias("__cut_at"), F.col("spans.n_words").alias("__cut_n"))
+        .select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans.start").alias("__at"), F.col("spans.n_words").alias("__n")), "cuts",
     )
     columns = docs.columns
     text_at = columns.index(text_col)
-    on = (docs[id_col].cast("long") == F.col("__cut_id")) & (F.xxhash64(docs[text_col]) == F.col("__cut_th"))
-    joined = docs.join(cuts, on, "left").drop("__cut_id", "__cut_th")
+    chars_at = columns.index(chars_col) if chars_col in columns else None
+    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__th": F.xxhash64(F.col(f"`{text_col}`"))})
+    maybe, whole = part(keyed, bitmap(cuts, "__id", "__th"), "__id", "__th")
+    joined = maybe.join(cuts, ["__id", "__th"], "left").select(*[f"`{c}`" for c in columns], "__at", "__n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, n = batch.column(len(columns)), batch.column(len(columns) + 1)
             text = batch.column(text_at).to_pylist() if at.null_count < len(at) else None
             keep_row = np.ones(len(batch), dtype=bool)
+            cols = [batch.column(j) for j in range(len(columns))]
             if text is not None:
+                chars = None if chars_at is None else cols[chars_at].to_pylist()
                 for i in np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)):
                     text[i] = cut_words(text[i], at[i].as_py(), n[i].as_py())
                     keep_row[i] = bool(text[i].strip(" \t\n\v\f\r"))
-            cols = [batch.column(j) for j in range(len(columns))]
-            if text is not None:
+                    if chars is not None and chars[i] is not None:
+                        chars[i] = len(text[i])
                 cols[text_at] = pa.array(text, type=cols[text_at].type)
+                if chars is not None:
+                    cols[chars_at] = pa.array(chars, type=cols[chars_at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(j) for j in range(len(columns))])).filter(pa.array(keep_row))
 
-    out = joined.mapInArrow(run, docs.schema)
-    if chars_col in columns:
-        changed = F.when(F.col(text_col).isNotNull() & F.col(chars_col).isNotNull(), F.length(text_col)).otherwise(F.col(chars_col))
-        out = out.withColumn(chars_col, changed.cast(docs.schema[chars_col].dataType))
-    return out
+    return whole.select(*[f"`{c}`" for c in columns]).unionByName(joined.mapInArrow(run, docs.schema))
 
 
 def cut_words(text: str, starts: list[int], counts: list[int]) -> str:
