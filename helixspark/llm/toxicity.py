@@ -149,13 +149,21 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for a, b, x, r in zip(first, end, left, right, strict=True)]
 
 
-def evidence(score: np.ndarray, lam: float) -> tuple[float, float, float, list[tuple[int, int, float]]]:
-    """(best normalised segment, sum over significant ones, their number, the significant ones)."""
-    floor = np.log(max(2, len(score)))
-    found = [(a, b, lam * s - floor) for a, b, s in segments(score)]
+N_EVIDENCE = 6
+
+
+def evidence(gain: np.ndarray, drift: float, lam: float) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """(evidence of a text, its significant segments with their normalised scores).
+
+    The evidence is the best normalised segment, the sum over the significant ones and their number, then the number
+    and summed log-odds of the distinct counting tokens, and the text's length.  Tokens are told apart by their weights.
+    """
+    floor = np.log(max(2, len(gain)))
+    found = [(a, b, lam * s - floor) for a, b, s in segments(gain - drift)]
     good = [x for x in found if x[2] > 0]
     best = max((x[2] for x in found), default=-floor)
-    return best, float(np.log1p(sum(x[2] for x in good))), float(np.log1p(len(good))), good
+    kinds = np.unique(gain[gain > 0])
+    return [best, float(np.log1p(sum(x[2] for x in good))), float(np.log1p(len(good))), float(np.log1p(len(kinds))), float(np.log1p(kinds.sum())), float(floor)], good
 
 
 def solve_lambda(gain: np.ndarray, drift: float) -> float:
@@ -181,8 +189,8 @@ class ToxicityModel:
     def judge(self, gain: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
         if self.constant is not None:
             return self.constant, []
-        best, summed, number, good = evidence(gain - self.weights.drift, self.weights.lam)
-        return float(sigmoid(np.array([best, summed, number, 1.0]) @ self.layer)), good
+        found, good = evidence(gain, self.weights.drift, self.weights.lam)
+        return float(sigmoid(np.array([*found, 1.0]) @ self.layer)), good
 
 
 TOKENS = "part int, y int, kind int, token long, n long"
@@ -265,15 +273,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
             for a, b, data, offsets in text_chunks(batch.column("text")):
                 tokens, _, _, first = token_hashes(data, offsets)
                 both = [w.gains(tokens) for w in crossed]
-                rows += [evidence(both[part[a + i]][first[i] : first[i + 1]] - drift, lam)[:3] for i in range(b - a)]
-            cols = [batch.column("id"), batch.column("y"), *[pa.array([float(r[j]) for r in rows], pa.float64()) for j in range(3)]]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "y", "best", "summed", "number"])
+                rows += [evidence(both[part[a + i]][first[i] : first[i + 1]], drift, lam)[0] for i in range(b - a)]
+            cols = [batch.column("id"), batch.column("y"), *[pa.array([r[j] for r in rows], pa.float64()) for j in range(N_EVIDENCE)]]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "y", *columns])
 
-    table = sample.mapInArrow(weighed, "id long, y int, best double, summed double, number double").toArrow()
+    columns = [f"x{j}" for j in range(N_EVIDENCE)]
+    table = sample.mapInArrow(weighed, "id long, y int, " + ", ".join(f"{c} double" for c in columns)).toArrow()
     y = table["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(whole, np.zeros(4), 0.5 if not len(y) else float((y.sum() + 0.5) / (len(y) + 1)))
-    x = np.column_stack([table[c].to_numpy() for c in ("best", "summed", "number")])
+        return ToxicityModel(whole, np.zeros(N_EVIDENCE + 1), 0.5 if not len(y) else float((y.sum() + 0.5) / (len(y) + 1)))
+    x = np.column_stack([table[c].to_numpy() for c in columns])
     return ToxicityModel(whole, logistic(x, y))
 
 
