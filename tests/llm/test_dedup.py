@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from helixspark.llm import components, exact_dedup, near_dedup, queries, shingling, substring_dedup
+from helixspark.llm import exact_dedup, near_dedup, queries, shingling, substring_dedup
 from helixspark.llm.near_dedup import MinHash
+from helixspark.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, keep_id int, text_sha256 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,9 +166,9 @@ def test_estimate_is_near_the_similarity():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (101, 100)]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
-    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 # ---- passages
