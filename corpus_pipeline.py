@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import exact_dedup, near_dedup, packing, quality, scratch, substring_dedup
+from helixspark.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
 from helixspark.llm.tables import table
+from helixspark.plans import scratch
 
 MIN_QUALITY = 0.3
 

@@ -130,6 +130,32 @@ def packed_windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return np.minimum(forward, backward), read[at]
 
 
+def _bytes(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column; null is empty."""
+    seqs = seqs.cast(pa.large_binary())
+    if not len(seqs) or seqs.buffers()[2] is None:
+        return np.empty(0, dtype=np.uint8), np.zeros(len(seqs) + 1, dtype=np.int64)
+    ends = np.frombuffer(seqs.buffers()[1], dtype=np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    return np.frombuffer(seqs.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def packed_sets(reads: DataFrame, k: int, keys: list[str], seq_col: str = "seq") -> DataFrame:
+    """``keys, kmer (packed long)``: the distinct k-mers of each read."""
+    check_k(k, packed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmer, read = packed_windows(*_bytes(batch.column(len(keys))), k)
+            order = np.lexsort((kmer, read))
+            kmer, read = kmer[order], read[order]
+            new = np.r_[True, (kmer[1:] != kmer[:-1]) | (read[1:] != read[:-1])] if len(kmer) else np.empty(0, dtype=bool)
+            rows = pa.array(read[new])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(keys))], pa.array(kmer[new].view(np.int64))], [*keys, "kmer"])
+
+    kinds = dict(reads.dtypes)
+    return reads.select(*keys, seq_col).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "kmer long"]))
+
+
 def packed_counts(reads: DataFrame, k: int, by: str = "sample", seq_col: str = "seq") -> DataFrame:
     """``by, kmer (packed long), cnt``: counts of each batch of reads; groups recur and are to be summed.
 
@@ -142,10 +168,7 @@ def packed_counts(reads: DataFrame, k: int, by: str = "sample", seq_col: str = "
         for batch in batches:
             groups = batch.column(0).dictionary_encode()
             owner = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            seqs = batch.column(1).cast(pa.large_binary())
-            ends = np.frombuffer(seqs.buffers()[1], dtype=np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, dtype=np.int64)
-            data = np.frombuffer(seqs.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if len(seqs) and seqs.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
-            kmer, read = packed_windows(data, ends - ends[0], k)
+            kmer, read = packed_windows(*_bytes(batch.column(1)), k)
             if not len(kmer):
                 continue
             group = owner[read]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.functions.kmers import kmers_of
+from helixspark.functions.kmers import MAX_PACKED, kmers_of, pack, packed_sets
 
 
 def trim_poly_g(reads: DataFrame, least: int = 10) -> DataFrame:
@@ -43,10 +43,22 @@ def clean_reads(reads: DataFrame, min_length: int = 50, quick: bool = False, ded
 
 
 def host_fraction(reads: DataFrame, host_kmers: DataFrame, k: int = 21) -> DataFrame:
-    """``sample, file, read_no, host_share``: the share of each read's distinct k-mers found among ``host_kmers (kmer)``."""
-    each = reads.select("sample", "file", "read_no", F.explode(F.array_distinct(kmers_of(F.col("seq"), k))).alias("kmer"))
-    marked = each.join(host_kmers.select("kmer", F.lit(1).alias("host")).distinct(), "kmer", "left")
-    return marked.groupBy("sample", "file", "read_no").agg((F.sum(F.coalesce("host", F.lit(0))) / F.count("*")).alias("host_share"))
+    """``sample, file, read_no, host_share``: the share of each read's distinct k-mers found among ``host_kmers (kmer)``.
+
+    Host k-mers are strings or packed longs; up to k = 31 the comparison is of longs.  Both sides are counted, so only
+    k-mers that are the host's are carried through the join.
+    """
+    keys = ["sample", "file", "read_no"]
+    if k <= MAX_PACKED:
+        each = packed_sets(reads, k, keys)
+        host = host_kmers if dict(host_kmers.dtypes)["kmer"] == "bigint" else host_kmers.select(pack(F.col("kmer"), k).alias("kmer"))
+    else:
+        each, host = reads.select(*keys, F.explode(F.array_distinct(kmers_of(F.col("seq"), k))).alias("kmer")), host_kmers
+    all_of = each.groupBy(*keys).agg(F.count("*").alias("n"))
+    shared = each.join(host.select("kmer").distinct(), "kmer", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_host"))
+    on = [all_of[c].eqNullSafe(shared[c]) for c in keys]
+    joined = all_of.join(shared, on[0] & on[1] & on[2], "left")
+    return joined.select(*[all_of[c] for c in keys], (F.coalesce("n_host", F.lit(0)) / F.col("n")).alias("host_share"))
 
 
 def remove_host(reads: DataFrame, host_kmers: DataFrame, k: int = 21, max_share: float = 0.5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from helixspark.functions import kmers, scalars
 from helixspark.operators import graph, lsh, matrix, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
+from helixspark.plans.scratch import keep
 from helixspark.sources import fastq, metadata, results
 
 K = 11
@@ -152,7 +153,7 @@ def vocabulary(spark, sf_dir):
 SELECT sample, kmer, cnt, total FROM prof, n WHERE n.n <= 50 OR kmer IN (SELECT kmer FROM c) OR NOT EXISTS (SELECT 1 FROM c)"""
 )
 def common_kmer_profile(spark, sf_dir):
-    return profiles.with_strings(profiles.common_only(prof(spark, sf_dir)), K)
+    return profiles.with_strings(profiles.common_only(keep(prof(spark, sf_dir), "profile")), K)
 
 
 @query(PROFILE + " SELECT sample, max(total) AS total, count(*) AS n_kmers FROM prof GROUP BY sample")
@@ -572,7 +573,7 @@ h AS (SELECT DISTINCT kmer FROM w WHERE doc_id % 10 = 0) SELECT doc_id AS read_n
 def host_share(spark, sf_dir):
     """Reads against a host made of every tenth read."""
     r = reads(spark, sf_dir)
-    host = kmers.explode_kmers(r.where("read_no % 10 = 0").select("seq"), K).distinct()
+    host = kmers.packed_sets(r.where("read_no % 10 = 0"), K, ["read_no"]).select("kmer").distinct()
     return preprocess.host_fraction(r, host, K).select("read_no", r6("host_share").alias("host_share"))
 
 
