@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +80,7 @@ def rationale(overall: DataFrame, groups: DataFrame, ranked: DataFrame | None =
 
 def run(spark: SparkSession, folder: str, out: str, config: Config | None = None, metadata_path: str | None = None) -> dict[str, DataFrame]:
     """From a folder of FASTQ files to results in ``out``; returns the tables."""
-    config = (config or Config()).checked()
+    config, began = (config or Config()).checked(), time.monotonic()
     if not fastq.has_fastq(spark, folder):
         raise ValueError(f"no FASTQ files in {folder}")
     found = fastq.find_samples(fastq.list_files(spark, folder))
@@ -96,4 +97,6 @@ def run(spark: SparkSession, folder: str, out: str, config: Config | None = None
     overall, groups, commands = run_phase3(spark, one, config, meta, ranked)
     reasons, summary = rationale(overall, groups, ranked)
     results.save_recommendations(spark, overall, groups, commands, reasons, summary, f"{out}/assembly_recommendations")
-    return tables | {"overall": overall, "groups": groups, "commands": commands}
+    tables |= {"overall": overall, "groups": groups, "commands": commands}
+    results.run_summary(spark, f"{out}/run_summary.json", config.to_dict(), tables, time.monotonic() - began)
+    return tables

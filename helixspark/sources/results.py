@@ -87,6 +87,24 @@ def save_recommendations(spark: SparkSession, overall: DataFrame, groups: DataFr
         write_text(spark, f"{folder}/run_{tool}_assemblies.sh", "\n".join(["#!/bin/bash", "set -e", "", *own, ""]), executable=True)
 
 
+def write_fastq(reads: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """Reads ``sample, header, seq, qual`` as FASTQ text, one sub-folder per sample; records stay whole lines together."""
+    record = F.concat_ws("\n", "header", "seq", F.lit("+"), "qual")
+    reads.select("sample", record.alias("value")).write.mode("overwrite").partitionBy("sample").option("compression", compression).text(folder)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """``sample, r1, r2`` as tab-separated text without header."""
+    one_csv(manifest.select("sample", "r1", "r2").orderBy("sample"), path, sep="\t", header=False)
+
+
+def run_summary(spark: SparkSession, path: str, settings: dict, tables: dict[str, DataFrame], seconds: float) -> dict:
+    """Settings, row counts of the result tables and the time taken, as JSON."""
+    out = {"settings": settings, "rows": {name: df.count() for name, df in sorted(tables.items())}, "seconds": round(seconds, 3), "complete": True}
+    write_text(spark, path, json.dumps(out, indent=2))
+    return out
+
+
 def variable_report(results: DataFrame, scores: DataFrame | None = None) -> str:
     """Markdown: the ten best variables with significance codes, the significant ones, cluster counts and scores."""
     rows = results.orderBy(F.col("r_squared").desc_nulls_last(), "variable").limit(10).collect()

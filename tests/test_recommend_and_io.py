@@ -265,3 +265,36 @@ def test_command_line(tmp_path):
     c = cli.settings(args)
     assert (c.profile.k, c.similarity.metric, c.grouping.tools, c.statistics.permutations) == (11, "jaccard", ("megahit",), 99)
     assert cli.main([str(tmp_path), "-k", "40"]) == 1
+
+
+def test_preprocessing_run(spark, folder, tmp_path):
+    from helixspark.plans import preprocessing
+
+    host = tmp_path / "host.fa"
+    host.write_text(">h1\nGGAATTCCGG\nAATTCCGGAA\n>h2\nACGTA\n")
+    assert preprocessing.fasta_kmers(spark, str(host), 11).count() > 0
+    summary, made = preprocessing.run(spark, folder, str(tmp_path / "out"), min_length=11, host=str(host), k=11)
+    assert {r["sample"]: r["failed"] for r in summary.collect()} == {"sample001": False, "sample002": False, "sample003": True, "sample004": False}
+    assert {r["sample"]: r["r2"] for r in made.collect()} == {"sample001": "NA", "sample002": "NA", "sample004": "NA"}
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "reads" / "sample=sample004")).collect()]
+    assert lines == ["@r0", "ACGTACGTACGT", "+", "I" * 12]
+
+
+def test_synthetic(spark):
+    from helixspark.sources import synthetic
+
+    reads = synthetic.reads(spark, 6, 30, 60, 2, 300)
+    assert reads.count() == 180 and reads.where("length(seq) = 60 and seq rlike '^[ACGT]+$' and length(qual) = 60").count() == 180
+    assert sorted(map(tuple, reads.collect())) == sorted(map(tuple, synthetic.reads(spark, 6, 30, 60, 2, 300).repartition(3).collect()))
+    one = phases.run_phase1(reads, config.Config().updated(k=15))
+    near = {(r["sample_a"], r["sample_b"]) for r in one.pairs.orderBy("distance").limit(6).collect()}
+    assert all((int(a[-3:]) - int(b[-3:])) % 2 == 0 for a, b in near)
+    meta = synthetic.metadata(spark, 6, 2)
+    assert meta.count() == 6 and len(meta.columns) == 10
+
+
+def test_entry():
+    import __spark_entry__ as entry
+
+    names, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(names) and "similar_pairs" in sql and len(names) >= 60
