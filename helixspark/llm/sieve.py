@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 24
+BITS = 22
 
 
 def bitmap(keys: DataFrame, *columns: str, bits: int = BITS) -> DataFrame:
