@@ -48,7 +48,7 @@ NOT_TEXT_ROLE = frozenset("navigation banner contentinfo complementary search fo
 NOT_TEXT_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?"
     r"|sidebars?|side|aside|footer|foot|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login"
-    r"|comments?|commentlist|comment-list|replies|reply|respond|disqus|responses|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|skip-link)(?:$|[\s_-]|\d)",
+    r"|comments?|commentlist|comment-list|replies|reply|respond|disqus|responses|share|sharing|social|related|recommended|recommendations|pagination|pager|skip|copyright|legal|disclaimer|privacy|paywall)(?:$|[\s_-]|\d)",
     re.I,
 )
 #: Names of layouts, such as ``has-sidebar``, say nothing about what an element holds.
