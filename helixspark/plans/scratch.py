@@ -7,6 +7,7 @@ a folder of our own is used.  What is written here outlives a lost executor, so
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -57,8 +58,10 @@ def clean() -> None:
         item = _WRITTEN.pop()
         try:
             _remove(*item)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
+        except Exception:  # the session has ended: the shared folder's owner clears it
+            _WRITTEN.clear()
+    while _OWN:
+        shutil.rmtree(_OWN.popitem()[1].removeprefix("file://"), ignore_errors=True)
 
 
 atexit.register(clean)
