@@ -53,6 +53,9 @@ NOT_TEXT_NAME = re.compile(
 )
 #: Names of layouts, such as ``has-sidebar``, say nothing about what an element holds.
 LAYOUT_NAME = re.compile(r"(?:^|[\s_-])(?:has|with|without|no|hide)[_-][\w-]*", re.I)
+#: A page's own header by name; the headers of articles, posts and sections are theirs.
+HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|hdr)(?:$|[\s_-]|\d)", re.I)
+OWN_HEADER_NAME = re.compile(r"(?:article|post|entry|content|story|section|text|main|news|blog)[_-]header", re.I)
 NOT_TEXT_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -60,12 +63,13 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("by_name", "children", "chars", "density", "gone", "link_chars", "link_tags", "named_article", "parent", "sums", "tag", "tags")
+    __slots__ = ("by_name", "children", "chars", "density", "gone", "link_chars", "link_tags", "named_article", "page_header", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.gone = self.by_name = self.named_article = False
+        self.page_header = tag == "header"
 
 
 def _judge(node: Node, attributes: str) -> None:
@@ -79,8 +83,12 @@ def _judge(node: Node, attributes: str) -> None:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                if tag not in ("body", "html", "article", "main") and NOT_TEXT_NAME.search(LAYOUT_NAME.sub(" ", NOT_TEXT_CAMEL.sub("-", value))):
-                    node.gone = node.by_name = True
+                if tag not in ("body", "html", "article", "main"):
+                    value = LAYOUT_NAME.sub(" ", NOT_TEXT_CAMEL.sub("-", value))
+                    if NOT_TEXT_NAME.search(value):
+                        node.gone = node.by_name = True
+                    if tag in ("div", "section", "table", "td", "ul") and HEADER_NAME.search(OWN_HEADER_NAME.sub(" ", value)):
+                        node.page_header = True
             elif name == "role":
                 node.gone |= value.lower() in NOT_TEXT_ROLE
                 node.named_article |= value.lower() == "main"
@@ -162,7 +170,7 @@ def _in_order(root: Node) -> list[Node]:
         within = inside[id(node)] or node.named_article
         for child in node.children:
             if isinstance(child, Node):
-                if child.tag == "header" and not within:
+                if child.page_header and not within and not _holds_article(child):
                     child.gone = True
                 if not child.gone:
                     inside[id(child)] = within
@@ -170,6 +178,16 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _holds_article(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.named_article:
+            return True
+        todo += [c for c in x.children if isinstance(c, Node)]
+    return False
+
+
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0

@@ -79,6 +79,10 @@ def test_bpe_query(spark, tiktoken_encoding):
         ("<body><header>Site</header><div class='article-body'><p>Words of the text.</p><p>Sh.</p></div><div class='comments'><p>" + "nice " * 40 + "</p></div></body>", "Words of the text.\nSh."),
         ("<body><div id=cookieNotice>We use cookies</div><main><p>A text.</p><form><p>Mail</p><input></form></main><aside><p>Side text that is long.</p></aside></body>", "A text."),
         ("<body><div class='layout has-sidebar'><article><p>Kept here.</p></article><div class=sidebar>No</div></div></body>", "Kept here."),
+        ("<body><div class=header>Site name</div><div class='post-header'><h1 class=header>T</h1></div><p>Text that goes on.</p></body>", "T\nText that goes on."),
+        ("<body><div id='siteHeader'><p>Site</p></div><article><div class=header><h1>T</h1></div><p>Text.</p></article></body>", "T\nText."),
+        ("<body><div class='header'><main><p>All in here.</p></main></div></body>", "All in here."),
+        ("<body><ol class='commentlist'><li>hi</li></ol><div><p>Main words here.</p><div class='comment-12'>c</div></div></body>", "Main words here."),
         ("<body><div hidden><p>No</p></div><div><p>Yes it is</p></div></body>", "Yes it is"),
     ],
 )
