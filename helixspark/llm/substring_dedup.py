@@ -47,8 +47,8 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) -> np.ndarray:
-    """Word positions at which a window is taken."""
+def every_anchor(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) -> np.ndarray:
+    """Word positions at which a window is taken; of equal shingles in one neighbourhood all are."""
     n = len(hashed) - 4
     if n < window + spread:
         return np.empty(0, dtype=np.int64)
@@ -62,17 +62,7 @@ def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) ->
     whole = np.arange(len(lows)) + window + spread - 1 <= ends[: len(lows)]
     lows = np.where(whole, lows, U(0))
     padded = np.concatenate([np.zeros(spread - 1, dtype=np.uint64), lows, np.zeros(spread - 1, dtype=np.uint64)])
-    chosen = _slide(padded, spread, False)[:n] == rolled
-    at = np.flatnonzero(chosen)
-    # of equal shingles in one neighbourhood the first is the anchor, so that text that repeats itself has few
-    value, text = rolled[at], np.searchsorted(first, at, side="right")
-    fresh = np.ones(len(at), dtype=bool)
-    for lag in range(1, len(at)):
-        near = at[lag:] - at[:-lag] <= spread
-        if not near.any():
-            break
-        fresh[lag:] &= ~(near & (value[lag:] == value[:-lag]) & (text[lag:] == text[:-lag]))
-    return at[fresh]
+    return np.flatnonzero(_slide(padded, spread, False)[:n] == rolled)
 
 
 def window_hashes(hashed: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,23 +75,47 @@ def window_hashes(hashed: np.ndarray, at: np.ndarray, window: int) -> tuple[np.n
     return out[0], (out[1] >> U(32)).astype(np.uint32)
 
 
+def chains(at: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first window, words) of each chain: equal windows of a text that overlap or touch.
+
+    Together they cover the words from the first to the last, so a text that repeats itself has few chains and loses no
+    position.
+    """
+    by = np.lexsort((at, c, k, row))
+    at, row, k, c = at[by], row[by], k[by], c[by]
+    head = np.ones(len(at), dtype=bool)
+    head[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (at[1:] - at[:-1] > window)
+    start = np.flatnonzero(head)
+    last = np.append(start[1:], len(at)) - 1
+    return by[start], at[last] - at[start] + window
+
+
+def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) -> np.ndarray:
+    """Word positions of the first window of each chain."""
+    at = every_anchor(hashed, first, window, spread)
+    head, _ = chains(at, np.searchsorted(first, at, side="right"), *window_hashes(hashed, at, window), window)
+    return np.sort(at[head])
+
+
 def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
-    """``id, th, start, k, c``: the windows of ``id, th, text``."""
+    """``id, th, start, n_words, k, c``: the chains of equal windows of ``id, th, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             for a, b, data, offsets in text_chunks(batch.column("text")):
                 hashed, _, first = words(data, offsets)
-                at = anchors(hashed, first, window, spread)
+                at = every_anchor(hashed, first, window, spread)
                 if not len(at):
                     continue
                 k, c = window_hashes(hashed, at, window)
                 row = np.searchsorted(first, at, side="right") - 1
-                cols = [ids[a:b][row], th[a:b][row], (at - first[row]).astype(np.int32), k.view(np.int64), c.view(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "th", "start", "k", "c"])
+                head, n = chains(at, row, k, c, window)
+                at, row = at[head], row[head]
+                cols = [ids[a:b][row], th[a:b][row], (at - first[row]).astype(np.int32), n.astype(np.int32), k[head].view(np.int64), c[head].view(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "th", "start", "n_words", "k", "c"])
 
-    return docs.mapInArrow(run, "id long, th long, start int, k long, c int")
+    return docs.mapInArrow(run, "id long, th long, start int, n_words int, k long, c int")
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +141,7 @@ def pieces(
     wins = windows(rows, window, spread)
     shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
     shared = keep(shared.select("k", "c", "keep_id"), "shared")
-    verbatim = sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", F.lit(window).alias("n_words"), "keep_id")
+    verbatim = sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", "n_words", "keep_id")
     paras = paragraphs(rows, min_paragraph)
     grouped = near_groups(paras.select("pid", "text"), params, "pid", "text").select("id", "component_id")
     near = keep(grouped.join(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")

@@ -227,6 +227,33 @@ def test_repeated_words_have_few_anchors():
     assert len(substring_dedup.anchors(hashed, first, 26, 25)) <= 2
 
 
+def test_repeated_phrases_are_found_whole(spark):
+    """Pairs of texts share a phrase said again and again, of every kind of period."""
+    rng = random.Random(12)
+    texts = []
+    for period in (1, 2, 3, 6, 7, 12, 25, 26, 30):
+        passage = " ".join(([f"w{period}x{i}" for i in range(period)] * 480)[:480])
+        texts += [prose(rng, 40) + " " + passage + " " + prose(rng, 60), prose(rng, 70) + " " + passage + " " + prose(rng, 30)]
+    found = dict.fromkeys(range(1, len(texts), 2), 0)
+    for r in substring_dedup.spans(substring_dedup.pieces(table(spark, texts))).where("removed").collect():
+        found[r["id"]] += min(r["start"] + r["n_words"], 550) - max(r["start"], 70)
+    assert min(found.values()) >= 480 - 2 * 25
+
+
+def test_equal_text_before_a_passage_drops_no_anchor():
+    import numpy as np
+
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    own = []
+    for before in ("", " ".join(passage.split(" ")[:20]) + " "):
+        data = np.frombuffer((before + passage).encode(), dtype=np.uint8)
+        hashed, _, first = shingling.words(data, np.array([0, len(data)]))
+        skip = len(words(before))
+        own.append([x - skip for x in substring_dedup.every_anchor(hashed, first, 26, 25) if x >= skip])
+    assert set(own[0]) <= set(own[1])
+
+
 def test_queries_run(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/documents.parquet").count()
