@@ -8,9 +8,11 @@ Two kinds of passage are looked for, and one occurrence of each, in the document
 * Verbatim passages that start and end anywhere in a line.  A window of ``window`` words is taken at every anchor, an
   anchor being the word position with the smallest shingle hash among ``spread`` neighbours.  Anchors depend only on
   the words around them, so any passage of ``window + spread`` words or more holds at least one window, the same one
-  in every document, wherever the passage was inserted.  Equal windows are a cluster; overlapping ones join to a span.
+  in every document, wherever the passage was inserted.  Equal windows are a cluster.  Where the words around a
+  cluster's windows differ, a passage ends: there every window within ``spread`` words of the anchors is
+  compared as well, so a passage is found from its first word to its last.  Overlapping windows join to a span.
 
-The defaults find every verbatim passage of 51 words.  Words are runs of bytes other than space and 0x09-0x0D, and
+The defaults find every word of every verbatim passage of 51 words.  Words are runs of bytes other than space and 0x09-0x0D, and
 compare without case in A-Z.  Repeats inside one document are left alone.
 
 Defined cases: null and blank texts, and rows with a null id, have no passages and stay as they are; rows that repeat
@@ -67,18 +69,30 @@ def every_anchor(hashed: np.ndarray, first: np.ndarray, window: int, spread: int
 
 def window_hashes(hashed: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash and 32-bit check of the ``window`` words at each position."""
+    k, c = (_range_hashes(hashed, at, at + window, salt) for salt in (U(0), U(0x632BE59BD9B4E019)))
+    return k, (c >> U(32)).astype(np.uint32)
+
+
+def _range_hashes(hashed: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.uint64 = _PLACE[0]) -> np.ndarray:
+    """64-bit hash of the words from ``start`` to ``end`` at each place."""
     up, down = _powers(len(hashed))
-    out = []
-    for salt in (U(0), U(0x632BE59BD9B4E019)):
-        total = np.concatenate([[U(0)], np.cumsum(mix(hashed ^ salt) * up[: len(hashed)])])
-        out.append(mix((total[at + window] - total[at]) * down[at]))
-    return out[0], (out[1] >> U(32)).astype(np.uint32)
+    total = np.concatenate([[U(0)], np.cumsum(mix(hashed ^ salt) * up[: len(hashed)])])
+    return mix((total[end] - total[start]) * down[start])
+
+
+def contexts(hashed: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positive hashes of each window with up to ``spread`` words of its text to the left and to the right."""
+    left = _range_hashes(hashed, np.maximum(at - spread, begin), at + window)
+    right = _range_hashes(hashed, at, np.minimum(at + window + spread, end))
+    return left >> U(1) | U(1), right >> U(1) | U(1)
 
 
-def chains(at: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def chains(at: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray, window: int, *around: np.ndarray) -> tuple[np.ndarray, ...]:
     """(index of the first window, words) of each chain: equal windows of a text that overlap or touch.
 
-    Together they cover the words from the first to the last, so a text that repeats itself has few chains and loses no
+    Of the values ``around`` each that all windows of a chain have is returned as well, and 0 where they differ.
+
+    A chain's windows cover the words from the first to the last, so a text that repeats itself has few chains and loses no
     position.
     """
     by = np.lexsort((at, c, k, row))
@@ -87,7 +101,8 @@ def chains(at: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray, window
     head[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (at[1:] - at[:-1] > window)
     start = np.flatnonzero(head)
     last = np.append(start[1:], len(at)) - 1
-    return by[start], at[last] - at[start] + window
+    alike = [np.where(np.minimum.reduceat(x[by], start) == np.maximum.reduceat(x[by], start), x[by[start]], U(0)) if len(at) else x for x in around]
+    return by[start], at[last] - at[start] + window, *alike
 
 
 def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) -> np.ndarray:
@@ -98,7 +113,9 @@ def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) ->
 
 
 def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
-    """``id, th, start, n_words, k, c``: the chains of equal windows of ``id, th, text``."""
+    """``id, th, start, n_words, k, c, l, r, behind``: the chains of equal windows of ``id, th, text``, the words around
+    them (0 where a chain's windows differ in them) and how many there are behind, up to ``spread``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +127,40 @@ def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
                     continue
                 k, c = window_hashes(hashed, at, window)
                 row = np.searchsorted(first, at, side="right") - 1
+                head, n, left, right = chains(at, row, k, c, window, *contexts(hashed, at, first[row], first[row + 1], window, spread))
+                at, row = at[head], row[head]
+                cols = [ids[a:b][row], th[a:b][row], (at - first[row]).astype(np.int32), n.astype(np.int32), k[head].view(np.int64), c[head].view(np.int32)]
+                cols += [left.view(np.int64), right.view(np.int64), np.minimum(first[row + 1] - at - n, spread).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "th", "start", "n_words", "k", "c", "l", "r", "behind"])
+
+    return docs.mapInArrow(run, "id long, th long, start int, n_words int, k long, c int, l long, r long, behind int")
+
+
+def edge_windows(docs: DataFrame, window: int) -> DataFrame:
+    """``id, th, start, n_words, k, c``: the chains of all windows of ``id, th, text, places`` that start in a place.
+
+    A place is ``lo, hi``, the first and last word; what lies outside the text is cut off.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+            places, of = batch.column("places").flatten(), np.concatenate([[0], np.cumsum(batch.column("places").value_lengths().to_numpy())])
+            lo, hi = (places.field(j).to_numpy() for j in range(2))
+            for a, b, data, offsets in text_chunks(batch.column("text")):
+                hashed, _, first = words(data, offsets)
+                row = np.repeat(np.arange(b - a), np.diff(of[a : b + 1]))
+                begin = first[row] + np.maximum(lo[of[a] : of[b]], 0)
+                end = np.minimum(first[row] + hi[of[a] : of[b]], first[row + 1] - window) + 1
+                some = begin < end
+                step = np.zeros(len(hashed) + 1, dtype=np.int64)
+                np.add.at(step, begin[some], 1)
+                np.add.at(step, end[some], -1)
+                at = np.flatnonzero(np.cumsum(step))
+                if not len(at):
+                    continue
+                k, c = window_hashes(hashed, at, window)
+                row = np.searchsorted(first, at, side="right") - 1
                 head, n = chains(at, row, k, c, window)
                 at, row = at[head], row[head]
                 cols = [ids[a:b][row], th[a:b][row], (at - first[row]).astype(np.int32), n.astype(np.int32), k[head].view(np.int64), c[head].view(np.int32)]
@@ -118,6 +169,23 @@ def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, th long, start int, n_words int, k long, c int")
 
 
+def extended(rows: DataFrame, found: DataFrame, window: int, spread: int) -> DataFrame:
+    """The shared windows where passages begin and end: ``id, th, start, n_words, keep_id``.
+
+    If all occurrences of a window agree in the ``spread`` words to one side, those words belong to the passage and the
+    next anchor there is shared by all of them; elsewhere (``left``, ``right``) all windows up to it are compared.
+    """
+    place = F.struct(
+        (F.col("start") - F.when(F.col("left"), spread).otherwise(0)).alias("lo"),
+        (F.col("start") + F.col("n_words") - window + F.when(F.col("right"), spread).otherwise(0)).alias("hi"),
+    )
+    near = keep(found.where("left or right").groupBy("id", "th").agg(F.collect_list(place).alias("places")), "places")
+    wins = keep(edge_windows(sift(rows, bitmap(near, "id", "th"), "id", "th").join(near, ["id", "th"]), window), "edges")
+    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
+    shared = keep(shared.select("k", "c", "keep_id"), "edges-shared")
+    return sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", "n_words", "keep_id")
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, th, text`` of the rows with an id and a text; ``th`` tells apart the texts of one id."""
     rows = slim(docs, id=id_col, text=text_col).where("id is not null and text is not null and text <> ''")
@@ -139,9 +207,15 @@ def pieces(
     """Occurrences of passages that two or more documents share: ``id, th, start, n_words, keep_id`` (in words)."""
     rows = texts(docs, id_col, text_col)
     wins = windows(rows, window, spread)
-    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
-    shared = keep(shared.select("k", "c", "keep_id"), "shared")
-    verbatim = sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", "n_words", "keep_id")
+    ends = [f(x).alias(f"{x}_{f.__name__}") for x in ("l", "r") for f in (F.min, F.max)]
+    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id"), *ends).where("keep_id <> last_id")
+    open_ends = [F.expr(f"{x}_min = 0 or {x}_min <> {x}_max").alias(side) for x, side in (("l", "left"), ("r", "right"))]
+    shared = keep(shared.select("k", "c", "keep_id", *open_ends), "shared")
+    columns = ["id", "th", "start", "n_words", "keep_id"]
+    found = keep(sift(wins.drop("l", "r"), bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select(*columns, "behind", "left", "right"), "found")
+    ahead, behind = F.when(F.col("left"), 0).otherwise(F.least("start", F.lit(spread))), F.when(F.col("right"), 0).otherwise(F.col("behind"))
+    whole_sides = found.select("id", "th", (F.col("start") - ahead).alias("start"), (F.col("n_words") + ahead + behind).alias("n_words"), "keep_id")
+    verbatim = whole_sides.unionByName(extended(rows, found, window, spread))
     paras = paragraphs(rows, min_paragraph)
     grouped = near_groups(paras.select("pid", "text"), params, "pid", "text").select("id", "component_id")
     near = keep(grouped.join(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")

@@ -240,6 +240,26 @@ def test_repeated_phrases_are_found_whole(spark):
     assert min(found.values()) >= 480 - 2 * 25
 
 
+def test_passages_are_found_whole(spark):
+    """From the first word to the last, at the ends of texts too, and by whichever document has how much of it."""
+    texts, want = [], {}
+    for n in (51, 52, 60, 80, 120):
+        passage = [f"p{n}x{i}" for i in range(n)]
+        for before, after in ((40, 60), (70, 30), (0, 30), (30, 0)):
+            if before != 40:
+                want[len(texts)] = {(before, n)}
+            own = [f"t{len(texts)}y{i}" for i in range(before + after)]
+            texts.append(" ".join([*own[:before], *passage, *own[before:]]))
+    short = len(texts)  # the first document has but a part of what the two others have
+    passage = [f"q{i}" for i in range(200)]
+    texts += [" ".join(["a", "b", *passage[70:130], "c"]), "u " + " ".join(passage) + " v", "x y " + " ".join(passage) + " z"]
+    want |= {short + 1: {(71, 60)}, short + 2: {(2, 200)}}
+    got = {}
+    for r in substring_dedup.spans(substring_dedup.pieces(table(spark, texts), min_paragraph=1000)).where("removed").collect():
+        got.setdefault(r["id"], set()).add((r["start"], r["n_words"]))
+    assert got == want
+
+
 def test_equal_text_before_a_passage_drops_no_anchor():
     import numpy as np
 
