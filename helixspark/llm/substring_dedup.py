@@ -52,7 +52,7 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 def every_anchor(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) -> np.ndarray:
     """Word positions at which a window is taken; of equal shingles in one neighbourhood all are."""
     n = len(hashed) - 4
-    if n < window + spread:
+    if len(hashed) < window + spread - 1:
         return np.empty(0, dtype=np.int64)
     rolled = hashed[:n] * _PLACE[0]
     for j in range(1, 5):

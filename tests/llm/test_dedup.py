@@ -260,6 +260,21 @@ def test_passages_are_found_whole(spark):
     assert got == want
 
 
+def test_short_texts_have_the_same_anchors_alone_in_a_chunk():
+    import numpy as np
+
+    rng = random.Random(17)
+    for n in range(48, 58):
+        text = prose(rng, n)
+        alone = np.frombuffer(text.encode(), dtype=np.uint8)
+        both = np.frombuffer((text + " " + prose(rng, 100)).encode(), dtype=np.uint8)
+        own, of_two = [], []
+        for data, offsets, out in ((alone, [0, len(alone)], own), (both, [0, len(alone), len(both)], of_two)):
+            hashed, _, first = shingling.words(data, np.array(offsets))
+            out += [x for x in substring_dedup.every_anchor(hashed, first, 26, 25).tolist() if x < n]
+        assert own == of_two and bool(own) == (n >= 50)
+
+
 def test_equal_text_before_a_passage_drops_no_anchor():
     import numpy as np
 
