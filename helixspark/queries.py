@@ -540,7 +540,7 @@ def recommend_standard(spark, sf_dir):
 def faulty_reads(spark, sf_dir):
     """Records with faults by rule: every 7th header, 11th separator and 13th quality is broken."""
     d = table(spark, sf_dir, "documents")
-    seq = F.substring(F.upper(F.regexp_replace("text", "[^ACGTRacgtr]", "")), 1, 80)
+    seq = F.upper(F.regexp_replace("text", "[^ACGTRacgtr]", ""))
     return d.select(
         F.concat_ws("_", "lang", "source").alias("sample"), F.lit("documents").alias("file"), F.col("doc_id").alias("read_no"), seq.alias("seq"),
         F.concat(F.when(F.col("doc_id") % 7 == 0, ">").otherwise("@"), F.col("doc_id")).alias("header"), F.when(F.col("doc_id") % 11 == 0, "-").otherwise("+").alias("plus"),

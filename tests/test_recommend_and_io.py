@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from helixspark import cli
+from helixspark import cli, queries
 from helixspark.functions import scalars
 from helixspark.operators import preprocess, recommend, stats
 from helixspark.plans import config, phases
@@ -176,6 +176,18 @@ def test_preprocessing(spark):
     assert sorted(x["read_no"] for x in preprocess.remove_host(r, host, 5).collect()) == [0, 2, 3, 4]
 
 
+def test_read_queries_take_whole_texts(spark, tmp_path):
+    """What lies behind the 80th letter counts: a wrong letter, a poly-G tail, and what tells two reads apart."""
+    start = "ACGT" * 25
+    texts = {1: start + "A", 2: start + "C", 3: start + "R", 4: start + "T" + "G" * 12, 6: start + "A"}
+    rows = [(i, t, "en", "web", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    bad = {(r["read_no"], r["reason"]) for r in queries.bad_records(spark, str(tmp_path)).collect()}
+    assert bad == {(3, "warning: letters")}
+    kept = {r["read_no"]: (r["seq"], len(r["qual"])) for r in queries.quality_filter_dedup(spark, str(tmp_path)).collect()}
+    assert kept == {1: (texts[1], 101), 2: (texts[2], 101), 3: (texts[3], 101), 4: (start + "T", 101)}
+
+
 # ---- sinks, settings, whole runs
 
 
