@@ -4,7 +4,9 @@ Each DOM node has ``C`` characters and ``T`` tags below it, ``LC`` of the charac
 Its density is ``C/T * log_b(C/LC' * T/LT')`` with base ``b = ln(C/LC' * LC + LB/CB * C + e)``, where ``LC'`` is the
 text outside links, ``LB/CB`` the share of link text in the body, and zero denominators count as one.  The node whose
 children's densities have the largest sum is the article's root; the lowest density on the path from the body to it is
-the threshold.  Inside the root all blocks are kept but those that are below the threshold and mostly links.
+the threshold.  Unless an element says that it is the article, the article may lie in several subtrees: of every subtree
+of the body that is not below the threshold the node with the largest sum is a root too.  Inside roots all blocks are
+kept but those that are below the threshold and mostly links.
 
 Subtrees that are never article text go before densities are taken: scripts, styles, forms, navigation, footers,
 asides, page headers, and elements whose class, id or role names a menu, banner, advert, notice or comment list.
@@ -216,8 +218,8 @@ def _measure(nodes: list[Node]) -> None:
         node.sums = sum(x.density for x in node.children if isinstance(x, Node) and not x.gone)
 
 
-def article_root(page: str) -> tuple[Node, float] | None:
-    """The article's root and the threshold, or None for a page without text."""
+def article_roots(page: str) -> tuple[list[Node], float] | None:
+    """The article's roots in page order and the threshold, or None for a page without text."""
     nodes = _in_order(parse(page))
     _measure(nodes)
     if not nodes[0].chars:
@@ -233,18 +235,47 @@ def article_root(page: str) -> tuple[Node, float] | None:
         node = node.parent
     threshold = min(x.density for x in path)
     # an article's own element is whole, and so is an ancestor with nothing but the root in it
+    named = any(up.named_article for up in path)
     for up in path:
         if up.named_article or up.chars == best.chars:
             best = up
-    return best, threshold
+    return ([best] if named else _dense_roots(nodes, path[-1], best, threshold)), threshold
+
+
+def _dense_roots(nodes: list[Node], body: Node, best: Node, threshold: float) -> list[Node]:
+    """``best`` and the node with the largest sum in each other subtree that is not below the threshold, in page order."""
+    top = {id(x): x for x in nodes}
+    for node in reversed(nodes):  # parents come before their children
+        up = node.parent
+        if up is not None and top[id(node)].sums > top[id(up)].sums:
+            top[id(up)] = top[id(node)]
+    chosen = {id(best)}
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        if id(node) in chosen:
+            continue
+        if node.chars and node.density >= threshold:
+            chosen.add(id(top[id(node)]))
+        if id(node) not in chosen:
+            todo += [x for x in node.children if isinstance(x, Node) and not x.gone]
+    roots, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        if id(node) in chosen:
+            roots.append(node)
+        else:
+            todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.gone]
+    return roots
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by line feeds."""
-    found = article_root(page) if page else None
+    found = article_roots(page) if page else None
     if found is None:
         return ""
-    root, threshold = found
+    roots, threshold = found
+    kept = {id(x) for x in roots}
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -253,14 +284,14 @@ def main_text(page: str | None) -> str:
             blocks.append(text)
         parts.clear()
 
-    todo: list[Node | str | None] = [root]
+    todo: list[Node | str | None] = [x for root in reversed(roots) for x in (None, root)]
     while todo:
         item = todo.pop()
         if item is None:
             close()
         elif isinstance(item, str):
             parts.append(item)
-        elif item.gone or (item is not root and item.density < threshold and item.link_tags > 1 and item.link_chars * 2 > item.chars):
+        elif item.gone or (id(item) not in kept and item.density < threshold and item.link_tags > 1 and item.link_chars * 2 > item.chars):
             if item.tag in BLOCK:
                 close()
         elif item.tag in ("br", "wbr", "img"):

@@ -90,6 +90,17 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_articles_in_several_parts(tag):
+    """No element names the article, whose parts are siblings; links beside them stay out."""
+    parts = [[f"{name} {i} " + "words of text " * 20 for i in range(10)] for name in ("first", "second", "third")]
+    links = "<div>" + "".join(f"<a href='/{i}'>link {i}</a> " for i in range(20)) + "</div>"
+    body = links.join(f"<{tag}>" + "".join(f"<p>{p}</p>" for p in part) + f"</{tag}>" for part in parts)
+    want = [" ".join(p.split()) for part in parts for p in part]
+    assert html_text.main_text(f"<html><body>{links}{body}{links}</body></html>").split("\n") == want
+    assert html_text.main_text(f"<html><body>{links}<div>{body}</div>{links}</body></html>").split("\n") == want
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
     assert len(html_text.main_text("<p>" + "word " * 100_000)) == 499_999
