@@ -313,7 +313,8 @@ cd AS (SELECT DISTINCT a.sample AS sample_a, b.sample AS sample_b FROM bd a JOIN
 SELECT * FROM (SELECT sample_a, sample_b, len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 32 AS similarity FROM cd JOIN sg a ON a.sample = sample_a JOIN sg b ON b.sample = sample_b) WHERE similarity > 0.1"""
 )
 def lsh_pairs(spark, sf_dir):
-    return lsh.lsh_similarities(counts(spark, sf_dir), 0.1, n_perm=_BANDS * _ROWS, bands=_BANDS, rows=_ROWS)
+    """128 bands of one row: pairs whose estimate is above 0.1 agree in 13 hashes and so meet in 13 bands."""
+    return lsh.lsh_similarities(counts(spark, sf_dir), 0.1, bands=128, rows=1)
 
 
 @query(BC + """, n AS (SELECT sample, row_number() OVER (ORDER BY sample) AS i FROM st), c AS (SELECT * FROM bc)

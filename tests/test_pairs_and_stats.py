@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixspark import queries
 from helixspark.operators import graph, lsh, matrix, pairs, plotdata, stats
 
 FIXTURES = {
@@ -189,6 +190,22 @@ def test_lsh(spark):
     assert lsh.choose_method(501) == "lsh" and lsh.choose_method(20) == "exact" and lsh.choose_method(20, 100) == "lsh"
 
 
+def test_lsh_query_finds_all_pairs_above_its_threshold(spark, tmp_path):
+    """Texts that share little: every pair whose 128 hashes agree in more than a tenth is found."""
+    rng = random.Random(31)
+    stock = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(40)]
+    rows = [(i, "n".join(rng.sample(stock, 10)), f"l{i}", "web", 600) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    signed = {r["sample"]: r["signature"] for r in lsh.signatures(queries.counts(spark, str(tmp_path))).collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(signed), 2):
+        same = sum(x == y for x, y in zip(signed[a], signed[b], strict=True)) / 128
+        if same > 0.1:
+            want[a, b] = same
+    assert len(want) > 50
+    assert {(r["sample_a"], r["sample_b"]): r["similarity"] for r in queries.lsh_pairs(spark, str(tmp_path)).collect()} == want
+
+
 def test_ordination():
     d = np.zeros((4, 4))
     for (i, j), x in zip(itertools.combinations(range(4), 2), FIXTURES["M1"], strict=True):
