@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.plans.scratch import drop, keep
+from helixspark.plans.skew import spread_join
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node of an undirected edge table; the component is its smallest node.
 
     Each round is one grouped aggregate and one equi-join per star, so the rows stay linear in the edges and no
-    neighbourhood is gathered: a star needs only the minimum of each node's neighbours.  Rounds are cut with tables
-    in the shared folder.  Edges with a null end and loops are ignored; repeated edges count once; no edges give
-    no rows.  ``RuntimeError`` if ``max_rounds`` do not suffice (they grow with the logarithm of the diameter).
+    neighbourhood is gathered: a star needs only the minimum of each node's neighbours.  The rows of a hub, which may
+    have a large share of all edges, are spread over many tasks.  Rounds are cut with tables in the shared folder.
+    Edges with a null end and loops are ignored; repeated edges count once; no edges give no rows.  ``RuntimeError`` if
+    ``max_rounds`` do not suffice (they grow with the logarithm of the diameter).
     """
     cur = keep(
         edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"))
@@ -22,32 +24,36 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct(),
         "cc",
     )
-    mark = None
     for _ in range(max_rounds):
-        nxt = keep(_small_star(_large_star(cur)), "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(cur)
-        cur = nxt
-        if now == mark:
-            # every edge now joins a node to its component's smallest node
+        if _settled(cur):
             return cur.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
                 cur.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
             )
-        mark = now
+        nxt = keep(_small_star(_large_star(cur)), "cc")
+        drop(cur)
+        cur = nxt
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every edge joins a node to its component's smallest: no node has two larger or both kinds of end."""
+    ends = e.select(F.col("v").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        e.select(F.col("u").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    return ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the smallest of the node and its neighbours."""
     both = e.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("w")))
     low = both.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("n", "m").alias("m"))
-    return both.where("w > n").join(low, "n").where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
+    return spread_join(both.where("w > n"), low, ["n"], F.col("w")).where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     low = e.groupBy("v").agg(F.min("u").alias("m"))
-    moved = e.join(low, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+    moved = spread_join(e, low, ["v"], F.col("u")).where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
     return moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct()
 
 

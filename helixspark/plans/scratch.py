@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine)
-a folder of our own is used.  What is written here outlives a lost executor, so it also cuts lineage.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the session is local (tests on one
+machine) a folder of our own is used; on a cluster a folder that executors do not share would lose data, so that raises.
+What is written here outlives a lost executor, so it also cuts lineage.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="helixspark-")
@@ -46,6 +50,20 @@ def drop(df: DataFrame) -> None:
             _WRITTEN.remove(item)
 
 
+def mark() -> int:
+    """A point in the order of written tables, for :func:`release`."""
+    return len(_WRITTEN)
+
+
+def release(since: int, but: DataFrame) -> None:
+    """Delete the tables written after the point ``since``, all but the table ``but`` that :func:`keep` returned."""
+    stays = {f.rsplit("/", 2)[1] for f in but.inputFiles()} or {_WRITTEN[-1][1].rsplit("/", 1)[1]}
+    for item in _WRITTEN[since:]:
+        if item[1].rsplit("/", 1)[1] not in stays:
+            _remove(*item)
+            _WRITTEN.remove(item)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
