@@ -11,30 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import unused
+
 BITS = 22
 
 
 def bitmap(keys: DataFrame, *columns: str, bits: int = BITS) -> DataFrame:
-    """``__word, __bits``: the set bits of the keys' hashes, 64 to a row."""
+    """``word, bits``: the set bits of the keys' hashes, 64 to a row."""
     h = _hash(columns, bits)
-    one = keys.select(F.shiftright(h, 6).cast("int").alias("__word"), h.bitwiseAND(F.lit(63)).cast("int").alias("__at"))
-    return one.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __at)")).alias("__bits"))
+    one = keys.select(F.shiftright(h, 6).cast("int").alias("word"), h.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    return one.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
 
 
 def sift(rows: DataFrame, found: DataFrame, *columns: str, bits: int = BITS) -> DataFrame:
     """The rows whose key may be among those of the bitmap ``found``; null keys stay behind."""
-    h = _hash(columns, bits)
-    names = rows.columns
-    marked = rows.where(~_any_null(columns)).withColumn("__word", F.shiftright(h, 6).cast("int")).withColumn("__at", h.bitwiseAND(F.lit(63)).cast("int"))
-    return marked.join(F.broadcast(found), "__word").where("shiftrightunsigned(__bits, __at) & 1 = 1").select(*names)
+    marked, hit = _marked(rows.where(~_any_null(columns)), found, columns, bits, "inner")
+    return marked.where(hit).select(*_quoted(rows))
 
 
 def part(rows: DataFrame, found: DataFrame, *columns: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(rows that may have a partner, rows that have none): the second need not be shuffled.  Null keys have none."""
+    marked, hit = _marked(rows, found, columns, bits, "left")
+    hit = ~_any_null(columns) & F.coalesce(hit, F.lit(False))
+    return marked.where(hit).select(*_quoted(rows)), marked.where(~hit).select(*_quoted(rows))
+
+
+def _marked(rows: DataFrame, found: DataFrame, columns: tuple[str, ...], bits: int, how: str) -> tuple[DataFrame, Column]:
+    """The rows with the bitmap's word for their key, and whether their bit is set, under names the rows do not use."""
+    word, at, held = unused(rows, "word", "at", "bits")
     h = _hash(columns, bits)
-    marked = rows.withColumn("__word", F.shiftright(h, 6).cast("int")).withColumn("__at", h.bitwiseAND(F.lit(63)).cast("int")).join(F.broadcast(found), "__word", "left")
-    hit = ~_any_null(columns) & F.coalesce(F.expr("shiftrightunsigned(__bits, __at) & 1 = 1"), F.lit(False))
-    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+    marked = rows.withColumns({word: F.shiftright(h, 6).cast("int"), at: h.bitwiseAND(F.lit(63)).cast("int")})
+    joined = marked.join(F.broadcast(found.toDF(word, held)), word, how)
+    return joined, F.expr(f"shiftrightunsigned(`{held}`, `{at}`) & 1 = 1")
+
+
+def _quoted(rows: DataFrame) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in rows.columns]
 
 
 def _hash(columns: tuple[str, ...], bits: int) -> Column:
