@@ -67,17 +67,22 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first byte of each word, first word of each text and the end)."""
-    value, gap = _tables()
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First byte of each word."""
     if not len(data):
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~gap[data]
+        return np.empty(0, dtype=np.int64)
+    inside = ~_tables()[1][data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     start[heads] = inside[heads]
-    at = np.flatnonzero(start)
+    return np.flatnonzero(start)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first byte of each word, first word of each text and the end)."""
+    value, _ = _tables()
+    at = word_starts(data, offsets)
     if not len(at):
         return np.empty(0, dtype=np.uint64), at, np.zeros(len(offsets), dtype=np.int64)
     up, down = _powers(len(data))

@@ -23,18 +23,19 @@ left is dropped by it; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .near_dedup import MinHash, near_groups
-from .packing import WORD
 from helixspark.plans.scratch import keep
-from .shingling import _PLACE, U, _powers, mix, text_chunks, words
+from helixspark.plans.skew import spread_join
+from .near_dedup import MinHash, full_sets, groups_of, signatures
+from .shingling import _PLACE, U, _powers, mix, text_chunks, word_starts, words
 from .sieve import bitmap, part, sift
-from .tables import slim
+from .tables import slim, unused
 
 PARAGRAPH_HASH = MinHash(rows=3, bands=10, bits=4)
 
@@ -183,7 +184,7 @@ def extended(rows: DataFrame, found: DataFrame, window: int, spread: int) -> Dat
     wins = keep(edge_windows(sift(rows, bitmap(near, "id", "th"), "id", "th").join(near, ["id", "th"]), window), "edges")
     shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
     shared = keep(shared.select("k", "c", "keep_id"), "edges-shared")
-    return sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select("id", "th", "start", "n_words", "keep_id")
+    return with_owner(wins, shared).select("id", "th", "start", "n_words", "keep_id")
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,13 +193,44 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def paragraphs(rows: DataFrame, min_words: int) -> DataFrame:
-    """``pid, id, th, start, n_words, text``: the lines of ``min_words`` words and more, ``start`` in words."""
-    lines = F.split("text", "\n")
-    counted = rows.select("id", "th", lines.alias("lines")).withColumn("counts", F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))))
-    each = counted.select("id", "th", "counts", F.posexplode(F.arrays_zip("lines", "counts")).alias("no", "line")).where(F.col("line.counts") >= min_words)
-    start = F.aggregate(F.slice("counts", F.lit(1), F.col("no")), F.lit(0), lambda a, x: a + x)
-    return each.select(F.xxhash64("id", "th", "no").alias("pid"), "id", "th", start.alias("start"), F.col("line.counts").alias("n_words"), F.col("line.lines").alias("text"))
+def lines(batch: pa.RecordBatch, min_words: int) -> Iterator[pa.RecordBatch]:
+    """``pid, doc, th, start, n_words, text`` of the lines of at least ``min_words`` words; ``start`` is in words of the text."""
+    ids, th = (batch.column(c).to_numpy() for c in ("id", "th"))
+    for a, b, data, offsets in text_chunks(batch.column("text")):
+        begin = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], np.flatnonzero(data[:-1] == 10) + 1]))
+        if not len(begin):
+            continue
+        at = word_starts(data, offsets)
+        upto = np.searchsorted(at, np.append(begin, len(data)))
+        n = np.diff(upto)
+        row = np.searchsorted(offsets, begin, side="right") - 1
+        start = upto[:-1] - np.searchsorted(at, offsets[row])
+        long = np.flatnonzero(n >= max(1, min_words))
+        row, start = row[long], start[long].astype(np.int32)
+        doc, own = ids[a:b][row], th[a:b][row]
+        pid = mix(mix(doc.view(np.uint64) ^ U(0x3C6EF372FE94F82B)) + mix(own.view(np.uint64)) + start.astype(np.uint64))
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        cols = [pid.view(np.int64), doc, own, start, n[long].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cols], every.take(pa.array(long))], ["id", "doc", "th", "start", "n_words", "text"])
+
+
+def near_paragraphs(rows: DataFrame, min_words: int, params: MinHash) -> DataFrame:
+    """``id, th, start, n_words, keep_id`` of the paragraphs that are near copies of one in another document."""
+    cut = partial(lines, min_words=min_words)
+    sig = keep(signatures(rows, params, cut, "id long, doc long, th long, start int, n_words int"), "paragraphs")
+    where = sig.select(F.col("id").alias("pid"), "doc", "th", "start", "n_words")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts_of = sift(where.select(F.col("pid").alias("id"), F.col("doc"), "th"), bitmap(nodes, "id"), "id").select(F.col("doc").alias("id"), "th").distinct()
+        return full_sets(sift(rows, bitmap(texts_of, "id", "th"), "id", "th"), params, cut)
+
+    grouped = groups_of(sig.drop("doc", "th", "start", "n_words"), sets_of, params).select("id", "component_id")
+    counts = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    near = keep(sift(grouped, bitmap(counts, "component_id"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
+    placed = keep(sift(where, bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
+    owners = placed.groupBy("component_id").agg(F.min("doc").alias("keep_id"), F.max("doc").alias("last_id")).where("keep_id <> last_id")
+    whole = spread_join(placed, owners.drop("last_id"), ["component_id"], F.col("pid"))
+    return whole.select(F.col("doc").alias("id"), "th", "start", "n_words", "keep_id")
 
 
 def pieces(
@@ -212,17 +244,16 @@ def pieces(
     open_ends = [F.expr(f"{x}_min = 0 or {x}_min <> {x}_max").alias(side) for x, side in (("l", "left"), ("r", "right"))]
     shared = keep(shared.select("k", "c", "keep_id", *open_ends), "shared")
     columns = ["id", "th", "start", "n_words", "keep_id"]
-    found = keep(sift(wins.drop("l", "r"), bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"]).select(*columns, "behind", "left", "right"), "found")
+    found = keep(with_owner(wins.drop("l", "r"), shared).select(*columns, "behind", "left", "right"), "found")
     ahead, behind = F.when(F.col("left"), 0).otherwise(F.least("start", F.lit(spread))), F.when(F.col("right"), 0).otherwise(F.col("behind"))
     whole_sides = found.select("id", "th", (F.col("start") - ahead).alias("start"), (F.col("n_words") + ahead + behind).alias("n_words"), "keep_id")
     verbatim = whole_sides.unionByName(extended(rows, found, window, spread))
-    paras = paragraphs(rows, min_paragraph)
-    grouped = near_groups(paras.select("pid", "text"), params, "pid", "text").select("id", "component_id")
-    near = keep(grouped.join(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
-    placed = keep(sift(paras.select("pid", "id", "th", "start", "n_words"), bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
-    owners = placed.groupBy("component_id").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
-    whole = placed.join(owners, "component_id").select("id", "th", "start", "n_words", "keep_id")
-    return verbatim.unionByName(whole)
+    return verbatim.unionByName(near_paragraphs(rows, min_paragraph, params))
+
+
+def with_owner(wins: DataFrame, shared: DataFrame) -> DataFrame:
+    """The windows that are among the ``shared`` ones, with these' other columns; those of a common passage are spread."""
+    return spread_join(sift(wins, bitmap(shared, "k", "c"), "k", "c"), shared, ["k", "c"], F.xxhash64("id", "start"))
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -245,17 +276,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text loses its words from the first to the last of a span and the white space behind them.  A text with nothing
     left but white space goes, if something was cut from it.
     """
+    columns = docs.columns
+    text_at = columns.index(text_col)
+    chars_at = columns.index(chars_col) if chars_col in columns else None
+    key, th, starts, counts = unused(docs, "key", "th", "starts", "counts")
     cuts = keep(
         spans(pieces(docs, id_col, text_col, **options)).where("removed").groupBy("id", "th")
         .agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
-        .select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans.start").alias("__at"), F.col("spans.n_words").alias("__n")), "cuts",
+        .select(F.col("id").alias(key), F.col("th").alias(th), F.col("spans.start").alias(starts), F.col("spans.n_words").alias(counts)), "cuts",
     )
-    columns = docs.columns
-    text_at = columns.index(text_col)
-    chars_at = columns.index(chars_col) if chars_col in columns else None
-    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__th": F.xxhash64(F.col(f"`{text_col}`"))})
-    maybe, whole = part(keyed, bitmap(cuts, "__id", "__th"), "__id", "__th")
-    joined = maybe.join(cuts, ["__id", "__th"], "left").select(*[f"`{c}`" for c in columns], "__at", "__n")
+    keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), th: F.xxhash64(F.col(f"`{text_col}`"))})
+    maybe, whole = part(keyed, bitmap(cuts, key, th), key, th)
+    joined = maybe.join(cuts, [key, th], "left").select(*[f"`{c}`" for c in columns], starts, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
