@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
 from .tables import slim
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,7 +71,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     """``id, piece, start_token, n_tokens``: each text in pieces of at most ``max_len`` tokens."""
     rows = slim(docs, id=id_col, text=text_col)
     n = word_count(F.coalesce("text", F.lit(""))) if length is None else length
-    counted = rows.select("id", n.cast("long").alias("n"))
+    counted = keep(rows.select("id", n.cast("long").alias("n")), "lengths")  # texts are read once, by this
     cut = counted.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / max_len) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_len
     return cut.select("id", "piece", start.alias("start_token"), F.least(F.lit(max_len).cast("long"), F.col("n") - start).alias("n_tokens"))
