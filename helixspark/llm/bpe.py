@@ -235,22 +235,27 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, decoded binary")
 
 
-def round_trip_digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of the bytes they decode to."""
+def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256``: each text encoded, and digests of its ids and of the bytes they decode to.
+
+    The ids stay in the worker that made them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary.tokens.__getitem__
+        resolved, pattern = _resolver(vocabulary)
+        find, look, token = pattern.findall, resolved.__getitem__, vocabulary.tokens.__getitem__
         for batch in batches:
-            own = _id_arrays(batch.column("ids"))
-            cols = [
-                batch.column("id"),
-                pa.array([len(x) for x in own], pa.int64()),
-                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]),
-                pa.array([hashlib.sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in own]),
-            ]
+            rows = []
+            for text in batch.column("text"):
+                packed = b"".join(map(look, find(text.as_py() or "")))
+                ids = struct.unpack(f"<{len(packed) // 4}I", packed)
+                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(b"".join(map(token, ids))).hexdigest()))
+            n, of_ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+            cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _id_arrays(column: pa.Array) -> list[np.ndarray]:
