@@ -8,8 +8,9 @@ k-th score.  That k-th score does not start empty: every query is first scored a
 
 Defined cases: null vectors and those with null or non-finite components, and rows with a null id, take no part;
 vectors compare only with those of the same dimension; candidates of a query are all rows with another id; a repeated
-row is a candidate as often as it occurs; fewer candidates than k give fewer rows; an empty table an empty result.
-Scores must fit in 64 bits.
+row is a candidate as often as it occurs, but a repeated query is asked once, with the vector that compares smallest
+where its rows differ; fewer candidates than k give fewer rows; an empty table an empty result.  Components whose
+products could exceed 2**62 raise ``OverflowError``.
 """
 
 from __future__ import annotations
@@ -125,9 +126,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _exact_kind(*parts: np.ndarray) -> np.dtype:
-    """float64 where every inner product stays an exact integer in it, else int64."""
-    most = [int(np.abs(p).max()) if p.size else 0 for p in parts]
-    return np.dtype(np.float64 if most[0] * most[-1] * max(1, parts[0].shape[1]) < 2**52 else np.int64)
+    """float64 where every inner product stays an exact integer in it, else int64; ``OverflowError`` beyond that."""
+    most = [max(-int(p.min()), int(p.max())) if p.size else 0 for p in parts]
+    largest = most[0] * most[-1] * max(1, parts[0].shape[1])
+    if largest >= 2**62:
+        raise OverflowError(f"inner products of up to {largest} do not fit in 64 bits")
+    return np.dtype(np.float64 if largest < 2**52 else np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 32768, block_rows: int = 4096, leaf_size: int = 256) -> DataFrame:
@@ -136,7 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     Both tables are ``vec_id, v`` with ``v`` an array of long or null, as from :func:`quantised`.
     """
     sound = lambda df: df.where("v is not null and vec_id is not null").select("vec_id", "v", F.size("v").alias("dim"))
-    cand, ask = sound(vectors), sound(queries)
+    cand = sound(vectors)
+    ask = sound(sound(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
     n_cand, n_ask = cand.count(), ask.count()
     shards, blocks = max(1, -(-n_cand // shard_rows)), max(1, -(-n_ask // block_rows))
     shards = max(shards, min(8, -(-n_cand // 4096)))  # small tables still use several tasks
