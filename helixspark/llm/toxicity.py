@@ -6,12 +6,14 @@ informative Dirichlet prior, that is the token's share of all training documents
 whose z-score reaches ``z_min`` count, all others weigh nothing.  A word's score is that of its heaviest counting token
 less a drift that makes clean text fall on average.  A linear-time scan finds all maximal scoring segments of a text.
 For segments of random text extreme-value theory gives ``P(S > x) ~ 1 - exp(-K n exp(-lambda x))`` for n words;
-``lambda`` is solved from the clean documents' word scores, and ``lambda S - ln n`` is comparable for texts of any
-length.  A logistic layer over the best segment, the sum of all significant ones and their number gives the score.
+``lambda`` is solved from the word scores of all clean training documents and ``K`` from their best segments, so
+``lambda S - ln(K n)`` is comparable for texts of any length, and a segment is significant where it is positive.  A logistic
+layer over segments alone (the best one, the sum of all significant ones, their number and how many words they hold) gives
+the score.
 
-The model is fitted on a bounded sample of labelled documents (``train_docs``).  Half of it gives the token weights with
-which the calibration sees the other half, and the other way round, so the calibration is not fooled by tokens that
-only the training documents have.
+The model is fitted on a bounded number of labelled documents (``train_docs``), of which whole texts are read.  Half of
+them give the token weights with which the calibration sees the other half, and the other way round, so the calibration is
+not fooled by tokens that only the training documents have.
 
 Defined cases: null and blank texts have no segments and get a score as well; without usable labels every score is 0.5,
 with labels of one kind only their smoothed share; ids may be null or repeated; extra columns are ignored; an empty
@@ -25,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
 from .labelled import logistic, sigmoid, training_sample
 from .shingling import U, _powers, _tables, mix, text_chunks
 from .tables import slim
@@ -84,12 +87,13 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass
 class Weights:
-    """Counting tokens with their log-odds, sorted by hash, and the scan's drift and lambda."""
+    """Counting tokens with their log-odds, sorted by hash, and the scan's drift, lambda and ln K."""
 
     hashes: np.ndarray
     odds: np.ndarray
     drift: float = 0.1
     lam: float = 1.0
+    ln_k: float = 0.0
 
     def __post_init__(self):
         self.seen = np.zeros(1 << 16, dtype=bool)
@@ -149,34 +153,38 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for a, b, x, r in zip(first, end, left, right, strict=True)]
 
 
-N_EVIDENCE = 6
+N_EVIDENCE = 4
 
 
-def evidence(gain: np.ndarray, drift: float, lam: float) -> tuple[list[float], list[tuple[int, int, float]]]:
+def best_segment(gain: np.ndarray, drift: float, lam: float) -> float:
+    """``lambda S - ln n`` of the best segment of a text, 0 for S without any."""
+    return lam * max((s for _, _, s in segments(gain - drift)), default=0.0) - float(np.log(max(2, len(gain))))
+
+
+def evidence(gain: np.ndarray, weights: Weights) -> tuple[list[float], list[tuple[int, int, float]]]:
     """(evidence of a text, its significant segments with their normalised scores).
 
-    The evidence is the best normalised segment, the sum over the significant ones and their number, then the number
-    and summed log-odds of the distinct counting tokens, and the text's length.  Tokens are told apart by their weights.
+    The evidence is the best normalised segment, and of the significant ones the sum, the number and the words they hold.
     """
-    floor = np.log(max(2, len(gain)))
-    found = [(a, b, lam * s - floor) for a, b, s in segments(gain - drift)]
+    floor = float(np.log(max(2, len(gain)))) + weights.ln_k
+    found = [(a, b, weights.lam * s - floor) for a, b, s in segments(gain - weights.drift)]
     good = [x for x in found if x[2] > 0]
     best = max((x[2] for x in found), default=-floor)
-    kinds = np.unique(gain[gain > 0])
-    return [best, float(np.log1p(sum(x[2] for x in good))), float(np.log1p(len(good))), float(np.log1p(len(kinds))), float(np.log1p(kinds.sum())), float(floor)], good
+    return [best, float(np.log1p(sum(x[2] for x in good))), float(np.log1p(len(good))), float(np.log1p(sum(b - a for a, b, _ in good)))], good
 
 
-def solve_lambda(gain: np.ndarray, drift: float) -> float:
-    """The positive root of mean(exp(lambda * (gain - drift))) = 1, or 1 where there is none."""
-    score = gain - drift
-    if not len(score) or score.max() <= 0 or score.mean() >= 0:
+def solve_lambda(score: np.ndarray, count: np.ndarray) -> float:
+    """The positive root of mean(exp(lambda * score)) = 1 for scores that occur ``count`` times, or 1 where there is none."""
+    if not len(score) or score.max() <= 0 or (score * count).sum() >= 0:
         return 1.0
+    total = count.sum()
+    above = lambda x: (np.exp(np.minimum(x * score, 50)) * count).sum() >= total
     low, high = 0.0, 1.0
-    while np.exp(np.minimum(high * score, 50)).mean() < 1 and high < 64:
+    while not above(high) and high < 64:
         low, high = high, high * 2
     for _ in range(40):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(np.minimum(mid * score, 50)).mean() < 1 else (low, mid)
+        low, high = (low, mid) if above(mid) else (mid, high)
     return max(low, 0.05)
 
 
@@ -189,16 +197,33 @@ class ToxicityModel:
     def judge(self, gain: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
         if self.constant is not None:
             return self.constant, []
-        found, good = evidence(gain, self.weights.drift, self.weights.lam)
+        found, good = evidence(gain, self.weights)
         return float(sigmoid(np.array([*found, 1.0]) @ self.layer)), good
 
 
+GAIN_BINS = 128  # to a unit of log-odds
 TOKENS = "part int, y int, kind int, token long, n long"
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: int = 20000, prior: float = 2000.0, z_min: float = 3.5, least: int = 4) -> ToxicityModel:
-    """Fit on at most ``train_docs`` labelled documents outside the held-out fifth."""
-    sample = training_sample(docs, labels, label, train_docs).select("id", "text", (F.col("y") >= 0.5).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("part"))
+def _least_z(clean: Column, sums: dict[int, list[int]], prior: float) -> Column:
+    """Size of the z-score of a token that ``clean`` clean documents and no toxic one have; see :func:`log_odds`."""
+    out = F.lit(0.0)
+    for kind, (n00, n01, n10, n11) in sums.items():
+        no, yes = float(n00 + n10), float(n01 + n11)
+        t = clean * (prior / max(1.0, no + yes))
+        c = clean + t
+        delta = F.log(c / F.greatest(no + prior - c, F.lit(1e-9))) - F.log(t / F.greatest(yes + prior - t, F.lit(1e-9)))
+        out = F.when(F.col("kind") == kind, delta / F.sqrt(1 / t + 1 / c)).otherwise(out)
+    return out
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: int = 20000, prior: float = 8000.0, z_min: float = 3.5, least: int = 4) -> ToxicityModel:
+    """Fit on at most ``train_docs`` labelled documents outside the held-out fifth.
+
+    Counts, sums and the rows of at most ``train_docs`` documents' evidence reach the driver; texts do not.
+    """
+    chosen = training_sample(docs, labels, label, train_docs)
+    sample = keep(chosen.select("id", "text", (F.col("y") >= 0.5).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("part")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +249,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
     try:
         cells = [f"n{p}{y}" for p in (0, 1) for y in (0, 1)]
         sums = {r["kind"]: [r[c] for c in cells] for r in per_token.groupBy("kind").agg(*[F.sum(c).alias(c) for c in cells]).collect()}
-        # tokens that may reach z_min; bounded by the sample
-        often = per_token.where((F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= 2 * least) & (F.col("n01") + F.col("n11") >= 1)).toArrow()
+        # tokens that may reach z_min in the sample or in a half of it; bounded by the sample
+        clean, toxic = F.col("n00") + F.col("n10"), F.col("n01") + F.col("n11")
+        often = per_token.where((clean + toxic >= 2 * least) & ((toxic > 0) | (_least_z(clean, sums, prior) >= z_min / 2))).toArrow()
     finally:
         per_token.unpersist()
     kinds, tokens = often["kind"].to_numpy(), often["token"].to_numpy().view(np.uint64)
@@ -246,34 +272,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
 
     whole, crossed = weigh((0, 1)), (weigh((1,)), weigh((0,)))
 
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """Word scores of each text, by weights that its half of the sample had no part in."""
+        part = batch.column("part").to_numpy()
+        for a, b, data, offsets in text_chunks(batch.column("text")):
+            tokens, _, _, first = token_hashes(data, offsets)
+            both = [w.gains(tokens) for w in crossed]
+            yield from (both[part[a + i]][first[i] : first[i + 1]] for i in range(b - a))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            lists: list[bytes] = []
-            for a, b, data, offsets in text_chunks(batch.column("text")):
-                tokens, _, _, first = token_hashes(data, offsets)
-                both = [w.gains(tokens) for w in crossed]
-                lists += [both[part[a + i]][first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(lists, pa.binary())], ["id", "y", "gain"])
-
-    # word scores of a share of the sample give drift and lambda; the evidence of all of it the calibration
-    probe = sample.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, train_docs // 2000))) == 0) if train_docs > 2000 else sample
-    held = sorted(probe.mapInArrow(gains, "id long, y int, gain binary").collect(), key=lambda r: (r["id"], bytes(r["gain"])))
-    clean = [np.frombuffer(bytes(r["gain"]), dtype=np.float32) for r in held if r["y"] == 0]
-    pooled = np.concatenate(clean).astype(np.float64) if clean else np.empty(0)
-    drift = float(max(0.02, 2 * np.maximum(pooled, 0).mean())) if len(pooled) else 0.1
-    lam = solve_lambda(pooled, drift)
-    for w in (whole, *crossed):
-        w.drift, w.lam = drift, lam
+            found = np.concatenate([np.empty(0), *each(batch)])
+            bins, n = np.unique(np.rint(found * GAIN_BINS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], ["bin", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best_segment(g, whole.drift, whole.lam) for g in each(batch) if len(g)]
+            yield pa.RecordBatch.from_arrays([pa.array([float(sum(found))]), pa.array([len(found)], pa.int64())], ["total", "n"])
+
+    # the clean documents' word scores give drift and lambda (a row per bin reaches the driver), their best segments K
+    clean_rows = sample.where("y = 0").select("text", "part")
+    held = sorted(clean_rows.mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    gain, n = np.array([r["bin"] for r in held]) / GAIN_BINS, np.array([r["n"] for r in held], dtype=np.float64)
+    whole.drift = float(max(0.02, 2 * (np.maximum(gain, 0) * n).sum() / n.sum())) if len(n) else 0.1
+    whole.lam = solve_lambda(gain - whole.drift, n)
+    seen_best = clean_rows.mapInArrow(best, "total double, n long").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
+    whole.ln_k = seen_best["total"] / seen_best["n"] - float(np.euler_gamma) if seen_best["n"] else 0.0
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            rows = []
-            for a, b, data, offsets in text_chunks(batch.column("text")):
-                tokens, _, _, first = token_hashes(data, offsets)
-                both = [w.gains(tokens) for w in crossed]
-                rows += [evidence(both[part[a + i]][first[i] : first[i + 1]], drift, lam)[0] for i in range(b - a)]
+            rows = [evidence(g, whole)[0] for g in each(batch)]
             cols = [batch.column("id"), batch.column("y"), *[pa.array([r[j] for r in rows], pa.float64()) for j in range(N_EVIDENCE)]]
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", *columns])
 

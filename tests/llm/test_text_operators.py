@@ -221,8 +221,9 @@ def test_log_odds_and_lambda():
     delta, z = toxicity.log_odds(np.array([[5.0, 50.0], [50.0, 50.0]]), np.array([1000.0, 1000.0]), 100)
     assert delta[0] > 1.5 and z[0] > 5 and abs(delta[1]) < 0.2
     gain = np.array([3.0] * 5 + [0.0] * 95)
-    lam = toxicity.solve_lambda(gain, 0.5)
+    lam = toxicity.solve_lambda(gain - 0.5, np.ones(100))
     assert abs(np.exp(lam * (gain - 0.5)).mean() - 1) < 1e-6
+    assert abs(toxicity.solve_lambda(np.array([2.5, -0.5]), np.array([5.0, 95.0])) - lam) < 1e-9
 
 
 def test_logistic():
