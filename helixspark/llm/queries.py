@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_text, knn, near_dedup, packing, quality, substring_dedup, toxicity, warc
@@ -44,8 +44,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe.round_trip_digests(encoded, vocabulary).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,33 +102,41 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Captures as a crawler would have stored them: pages with odd ids were asked for conditionally and answered 304."""
-    etag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    again = F.col("page_id") % 2 == 1
-    date = F.concat(F.lit("t"), F.col("page_id").cast("string"))
-    full = F.create_map(F.lit("ETag"), etag, F.lit("Date"), date, F.lit("Content-Type"), F.lit("text/html"))
-    short = F.create_map(F.lit("etag"), etag, F.lit("date"), date, F.lit("Content-Type"), F.lit("message/http"))
-    return pages.select(
-        F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("ts"),
-        F.when(again, "revisit").otherwise("response").alias("kind"),
-        F.when(again, short).otherwise(full).alias("headers"),
-        F.when(~F.coalesce(again, F.lit(False)), F.coalesce("html", F.lit(""))).alias("body"),
+    """Four captures of each page, as a crawler would have stored them: a full response, a conditional request by ETag
+    answered 304, the page grown by a comment, and a conditional request by date answered 304.
+
+    One ETag in seven and one date in five have changed, as where a cache answered for another version.
+    """
+    page, n, html = F.col("page_id"), F.col("n"), F.coalesce("html", F.lit(""))
+    text = lambda c: c.cast("string")
+    etag, modified = F.md5(html.cast("binary")), F.concat(F.lit("m"), text(page))
+    stamp = F.concat(F.lit("t"), text(page * 4 + n))
+    pairs = lambda *kv: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in kv])
+    headers = (
+        F.when(n == 0, pairs("ETag", etag, "Last-Modified", modified, "Date", stamp, "Content-Type", "text/html"))
+        .when(n == 1, pairs("etag", F.when(page % 7 == 0, F.lit("changed")).otherwise(etag), "date", stamp, "Content-Type", "message/http"))
+        .when(n == 2, pairs("ETag", F.concat(etag, F.lit("-2")), "Last-Modified", F.concat(modified, F.lit("-2")), "Date", stamp, "Content-Type", "text/html"))
+        .otherwise(pairs("last-modified", F.when(page % 5 == 0, F.lit("changed")).otherwise(F.concat(modified, F.lit("-2"))), "date", stamp, "Content-Type", "message/http"))
+    )
+    captures = pages.select("page_id", "url", "html", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("n"))
+    return captures.select(
+        (page * 4 + n).alias("record_id"), "url", (page * 4 + n).alias("ts"), F.when(n % 2 == 0, "response").otherwise("revisit").alias("kind"), headers.alias("headers"),
+        F.when(n == 0, html).when(n == 2, F.concat(html, F.lit("<!-- 2 -->"))).alias("body"),
     )
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = warc.resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
     return done.select(
-        F.col("record_id").alias("page_id"), "url_key", "kind", "status", "refers_to",
-        F.col("headers")["etag"].alias("etag"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"),
-        F.length("body").cast("long").alias("n_chars"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"),
+        "record_id", "url_key", "kind", "status", "refers_to",
+        F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), F.col("headers")["date"].alias("date"),
+        F.col("headers")["content-type"].alias("content_type"), F.length("body").cast("long").alias("n_chars"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"),
     )
 
 
 ORACLE_SQL["op10_warc"] = r"""
 WITH bare AS (
-  SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS etag, 't' || CAST(page_id AS VARCHAR) AS date,
-         CASE WHEN page_id % 2 = 1 THEN 'revisit' ELSE 'response' END AS kind,
+  SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag, 'm' || page_id AS changed_at,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS bare
   FROM pages
 ), parts AS (
@@ -139,19 +146,25 @@ WITH bare AS (
            lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept
   FROM bare
 ), r AS (
-  SELECT page_id, html, etag, date, kind, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM parts
-), prior AS (
-  SELECT a.page_id, max(b.page_id) AS prior_id FROM r a JOIN r b ON a.url_key = b.url_key AND b.page_id < a.page_id AND b.kind = 'response'
-  WHERE a.kind = 'revisit' GROUP BY a.page_id
+  SELECT page_id * 4 + n AS record_id, CASE WHEN n % 2 = 0 THEN 'response' ELSE 'revisit' END AS kind, 't' || (page_id * 4 + n) AS date,
+         host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+         CASE n WHEN 0 THEN tag WHEN 1 THEN CASE WHEN page_id % 7 = 0 THEN 'changed' ELSE tag END WHEN 2 THEN tag || '-2' END AS etag,
+         CASE n WHEN 0 THEN changed_at WHEN 2 THEN changed_at || '-2' WHEN 3 THEN CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE changed_at || '-2' END END AS modified,
+         CASE n WHEN 0 THEN html WHEN 2 THEN html || '<!-- 2 -->' END AS body
+  FROM parts, range(4) AS c(n)
+), dated AS (
+  SELECT *, max(CASE WHEN kind = 'response' THEN record_id END) OVER (PARTITION BY url_key ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM r
 ), judged AS (
-  SELECT r.*, p.prior_id, b.etag AS prior_etag, b.html AS prior_html FROM r LEFT JOIN prior p USING (page_id) LEFT JOIN r b ON b.page_id = p.prior_id
+  SELECT a.*, b.etag AS prior_etag, b.modified AS prior_modified, b.body AS prior_body,
+         CASE WHEN a.kind = 'response' THEN 'response' WHEN a.prior_id IS NULL THEN 'no_response'
+              WHEN coalesce(CASE WHEN a.etag IS NOT NULL THEN a.etag = b.etag ELSE a.modified = b.modified END, false) THEN 'resolved' ELSE 'validator_mismatch' END AS status
+  FROM dated a LEFT JOIN r b ON b.record_id = a.prior_id
 )
-SELECT page_id, url_key, kind,
-  CASE WHEN kind = 'response' THEN 'response' WHEN prior_id IS NULL THEN 'no_response' WHEN prior_etag = etag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
-  CASE WHEN prior_etag = etag THEN prior_id END AS refers_to, etag, date,
-  CASE WHEN kind = 'response' OR prior_etag = etag THEN 'text/html' ELSE 'message/http' END AS content_type,
-  CASE WHEN kind = 'response' THEN length(html) WHEN prior_etag = etag THEN length(prior_html) END AS n_chars,
-  CASE WHEN kind = 'response' THEN sha256(html) WHEN prior_etag = etag THEN sha256(prior_html) END AS body_sha256
+SELECT record_id, url_key, kind, status, CASE WHEN status = 'resolved' THEN prior_id END AS refers_to,
+  CASE WHEN status = 'resolved' THEN coalesce(etag, prior_etag) ELSE etag END AS etag,
+  CASE WHEN status = 'resolved' THEN coalesce(modified, prior_modified) ELSE modified END AS modified, date,
+  CASE WHEN status IN ('response', 'resolved') THEN 'text/html' ELSE 'message/http' END AS content_type,
+  length(CASE WHEN status = 'resolved' THEN prior_body ELSE body END) AS n_chars, sha256(CASE WHEN status = 'resolved' THEN prior_body ELSE body END) AS body_sha256
 FROM judged
 """
 

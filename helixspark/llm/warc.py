@@ -4,14 +4,16 @@ A revisit record says that the server answered 304 and holds no body.  It is res
 earlier full response of the same canonical URL, whose validators must agree, lends its body and its headers, the
 latter updated by those that a 304 answer may carry.
 
-The as-of join is two levels of windows over slim columns.  Time is cut into slots; within (URL, slot) a window finds
-the last response, and what earlier slots hand on is one row per (URL, slot).  So a URL that fills a third of the
-table is spread over its slots, and bodies move only in the final equi-join on the response's id.
+The as-of join is two levels of windows over slim columns.  Records are cut by range of (URL, time, id) into slots of
+about equal size; within (URL, slot) a window finds the last response, and what earlier slots hand on is one row per
+(URL, slot).  So a URL that fills a third of the table is spread over many slots whatever its times are, and bodies move
+only in the final equi-join on the response's id.
 
 Defined cases: among records of one time the smaller id is the earlier; a record without URL or time is never
 resolved and never resolves another; a revisit without validators, or whose validator the response lacks, does not
 match; header names compare without case; null headers count as none; repeated ids are repeated records, and a
-response whose id repeats lends the body that compares largest.
+response whose id repeats lends the body that compares largest; records of any other kind, or without one, come out as
+they are with the status ``other``; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
+
 #: Header fields that a 304 answer updates (RFC 9110, 15.4.5, and the dates of RFC 9111, 3.2).
 NOT_MODIFIED_HEADERS = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -42,37 +46,28 @@ def lower_keys(headers: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def resolve_revisits(records: DataFrame, slot_width: int = 4096) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolve a table ``record_id, url, ts (long), kind ('response'|'revisit'), headers map<string,string>, body``.
 
     Returns one row per record: ``record_id, url_key, ts, kind, status, refers_to, headers, body``.  ``status`` is
-    ``response``, ``resolved``, ``no_response`` or ``validator_mismatch``; unresolved revisits have a null body and
-    their own headers.  ``slot_width`` is the length of a time slot in units of ``ts``.
+    ``response``, ``resolved``, ``no_response``, ``validator_mismatch`` or ``other``; unresolved revisits have a null body
+    and their own headers.
     """
     src = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", lower_keys(F.col("headers")).alias("headers"), "body")
     sound = F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
-    meta = src.select("record_id", "url_key", "ts", "kind", "headers").withColumn("sound", sound)
+    meta = src.select("record_id", "url_key", "ts", "kind", "headers").where("kind in ('response', 'revisit')")
     asof = _latest_response(
-        meta.where("sound").select(
-            "record_id", "url_key", "ts", "kind", F.floor(F.col("ts") / slot_width).alias("slot"),
-            F.col("headers").getItem("etag").alias("etag"), F.col("headers").getItem("last-modified").alias("modified"),
+        meta.where(sound).select(
+            "record_id", "url_key", "ts", "kind", F.col("headers").getItem("etag").alias("etag"), F.col("headers").getItem("last-modified").alias("modified"),
+            F.when(F.col("kind") == "revisit", F.col("headers")).alias("headers"),
         )
     )
     agree = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("prior.etag")).when(F.col("modified").isNotNull(), F.col("modified") == F.col("prior.modified"))
-    judged = asof.where("kind = 'revisit'").select(
-        F.col("record_id").alias("rid"),
-        F.col("url_key").alias("rurl"),
-        F.col("ts").alias("rts"),
-        F.when(F.col("prior").isNull(), "no_response").when(F.coalesce(agree, F.lit(False)), "resolved").otherwise("validator_mismatch").alias("status"),
-        F.col("prior.record_id").alias("prior_id"),
-    ).distinct()
-    revisits = meta.where("kind = 'revisit'").join(
-        judged, (F.col("record_id") == F.col("rid")) & (F.col("url_key") == F.col("rurl")) & (F.col("ts") == F.col("rts")), "left"
-    )
-    revisits = revisits.select(
-        "record_id", "url_key", "ts", "kind", F.coalesce("status", F.lit("no_response")).alias("status"),
-        F.when(F.col("status") == "resolved", F.col("prior_id")).alias("refers_to"), "headers",
-    )
+    status = F.when(F.col("prior").isNull(), "no_response").when(F.coalesce(agree, F.lit(False)), "resolved").otherwise("validator_mismatch")
+    judged = asof.where("kind = 'revisit'").select("record_id", "url_key", "ts", "kind", status.alias("status"), F.col("prior.record_id").alias("prior_id"), "headers")
+    none = F.lit(None).cast(dict(records.dtypes)["record_id"])
+    odd = meta.where("kind = 'revisit'").where(~sound).select("record_id", "url_key", "ts", "kind", F.lit("no_response").alias("status"), none.alias("prior_id"), "headers")
+    revisits = judged.unionByName(odd).withColumn("refers_to", F.when(F.col("status") == "resolved", F.col("prior_id"))).drop("prior_id")
     # the body column last: a response whose id repeats lends its largest body
     lenders = src.where("kind = 'response'").select(F.col("record_id").alias("lender"), F.col("headers").alias("lent"), F.col("body"))
     wanted = revisits.where("refers_to is not null").select(F.col("refers_to").alias("lender")).distinct()
@@ -84,15 +79,18 @@ def resolve_revisits(records: DataFrame, slot_width: int = 4096) -> DataFrame:
         F.when(F.col("refers_to").isNotNull(), F.map_concat(base, updates)).otherwise(F.col("headers")).alias("headers"),
         F.col("got.body").alias("body"),
     )
-    whole = src.where("kind = 'response'").select("record_id", "url_key", "ts", "kind", F.lit("response").alias("status"), F.lit(None).cast("long").alias("refers_to"), "headers", "body")
-    return whole.unionByName(done)
+    as_is = src.where("kind is null or kind <> 'revisit'")
+    own = F.when(F.col("kind") == "response", "response").otherwise("other")
+    return as_is.select("record_id", "url_key", "ts", "kind", own.alias("status"), none.alias("refers_to"), "headers", "body").unionByName(done)
 
 
 def _latest_response(rows: DataFrame) -> DataFrame:
     """Add ``prior``: the last response of the same URL before (ts, record_id), or null."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = keep(rows.repartitionByRange(n, "url_key", "ts", "record_id").withColumn("slot", F.spark_partition_id()), "captures")
     answer = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "modified"))
-    per_slot = rows.groupBy("url_key", "slot").agg(F.max(answer).alias("last_in_slot"))
+    per_slot = cut.groupBy("url_key", "slot").agg(F.max(answer).alias("last_in_slot"))
     earlier = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     handed_on = per_slot.select("url_key", "slot", F.last("last_in_slot", ignorenulls=True).over(earlier).alias("handed_on"))
     inside = Window.partitionBy("url_key", "slot").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("near", F.last(answer, ignorenulls=True).over(inside)).join(handed_on, ["url_key", "slot"]).withColumn("prior", F.coalesce("near", "handed_on"))
+    return cut.withColumn("near", F.last(answer, ignorenulls=True).over(inside)).join(handed_on, ["url_key", "slot"]).withColumn("prior", F.coalesce("near", "handed_on"))

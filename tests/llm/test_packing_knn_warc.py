@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixspark.llm import knn, packing, queries, warc
@@ -89,6 +90,19 @@ def test_top_k_of_large_numbers_stays_exact(spark):
     assert sorted(map(tuple, rows)) == [(0, 1, 2, big * big + 3), (0, 2, 1, big * big + 2)]
 
 
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(i, [10**10 + i, 1]) for i in range(30)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="do not fit in 64 bits"):
+        knn.top_k(df, df.where("vec_id = 0"), k=2).collect()
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1, 0]), (0, [1, 0]), (0, [2, 0]), (1, [5, 0]), (1, [5, 0]), (2, [4, 1]), (3, [1, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = knn.top_k(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert list(map(tuple, got)) == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 2, 4)]
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.01]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, None), (5, [None, 1.0]), (6, [])]
     got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i int, e array<float>").select("i", knn.quantised(F.col("e"))).collect()}
@@ -126,7 +140,7 @@ def test_resolution(spark):
         (12, "http://b.org/", 1, "revisit", {"LAST-MODIFIED": "m"}, None, None),
         (13, "http://b.org/", 2, "revisit", {}, None, None),
     ]
-    got = {x["record_id"]: x for x in warc.resolve_revisits(spark.createDataFrame(r, RECORDS), slot_width=16).collect()}
+    got = {x["record_id"]: x for x in warc.resolve_revisits(spark.createDataFrame(r, RECORDS)).collect()}
     assert len(got) == len(r)
     want = {1: "response", 2: "resolved", 3: "response", 4: "validator_mismatch", 5: "resolved", 6: "no_response", 7: "no_response", 8: "no_response", 9: "no_response", 10: "validator_mismatch", 11: "response", 12: "resolved", 13: "validator_mismatch"}
     assert {i: x["status"] for i, x in got.items()} == want
@@ -137,3 +151,34 @@ def test_resolution(spark):
 
 def test_resolution_of_nothing(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
+
+
+def test_resolution_gives_one_row_a_record(spark):
+    r = [
+        (1, "http://a.org/x", 10, "response", {"ETag": "v1"}, "one", None),
+        (2, "http://a.org/x", 20, "revisit", {"ETag": "v1"}, None, None),
+        (2, "http://a.org/x", 20, "revisit", {"ETag": "v2"}, None, None),
+        (3, "http://a.org/x", 30, None, {"A": "b"}, "kept", None),
+        (4, "http://a.org/x", 40, "metadata", None, None, None),
+        (None, "http://a.org/x", 50, "revisit", {"ETag": "v1"}, None, None),
+        (None, None, None, None, None, None, None),
+    ]
+    got = warc.resolve_revisits(spark.createDataFrame(r, RECORDS)).collect()
+    assert sorted((str(x["record_id"]), x["status"], x["body"]) for x in got) == sorted([
+        ("1", "response", "one"), ("2", "resolved", "one"), ("2", "validator_mismatch", None), ("3", "other", "kept"), ("4", "other", None), ("None", "no_response", None), ("None", "other", None),
+    ])
+
+
+def test_resolution_of_one_hot_url(spark):
+    """All records have one URL and few distinct times; the last response before each is found across slots."""
+    r = [(i, "http://a.org/x", i // 400, "response" if i % 50 == 0 else "revisit", {"ETag": f"v{i // 50}"}, f"b{i // 50}" if i % 50 == 0 else None, None) for i in range(2000)]
+    got = {x["record_id"]: x for x in warc.resolve_revisits(spark.createDataFrame(r, RECORDS)).collect()}
+    assert len(got) == len(r)
+    assert all(got[i]["status"] == "resolved" and got[i]["refers_to"] == i - i % 50 and got[i]["body"] == f"b{i // 50}" for i in got if i % 50)
+
+
+def test_registered_captures_resolve(spark):
+    rows = queries.op10_warc(spark, D).groupBy("status").count().collect()
+    found = {x["status"]: x["count"] for x in rows}
+    assert found["resolved"] > 0.6 * (found["resolved"] + found.get("validator_mismatch", 0) + found.get("no_response", 0))
+    assert found["validator_mismatch"] > 0
