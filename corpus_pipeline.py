@@ -54,8 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and reread."""
+    """All stages over ``documents``, each written to the shared folder and reread.
+
+    Once a stage is written, its input and the side tables of its operators are deleted.
+    """
     docs = table(spark, sf_dir, "documents")
+    start = scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.release(start, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
