@@ -1,4 +1,4 @@
-"""MinHash signatures and LSH over packed k-mer sets: an approximate similarity join.
+"""MinHash signatures and LSH over k-mer sets, packed or strings: an approximate similarity join.
 
 The i-th hash of a k-mer x is ``(a_i * (x mod P) + b_i) mod P`` with P = 2**31 - 1 and coefficients from a linear
 congruential sequence, so signatures are the same in any engine with 64-bit integers.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
+
 P = 2**31 - 1
 
 
@@ -26,7 +28,8 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 
 def signatures(prof: DataFrame, n_perm: int = 128) -> DataFrame:
     """``sample, signature array<long>``: one aggregate with map-side partial minima."""
-    x = F.pmod(F.col("kmer"), F.lit(P))
+    number = F.col("kmer") if dict(prof.dtypes)["kmer"] == "bigint" else F.xxhash64("kmer")
+    x = F.pmod(number, F.lit(P))
     mins = [F.min(F.pmod(x * F.lit(a).cast("long") + F.lit(b), F.lit(P))).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(n_perm))]
     grouped = prof.groupBy("sample").agg(*mins)
     return grouped.select("sample", F.array(*[f"h{i}" for i in range(n_perm)]).alias("signature"))
@@ -56,7 +59,7 @@ def lsh_similarities(prof: DataFrame, threshold: float = 0.1, n_perm: int = 128,
     """``sample_a, sample_b, similarity``: candidate pairs whose estimated Jaccard similarity is above the threshold."""
     if bands is None or rows is None:
         bands, rows = band_layout(threshold, n_perm)
-    signed = signatures(prof, n_perm).persist()
+    signed = keep(signatures(prof, n_perm), "signatures")
     side = lambda s: signed.select(F.col("sample").alias(f"sample_{s}"), F.col("signature").alias(f"sig_{s}"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
     joined = candidates(signed, bands, rows).join(side("a"), "sample_a").join(side("b"), "sample_b")
@@ -64,5 +67,5 @@ def lsh_similarities(prof: DataFrame, threshold: float = 0.1, n_perm: int = 128,
 
 
 def choose_method(n_samples: int, max_comparisons: int = 1_000_000, force_lsh: bool = False) -> str:
-    """``exact`` or ``lsh``, by the number of sample pairs."""
+    """Advice, ``exact`` or ``lsh``, by the number of sample pairs; nothing switches by itself."""
     return "lsh" if force_lsh or n_samples * (n_samples - 1) // 2 > max_comparisons or n_samples > 500 else "exact"

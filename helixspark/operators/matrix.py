@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 MAX_SAMPLES = 5000
 
 
-def collect_matrix(pairs: DataFrame, samples: list[str] | None = None, value: str = "distance", diagonal: float = 0.0) -> tuple[list[str], np.ndarray]:
-    """(samples in order, square matrix)."""
+def collect_matrix(
+    pairs: DataFrame, samples: list[str] | None = None, value: str = "distance", diagonal: float = 0.0, missing: float | None = None
+) -> tuple[list[str], np.ndarray]:
+    """(samples in order, square matrix).  Pairs without a row get ``missing``; ``ValueError`` where that is not given."""
     if samples is None:
         samples = sorted({r[0] for r in pairs.select("sample_a").union(pairs.select("sample_b")).distinct().limit(MAX_SAMPLES + 1).collect()})
     if len(samples) > MAX_SAMPLES:
         raise ValueError(f"{len(samples)} samples are too many for a matrix on the driver; at most {MAX_SAMPLES}")
     at = {s: i for i, s in enumerate(samples)}
-    out = np.zeros((len(samples), len(samples)))
+    out = np.full((len(samples), len(samples)), np.nan)
     np.fill_diagonal(out, diagonal)
     got = pairs.select("sample_a", "sample_b", value).toPandas()
     i, j = (got[c].map(at).to_numpy() for c in ("sample_a", "sample_b"))
-    out[i, j] = out[j, i] = got[value].to_numpy()
+    there = ~(np.isnan(i.astype(float)) | np.isnan(j.astype(float)))  # pairs of other samples than those asked for
+    i, j = i[there].astype(np.int64), j[there].astype(np.int64)
+    out[i, j] = out[j, i] = got[value].to_numpy()[there]
+    absent = np.isnan(out)
+    if absent.any():
+        if missing is None:
+            raise ValueError(f"{int(absent.sum()) // 2} pairs of samples have no {value}; say what they count as by missing=")
+        out[absent] = missing
     return samples, out
 
 
@@ -46,6 +55,70 @@ def pcoa(distances: np.ndarray, n_components: int = 2) -> tuple[np.ndarray, np.n
     return _axes(_centred(-0.5 * distances**2), n_components)
 
 
+def mds(distances: np.ndarray, n_components: int = 2, rounds: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Metric scaling by majorisation from the classical solution: (coordinates, stress, the sum of squared differences)."""
+    n = len(distances)
+    points = pcoa(distances, n_components)[0]
+    stress = np.inf
+    for _ in range(rounds if n > 1 else 0):
+        now = np.sqrt(squared_distances(points, points))
+        np.fill_diagonal(now, 0.0)
+        last, stress = stress, float(((now - distances) ** 2).sum() / 2)
+        if last - stress <= tolerance * max(stress, 1e-300):
+            break
+        ratio = np.divide(distances, now, out=np.zeros_like(now), where=now > 0)
+        b = -ratio
+        np.fill_diagonal(b, ratio.sum(1))
+        points = b @ points / n
+    return points, 0.0 if stress == np.inf else stress
+
+
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between the rows of a and of b, from norms and one matrix product."""
+    return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
+
+
+def neighbour_shares(distances: np.ndarray, perplexity: float) -> np.ndarray:
+    """Joint probabilities of neighbours: per row a Gaussian whose entropy is ln(perplexity), made symmetric."""
+    n = len(distances)
+    d2 = distances**2
+    out = np.zeros((n, n))
+    for i in range(n):
+        own = np.delete(d2[i], i)
+        own = own - own.min()
+        low, high, beta = 0.0, np.inf, 1.0
+        for _ in range(60):
+            w = np.exp(-own * beta)
+            entropy = np.log(w.sum()) + beta * (own * w).sum() / w.sum()
+            if entropy > np.log(perplexity):
+                low, beta = beta, beta * 2 if high == np.inf else (beta + high) / 2
+            else:
+                high, beta = beta, (beta + low) / 2
+        out[i, np.arange(n) != i] = w / w.sum()
+    return (out + out.T) / (2 * n)
+
+
+def tsne(distances: np.ndarray, n_components: int = 2, perplexity: float = 30.0, rounds: int = 500, rate: float = 200.0, seed: int = 42) -> np.ndarray:
+    """t-SNE of a distance matrix by gradient descent with momentum; the perplexity is at most a third of the others."""
+    n = len(distances)
+    if n < 3:
+        return pcoa(distances, n_components)[0]
+    p = np.maximum(neighbour_shares(distances, min(perplexity, max(1.0, (n - 1) / 3))), 1e-12)
+    y = np.random.default_rng(seed).normal(0, 1e-4, (n, n_components))
+    step, gain = np.zeros_like(y), np.ones_like(y)
+    for r in range(rounds):
+        near = 1 / (1 + squared_distances(y, y))
+        np.fill_diagonal(near, 0.0)
+        q = np.maximum(near / near.sum(), 1e-12)
+        pull = ((12.0 if r < 100 else 1.0) * p - q) * near
+        gradient = 4 * (pull.sum(1)[:, None] * y - pull @ y)
+        gain = np.maximum(0.01, np.where(np.sign(gradient) == np.sign(step), gain * 0.8, gain + 0.2))
+        step = (0.5 if r < 100 else 0.8) * step - min(rate, max(10.0, n / 4)) * gain * gradient
+        y = y + step
+        y -= y.mean(0)
+    return y
+
+
 def pca_from_gram(gram: np.ndarray, n_components: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """PCA by the samples' inner products: (scores, explained variance ratios)."""
     scores, values = _axes(_centred(gram), n_components)
@@ -142,12 +215,12 @@ def kmeans(points: np.ndarray, k: int, seed: int = 42, starts: int = 10, rounds:
     for _ in range(starts):
         centres = points[[rng.integers(len(points))]]
         while len(centres) < k:
-            d = ((points[:, None] - centres[None]) ** 2).sum(2).min(1)
+            d = squared_distances(points, centres).min(1)
             p = d / d.sum() if d.sum() > 0 else np.full(len(points), 1 / len(points))
             centres = np.vstack([centres, points[rng.choice(len(points), p=p)]])
         labels = None
         for _ in range(rounds):
-            new = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            new = squared_distances(points, centres).argmin(1)
             if labels is not None and (new == labels).all():
                 break
             labels = new
@@ -169,7 +242,9 @@ def identify_clusters(spark, pairs: DataFrame, least: int = 2, most: int = 8, va
     n = len(samples)
     label_rows, score_rows = [], []
     points = pcoa(d, min(10, max(1, n - 1)))[0] if variant == "standard" else 1 - d
-    apart = np.sqrt(np.maximum(0, ((points[:, None] - points[None]) ** 2).sum(2))) if n else d
+    apart = np.sqrt(squared_distances(points, points)) if n else d
+    if n:
+        np.fill_diagonal(apart, 0.0)
     merges = linkage(d, "average" if variant == "standard" else "ward") if n else []
     for k in range(least, min(most, n - 1) + 1) if variant == "standard" or min(most, n - 1) > least else ():
         for method, labels, by in (("kmeans", kmeans(points, k, seed), apart), ("hierarchical", cut(merges, n, k), d)):

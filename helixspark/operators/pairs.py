@@ -26,6 +26,13 @@ def every_pair(samples: DataFrame) -> DataFrame:
     return left.join(samples.select(F.col("sample").alias("sample_b"), F.col("idx").alias("other")), "other").drop("other")
 
 
+def completed(found: DataFrame, prof: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """All pairs of samples, ``sample_a, sample_b, distance, similarity``; those that are not in ``found`` have ``similarity``."""
+    known = found.select("sample_a", "sample_b", F.col("similarity").alias("known"))
+    s = F.coalesce("known", F.lit(similarity))
+    return every_pair(sample_list(prof)).join(known, ["sample_a", "sample_b"], "left").select("sample_a", "sample_b", (1 - s).alias("distance"), s.alias("similarity"))
+
+
 def pair_sums(prof: DataFrame, exact: bool = True) -> DataFrame:
     """Sums over shared k-mers: ``inter``, ``m`` (sum of minima), ``p`` (of products), ``e`` (equal frequencies).
 

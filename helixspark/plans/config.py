@@ -19,13 +19,14 @@ class ProfileConfig:
     sketch: bool = False
     sketch_size: int = 1000
     sampling: str = "frequency"
+    common_share: float = 0.0  # leave out k-mers that a smaller share of the samples has; 0 keeps all
 
 
 @dataclass(frozen=True)
 class SimilarityConfig:
     metric: str = "braycurtis"
     threshold: float = 0.1
-    max_comparisons: int = 1_000_000
+    method: str = "exact"  # or "lsh": estimated Jaccard, pairs at or below the threshold count as unlike
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,8 @@ class Config:
         tests = [
             (1 <= p.k <= 32, "k must be from 1 to 32"), (p.max_reads is None or p.max_reads > 0, "max_reads must be positive"), (p.min_kmer_freq >= 1, "min_kmer_freq must be positive"),
             (p.sketch_size > 0, "sketch_size must be positive"), (p.sampling in SAMPLING, f"sampling must be one of {', '.join(SAMPLING)}"),
-            (s.metric in METRICS, f"metric must be one of {', '.join(METRICS)}"), (0 <= s.threshold <= 1, "threshold must be from 0 to 1"), (s.max_comparisons > 0, "max_comparisons must be positive"),
+            (s.metric in METRICS, f"metric must be one of {', '.join(METRICS)}"), (0 <= s.threshold <= 1, "threshold must be from 0 to 1"), (s.method in ("exact", "lsh"), "method must be exact or lsh"),
+            (s.method == "exact" or s.metric == "jaccard", "lsh estimates the jaccard metric only"), (0 <= p.common_share <= 1, "common_share must be from 0 to 1"),
             (0 <= t.permutations <= 99999, "permutations must be from 0 to 99999"), (2 <= t.min_clusters <= t.max_clusters, "cluster range must start at 2 and not be empty"),
             (t.variant in ("standard", "simple"), "variant must be standard or simple"),
             (1 <= g.min_group_size <= g.max_group_size, "group sizes must be positive and in order"), (0 <= g.max_distance <= 1, "max_distance must be from 0 to 1"),

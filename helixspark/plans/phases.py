@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.operators import matrix, pairs, profiles, recommend, sketch, stats
-from helixspark.operators.lsh import choose_method, lsh_similarities
+from helixspark.operators.lsh import lsh_similarities
 from helixspark.plans.config import Config
 from helixspark.plans.scratch import keep
 from helixspark.sources import fastq, metadata, results
@@ -32,14 +32,19 @@ def profile_reads(reads: DataFrame, config: Config) -> DataFrame:
 
 
 def run_phase1(reads: DataFrame, config: Config) -> Phase1:
-    """Profile and pairs, each evaluated once.  Very many samples go through LSH, as the limits in the settings say."""
+    """Profile and pairs, each evaluated once.  All pairs of samples are there, with the metric of the settings.
+
+    What is computed never depends on the number of samples: LSH, and the removal of rare k-mers, are settings.  With LSH
+    the pairs that it leaves out, whose estimate is not above the threshold, have similarity 0.
+    """
     prof = keep(profile_reads(reads, config.checked()), "profile")
     samples = prof.select("sample").distinct()
-    n = samples.count()
-    if choose_method(n, config.similarity.max_comparisons) == "lsh" and dict(prof.dtypes)["kmer"] == "bigint":
-        found = lsh_similarities(prof, config.similarity.threshold).withColumn("distance", 1 - F.col("similarity"))
-        return Phase1(samples, prof, keep(found.select("sample_a", "sample_b", "distance", "similarity"), "pairs"))
-    return Phase1(samples, prof, keep(pairs.pairwise(profiles.common_only(prof, n), config.similarity.metric), "pairs"))
+    share = config.profile.common_share
+    used = profiles.common_only(prof, share=share, only_above=0) if share > 0 else prof
+    if config.similarity.method == "lsh":
+        found = lsh_similarities(used, config.similarity.threshold)
+        return Phase1(samples, prof, keep(pairs.completed(found, used), "pairs"))
+    return Phase1(samples, prof, keep(pairs.pairwise(used, config.similarity.metric), "pairs"))
 
 
 def run_phase2(spark: SparkSession, phase1: Phase1, meta: DataFrame, config: Config):

@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -33,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: evaluated once, lineage cut, columns prunable."""
+    """Write ``df`` as Parquet in the shared folder and read it back: evaluated once, lineage cut, columns prunable.
+
+    The shuffle files of the write are deleted with its end, for the written table replaces them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

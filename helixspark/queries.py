@@ -302,15 +302,14 @@ def sample_components(spark, sf_dir):
     return graph.sample_clusters(p.select("sample").distinct(), pairs.pairwise(p, "braycurtis"), 0.35)
 
 
-_BANDS, _ROWS = 16, 2
-_HASHES = ", ".join(f"min(({a} * x + {b}) % 2147483647)" for a, b in lsh.coefficients(32))
+_HASHES = ", ".join(f"min(({a} * x + {b}) % 2147483647)" for a, b in lsh.coefficients(128))
 
 
 @query(
     BASE + f""", pk AS (SELECT sample, list_reduce(list_transform(range(1, 12), lambda i: CAST(instr('ACGT', substr(kmer, i, 1)) - 1 AS BIGINT)), lambda a, x: a * 4 + x) AS x FROM kc),
-sg AS (SELECT sample, [{_HASHES}] AS g FROM pk GROUP BY sample), bd AS (SELECT sample, i, g[i * 2 + 1] AS u, g[i * 2 + 2] AS v FROM sg, (SELECT unnest(range(0, {_BANDS})) AS i)),
-cd AS (SELECT DISTINCT a.sample AS sample_a, b.sample AS sample_b FROM bd a JOIN bd b ON a.i = b.i AND a.u = b.u AND a.v = b.v AND a.sample < b.sample)
-SELECT * FROM (SELECT sample_a, sample_b, len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 32 AS similarity FROM cd JOIN sg a ON a.sample = sample_a JOIN sg b ON b.sample = sample_b) WHERE similarity > 0.1"""
+sg AS (SELECT sample, [{_HASHES}] AS g FROM pk GROUP BY sample), bd AS (SELECT sample, i, g[i + 1] AS u FROM sg, (SELECT unnest(range(0, 128)) AS i)),
+cd AS (SELECT DISTINCT a.sample AS sample_a, b.sample AS sample_b FROM bd a JOIN bd b ON a.i = b.i AND a.u = b.u AND a.sample < b.sample)
+SELECT * FROM (SELECT sample_a, sample_b, len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 128 AS similarity FROM cd JOIN sg a ON a.sample = sample_a JOIN sg b ON b.sample = sample_b) WHERE similarity > 0.1"""
 )
 def lsh_pairs(spark, sf_dir):
     """128 bands of one row: pairs whose estimate is above 0.1 agree in 13 hashes and so meet in 13 bands."""
@@ -549,7 +548,7 @@ def faulty_reads(spark, sf_dir):
     )
 
 
-FAULTY = """WITH b AS (SELECT concat_ws('_', lang, source) AS sample, doc_id AS read_no, substr(upper(regexp_replace(text, '[^ACGTRacgtr]', '', 'g')), 1, 80) AS seq FROM documents),
+FAULTY = """WITH b AS (SELECT concat_ws('_', lang, source) AS sample, doc_id AS read_no, upper(regexp_replace(text, '[^ACGTRacgtr]', '', 'g')) AS seq FROM documents),
 fr AS (SELECT *, CASE WHEN read_no % 7 = 0 THEN '>' ELSE '@' END || read_no AS header, CASE WHEN read_no % 11 = 0 THEN '-' ELSE '+' END AS plus, repeat(CASE WHEN read_no % 5 = 0 THEN '#' ELSE 'I' END, greatest(0, len(seq) - CASE WHEN read_no % 13 = 0 THEN 1 ELSE 0 END)) AS qual FROM b)"""
 
 

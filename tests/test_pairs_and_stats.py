@@ -258,3 +258,36 @@ def test_plot_tables(spark):
     assert plotdata.hover_text(points, meta).where("sample = 'A'").first()["hover"] == "site: x<br>age: 1.0"
     results = spark.createDataFrame([("site", 0.01, 0.5), ("age", None, None)], "variable string, p_value double, r_squared double")
     assert [tuple(r) for r in plotdata.variable_importance(results).collect()] == [("site", 0.5, 2.0, "red")]
+
+
+def test_missing_pairs_are_not_identical(spark):
+    found = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.2)], "sample_a string, sample_b string, distance double")
+    with pytest.raises(ValueError, match="1 pairs"):
+        matrix.collect_matrix(found)
+    assert matrix.collect_matrix(found, missing=1.0)[1].tolist() == [[0.0, 0.1, 0.2], [0.1, 0.0, 1.0], [0.2, 1.0, 0.0]]
+
+
+def test_mds_and_tsne():
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 0.1, (12, 2)), rng.normal(5, 0.1, (12, 2))])
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    placed, stress = matrix.mds(apart)
+    again = np.sqrt(((placed[:, None] - placed[None]) ** 2).sum(2))
+    assert stress < 1e-6 and np.abs(again - apart).max() < 1e-3
+    # a non-Euclidean matrix: majorisation never ends worse than the classical solution
+    odd = apart**0.3
+    start = matrix.pcoa(odd)[0]
+    first = (np.sqrt(((start[:, None] - start[None]) ** 2).sum(2)) - odd) ** 2
+    assert matrix.mds(odd)[1] <= first.sum() / 2 + 1e-9
+    shares = matrix.neighbour_shares(apart, 5.0)
+    assert abs(shares.sum() - 1) < 1e-9 and np.allclose(shares, shares.T)
+    flat = matrix.tsne(apart, perplexity=5.0)
+    far = np.sqrt(((flat[:, None] - flat[None]) ** 2).sum(2))
+    assert far[:12, :12].max() < far[:12, 12:].min()
+    assert matrix.tsne(np.zeros((2, 2))).shape[0] == 2 and matrix.mds(np.zeros((1, 1)))[1] == 0.0
+
+
+def test_squared_distances_equal_brute_force():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(7, 5)), rng.normal(size=(4, 5))
+    assert np.allclose(matrix.squared_distances(a, b), ((a[:, None] - b[None]) ** 2).sum(2))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixspark import cli, queries
 from helixspark.functions import scalars
-from helixspark.operators import preprocess, recommend, stats
+from helixspark.operators import pairs, preprocess, recommend, stats
 from helixspark.plans import config, phases
 from helixspark.sources import fastq, metadata, results
 
@@ -267,8 +267,22 @@ def test_sketched_and_lsh_runs(spark):
     for method in config.SAMPLING:
         one = phases.run_phase1(reads, config.Config().updated(k=5, sketch=True, sketch_size=20, sampling=method))
         assert one.pairs.count() == 10
-    forced = phases.run_phase1(reads, config.Config().updated(k=5, max_comparisons=1))
-    assert forced.pairs.where("similarity > 0.1").count() > 0
+    for packed in (True, False):
+        forced = phases.run_phase1(reads, config.Config().updated(k=5, packed=packed, method="lsh", metric="jaccard"))
+        assert forced.pairs.count() == 10 and forced.pairs.where("similarity > 0.1").count() > 0
+        assert forced.pairs.where("distance <> 1 - similarity").count() == 0
+    assert "lsh estimates the jaccard metric only" in config.Config().updated(method="lsh").problems()
+
+
+def test_nothing_switches_with_the_number_of_samples(spark):
+    """51 samples, whose profiles share few k-mers: the metric stays, all pairs are there, and frequencies sum to 1."""
+    reads = spark.createDataFrame([(f"s{i:02d}", "f", 0, "ACGT" * 3 + format(i, "06b").replace("0", "CA").replace("1", "GT")) for i in range(51)], "sample string, file string, read_no long, seq string")
+    one = phases.run_phase1(reads, config.Config().updated(k=5))
+    want = {(r["sample_a"], r["sample_b"]): r["distance"] for r in pairs.pairwise(one.profile, "braycurtis").collect()}
+    assert {(r["sample_a"], r["sample_b"]): r["distance"] for r in one.pairs.collect()} == want and len(want) == 51 * 50 // 2
+    fewer = phases.run_phase1(reads, config.Config().updated(k=5, common_share=0.5))
+    assert fewer.pairs.count() == len(want)
+    assert {(r["sample_a"], r["sample_b"]): r["distance"] for r in fewer.pairs.collect()} != want
 
 
 def test_command_line(tmp_path):
