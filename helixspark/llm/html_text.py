@@ -4,12 +4,13 @@ Each DOM node has ``C`` characters and ``T`` tags below it, ``LC`` of the charac
 Its density is ``C/T * log_b(C/LC' * T/LT')`` with base ``b = ln(C/LC' * LC + LB/CB * C + e)``, where ``LC'`` is the
 text outside links, ``LB/CB`` the share of link text in the body, and zero denominators count as one.  The node whose
 children's densities have the largest sum is the article's root; the lowest density on the path from the body to it is
-the threshold.  Unless an element says that it is the article, the article may lie in several subtrees: of every subtree
-of the body that is not below the threshold the node with the largest sum is a root too.  Inside roots all blocks are
-kept but those that are below the threshold and mostly links.
+the threshold.  The article may lie in several subtrees: of every subtree of the body that is not below the threshold the
+node with the largest sum is a root too.  The smallest element that holds all roots, and a title that goes before them, is
+read in page order, less every block below the threshold that is mostly links.
 
-Subtrees that are never article text go before densities are taken: scripts, styles, forms, navigation, footers,
-asides, page headers, and elements whose class, id or role names a menu, banner, advert, notice or comment list.
+What has no text by the standard (scripts, styles, templates, the head, form controls, hidden elements) is left out before
+densities are taken.  Elements and names that say navigation, banner, advert, notice or comments only weigh: nearly all
+text in them counts as link text, so that their density is low, and the threshold decides.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; broken markup is read as browsers
 do in the cases that matter (implied and missing end tags, stray ``<``, unterminated comments and scripts); extra
@@ -44,8 +45,10 @@ IMPLIED_END = {
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}}
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 DROPPED = frozenset(
-    "script style noscript template head nav footer aside form button select input textarea iframe object embed svg canvas audio video map dialog menu title noembed noframes xmp search".split()
+    "script style noscript template head button select input textarea iframe object embed svg canvas audio video map title noembed noframes xmp".split()
 )
+LIGHT = frozenset("nav footer aside form dialog menu search".split())
+LIGHT_SHARE = 0.97  # of the text and tags in light elements counts as link text and link tags
 NOT_TEXT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NOT_TEXT_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?"
@@ -59,46 +62,46 @@ LAYOUT_NAME = re.compile(r"(?:^|[\s_-])(?:has|with|without|no|hide)[_-][\w-]*",
 HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|hdr)(?:$|[\s_-]|\d)", re.I)
 OWN_HEADER_NAME = re.compile(r"(?:article|post|entry|content|story|section|text|main|news|blog)[_-]header", re.I)
 NOT_TEXT_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# quotes are such only around an attribute's value; elsewhere they are letters of a name or of an unquoted value
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
+    r"|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|=|[^>=]+)*)(?:>|$)", re.S,
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("by_name", "children", "chars", "density", "gone", "link_chars", "link_tags", "named_article", "page_header", "parent", "sums", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "gone", "light", "link_chars", "link_tags", "page_header", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.gone = self.by_name = self.named_article = False
+        self.gone = self.light = False
         self.page_header = tag == "header"
 
 
 def _judge(node: Node, attributes: str) -> None:
-    """Mark nodes that hold no article text, and those that say that they hold it."""
+    """Mark nodes that hold no text, and those whose text weighs little."""
     tag = node.tag
     if tag in DROPPED:
         node.gone = True
         return
-    node.named_article = tag in ("article", "main")
-    if attributes:
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id"):
-                if tag not in ("body", "html", "article", "main"):
-                    value = LAYOUT_NAME.sub(" ", NOT_TEXT_CAMEL.sub("-", value))
-                    if NOT_TEXT_NAME.search(value):
-                        node.gone = node.by_name = True
-                    if tag in ("div", "section", "table", "td", "ul") and HEADER_NAME.search(OWN_HEADER_NAME.sub(" ", value)):
-                        node.page_header = True
-            elif name == "role":
-                node.gone |= value.lower() in NOT_TEXT_ROLE
-                node.named_article |= value.lower() == "main"
-            elif name == "itemprop":
-                node.named_article |= value.lower() == "articlebody"
-                node.gone |= value.lower() == "comment"
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
-                node.gone |= tag not in ("body", "html")
+    node.light = tag in LIGHT
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in ("class", "id"):
+            if tag not in ("body", "html", "article", "main"):
+                value = LAYOUT_NAME.sub(" ", NOT_TEXT_CAMEL.sub("-", value))
+                node.light |= NOT_TEXT_NAME.search(value) is not None
+                if tag in ("div", "section", "table", "td", "ul") and HEADER_NAME.search(OWN_HEADER_NAME.sub(" ", value)):
+                    node.page_header = True
+        elif name == "role":
+            node.light |= value.lower() in NOT_TEXT_ROLE
+        elif name == "itemprop":
+            node.light |= value.lower() == "comment"
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
+            node.gone |= tag not in ("body", "html")
 
 
 def parse(page: str) -> Node:
@@ -150,10 +153,6 @@ def parse(page: str) -> Node:
         node = Node(tag, stack[-1])
         stack[-1].children.append(node)
         _judge(node, m[3])
-        if node.named_article and not node.gone:  # what holds the article is not left out for its name
-            for up in stack:
-                if up.by_name:
-                    up.gone = up.by_name = False
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag in ("title", "textarea") or end is None:
@@ -165,61 +164,56 @@ def parse(page: str) -> Node:
 
 
 def _in_order(root: Node) -> list[Node]:
-    """Nodes that are not gone, parents before children.  A page header inside an article is part of it."""
+    """Nodes that are not gone, parents before children.  What is in a light node is light; so is a page header outside
+    of articles."""
     out = [root]
-    inside = {id(root): False}
+    own = {id(root): False}
     for node in out:  # grows while it runs
-        within = inside[id(node)] or node.named_article
+        inside = own[id(node)] or node.tag in ("article", "main")
         for child in node.children:
-            if isinstance(child, Node):
-                if child.page_header and not within and not _holds_article(child):
-                    child.gone = True
-                if not child.gone:
-                    inside[id(child)] = within
-                    out.append(child)
+            if isinstance(child, Node) and not child.gone:
+                child.light |= node.light or (child.page_header and not inside)
+                own[id(child)] = inside
+                out.append(child)
     return out
 
 
-def _holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if x.named_article:
-            return True
-        todo += [c for c in x.children if isinstance(c, Node)]
-    return False
-
-
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.chars = node.tags = 0
+        node.link_chars = node.link_tags = 0.0
         for child in node.children:
             if isinstance(child, str):
-                node.chars += len("".join(child.split()))
+                n = len("".join(child.split()))
+                node.chars += n
+                node.link_chars += LIGHT_SHARE * n if node.light else 0
             elif not child.gone:
                 node.chars += child.chars
                 node.tags += child.tags + 1
                 node.link_chars += child.link_chars
-                node.link_tags += child.link_tags
+                node.link_tags += child.link_tags + (LIGHT_SHARE if child.light and child.tag != "a" else 0)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
     body = next((x for x in nodes if x.tag == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        c, t = node.chars, max(1, node.tags)
-        if not c:
-            node.density = 0.0
-            continue
-        plain = max(1, c - node.link_chars)
-        base = math.log(c / plain * node.link_chars + share * c + math.e)
-        ratio = c / max(1, node.link_chars) * t / max(1, node.link_tags)
-        node.density = c / t * (math.log(max(ratio, 1.0)) / math.log(base) if base > 1.0000001 else math.log(max(ratio, 1.0)))
+        node.density = composite_density(node.chars, max(1, node.tags), node.link_chars, node.link_tags, share)
     for node in nodes:
         node.sums = sum(x.density for x in node.children if isinstance(x, Node) and not x.gone)
 
 
-def article_roots(page: str) -> tuple[list[Node], float] | None:
-    """The article's roots in page order and the threshold, or None for a page without text."""
+def composite_density(c: int, t: int, link_c: float, link_t: float, share: float) -> float:
+    """Density of a node with ``c`` characters and ``t`` tags, so many of them in links; ``share`` is the body's."""
+    if not c:
+        return 0.0
+    plain = max(1.0, c - link_c)
+    base = math.log(c / plain * link_c + share * c + math.e)
+    ratio = max(1.0, c / max(1.0, link_c) * t / max(1.0, link_t))
+    return c / t * (math.log(ratio) / math.log(base) if base > 1.0000001 else math.log(ratio))
+
+
+def article_root(page: str) -> tuple[Node, float] | None:
+    """The smallest element with all of the article's roots and the threshold, or None for a page without text."""
     nodes = _in_order(parse(page))
     _measure(nodes)
     if not nodes[0].chars:
@@ -234,48 +228,61 @@ def article_roots(page: str) -> tuple[list[Node], float] | None:
             break
         node = node.parent
     threshold = min(x.density for x in path)
-    # an article's own element is whole, and so is an ancestor with nothing but the root in it
-    named = any(up.named_article for up in path)
-    for up in path:
-        if up.named_article or up.chars == best.chars:
-            best = up
-    return ([best] if named else _dense_roots(nodes, path[-1], best, threshold)), threshold
+    # the lowest node of the path that holds all roots
+    place, at = {id(x): i for i, x in enumerate(path)}, 0
+    for up in _dense_roots(nodes, path[-1], best, threshold):
+        while id(up) not in place:
+            up = up.parent
+        at = max(at, place[id(up)])
+    # titles are short, so their density says little: one that goes before the article is part of it
+    above = [i for i in range(at + 1, len(path)) if _title_before(path[i], path[i - 1])]
+    return path[max([at, *above])], threshold
+
+
+def _title_before(node: Node, child: Node) -> bool:
+    """Whether a heading of the first two levels, outside links and light elements, goes before ``child`` in ``node``."""
+    todo = []
+    for x in node.children:
+        if x is child:
+            break
+        if isinstance(x, Node):
+            todo.append(x)
+    while todo:
+        x = todo.pop()
+        if x.gone or x.light:
+            continue
+        if x.tag in ("h1", "h2") and x.chars and x.link_chars * 2 <= x.chars:
+            return True
+        todo += [y for y in x.children if isinstance(y, Node)]
+    return False
 
 
 def _dense_roots(nodes: list[Node], body: Node, best: Node, threshold: float) -> list[Node]:
-    """``best`` and the node with the largest sum in each other subtree that is not below the threshold, in page order."""
+    """The node with the largest sum in each subtree but that of ``best`` that is not below the threshold."""
     top = {id(x): x for x in nodes}
     for node in reversed(nodes):  # parents come before their children
         up = node.parent
         if up is not None and top[id(node)].sums > top[id(up)].sums:
             top[id(up)] = top[id(node)]
-    chosen = {id(best)}
+    chosen: dict[int, Node] = {id(best): best}
     todo = [body]
     while todo:
         node = todo.pop()
         if id(node) in chosen:
             continue
         if node.chars and node.density >= threshold:
-            chosen.add(id(top[id(node)]))
+            chosen[id(top[id(node)])] = top[id(node)]
         if id(node) not in chosen:
             todo += [x for x in node.children if isinstance(x, Node) and not x.gone]
-    roots, todo = [], [body]
-    while todo:
-        node = todo.pop()
-        if id(node) in chosen:
-            roots.append(node)
-        else:
-            todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.gone]
-    return roots
+    return [x for x in chosen.values() if x is not best]
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, joined by line feeds."""
-    found = article_roots(page) if page else None
+    found = article_root(page) if page else None
     if found is None:
         return ""
-    roots, threshold = found
-    kept = {id(x) for x in roots}
+    root, threshold = found
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -284,14 +291,14 @@ def main_text(page: str | None) -> str:
             blocks.append(text)
         parts.clear()
 
-    todo: list[Node | str | None] = [x for root in reversed(roots) for x in (None, root)]
+    todo: list[Node | str | None] = [None, root]
     while todo:
         item = todo.pop()
         if item is None:
             close()
         elif isinstance(item, str):
             parts.append(item)
-        elif item.gone or (id(item) not in kept and item.density < threshold and item.link_tags > 1 and item.link_chars * 2 > item.chars):
+        elif item.gone or (item is not root and item.density < threshold and (item.light or item.link_tags > 1) and item.link_chars * 2 > item.chars):
             if item.tag in BLOCK:
                 close()
         elif item.tag in ("br", "wbr", "img"):

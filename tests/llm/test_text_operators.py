@@ -230,3 +230,62 @@ def test_logistic():
     x = np.array([[0.0], [0.1], [0.9], [1.0], [0.5], [0.5]])
     w = logistic(x, np.array([0, 0, 1, 1, 0, 1.0]), ridge=1e-6)
     assert w[0] > 5 and abs(w[0] * 0.5 + w[1]) < 0.2
+
+
+# ---- HTML through density, on pages without <article>
+
+SENTENCE = "The quick brown fox jumps over the lazy dog and then it runs far away into the deep woods where nobody lives."
+PARAGRAPHS = "".join(f"<p>{n} {SENTENCE} {SENTENCE}</p>" for n in range(6))
+ARTICLE = "\n".join(f"{n} {SENTENCE} {SENTENCE}" for n in range(6))
+HOSTILE = {
+    f"<p data-x=it's>Hello world one two three four five</p>{PARAGRAPHS}": "Hello world one two three four five\n" + ARTICLE,
+    f"<div class='legal-news'>{PARAGRAPHS}</div>": ARTICLE,
+    f"<div class=share-price>{PARAGRAPHS}</div>": ARTICLE,
+    f"<section class='related-work'>{PARAGRAPHS}</section>": ARTICLE,
+    f"<div>{PARAGRAPHS}</div><div class=comments><p>{SENTENCE}</p><p>{SENTENCE}</p></div>": ARTICLE,
+    f"<div>{PARAGRAPHS}<aside><p>{SENTENCE}</p></aside></div>": ARTICLE,
+    f"<div>{PARAGRAPHS}<form><label>Your mail address please</label><input></form></div>": ARTICLE,
+    f"<div><section>{PARAGRAPHS}</section><section>{PARAGRAPHS}</section></div>": ARTICLE + "\n" + ARTICLE,
+    f"<div><h1>A short title of it</h1><p>By Ann</p><div>{PARAGRAPHS}</div></div>": "A short title of it\nBy Ann\n" + ARTICLE,
+    f"<table><tr><td><a href=1>one</a><a href=2>two</a></td><td>{PARAGRAPHS}</td></tr></table>": ARTICLE,
+    f"<div class=cookie-notice>We use cookies to make this site better for all of you, please accept.</div><div>{PARAGRAPHS}</div>": ARTICLE,
+    f"<div>{PARAGRAPHS}</div><dialog>{SENTENCE}</dialog>": ARTICLE,
+    f"<div>{PARAGRAPHS}<ul><li>first thing</li><li>second thing</li></ul></div>": ARTICLE + "\nfirst thing\nsecond thing",
+    f"<div title='a > b' data-y=\"it's > that\">{PARAGRAPHS}</div>": ARTICLE,
+    f"<div>{PARAGRAPHS}</div><div><ul><li><a href=1>Other page one</a></li><li><a href=2>Other page two</a></li></ul></div>": ARTICLE,
+    "<p>Hello</p>": "Hello",
+}
+
+
+@pytest.mark.parametrize("inner", HOSTILE)
+def test_hostile_pages(inner):
+    frame = "<html><body><nav><a href=/>Home</a><a href=/b>Blog</a></nav>{}<footer>Copyright 2020 all rights reserved by the owners of this site</footer></body></html>"
+    assert html_text.main_text(frame.format(inner)) == HOSTILE[inner]
+
+
+def test_density_decides(spark, monkeypatch):
+    """Densities equal a naive recount on every page, and without them most pages come out otherwise."""
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+
+    def recount(node):
+        c = t = lc = lt = 0
+        for x in node.children:
+            if isinstance(x, str):
+                n = sum(not ch.isspace() for ch in x)
+                c, lc = c + n, lc + (html_text.LIGHT_SHARE * n if node.light else 0)
+            elif not x.gone:
+                c1, t1, lc1, lt1 = recount(x)
+                c, t, lc, lt = c + c1, t + t1 + 1, lc + lc1, lt + lt1 + (html_text.LIGHT_SHARE if x.light and x.tag != "a" else 0)
+        return (c, t, c, lt + 1) if node.tag == "a" else (c, t, lc, lt)
+
+    for page in pages:
+        nodes = html_text._in_order(html_text.parse(page or ""))
+        html_text._measure(nodes)
+        body = next((x for x in nodes if x.tag == "body"), nodes[0])
+        c, _, lc, _ = recount(body)
+        for node in nodes[:: max(1, len(nodes) // 40)]:
+            cn, tn, lcn, ltn = recount(node)
+            assert abs(node.density - html_text.composite_density(cn, max(1, tn), lcn, ltn, lc / max(1, c))) <= 1e-6 * max(1, node.density)
+    before = [html_text.main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "composite_density", lambda *a: 0.0)
+    assert sum(html_text.main_text(x) != y for x, y in zip(pages, before, strict=True)) > len(pages) / 2
