@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage is describe
 and encoded by a small layer; a gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``, learned from document
 labels alone, weighs the passages, and a logistic layer scores the weighted passage representation.
 
-The model is fitted on the driver from a bounded sample of labelled documents (``train_docs``), each with at most
-``train_passages`` evenly spread passages; scoring covers every passage of every document.
+The model is fitted on the driver from all passages of a bounded number of labelled documents (``train_docs``); scoring
+covers every passage of every document.
 
 Defined cases: null and blank texts are one empty passage and get a score as well; without usable labels every score
 is 0.5, and with labels of one kind only the score is their smoothed share; ids may be null or repeated; extra columns
@@ -164,7 +164,7 @@ class AttentionModel:
         return {"W": z.T @ d_h, "b": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_e, "c": bag.T @ out, "d": out.sum()}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 8000, train_passages: int = 64) -> AttentionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = 8000) -> AttentionModel:
     """Fit on at most ``train_docs`` labelled documents outside the held-out fifth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trai
             bags = []
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 x, bounds = passage_features(data, offsets)
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    pick = np.unique(np.linspace(a, b - 1, min(train_passages, b - a)).astype(np.int64))
-                    bags.append(x[pick].tobytes())
+                bags += [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], ["id", "y", "bag"])
 
     sample = training_sample(docs, labels, label, train_docs)
