@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, knn, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import bpe, exact_dedup, html_text, knn, lexical_search, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
 from .labelled import fold
 from .tables import table
 
@@ -168,4 +168,39 @@ SELECT record_id, url_key, kind, status, CASE WHEN status = 'resolved' THEN prio
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op9_toxicity, op10_warc)}
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+ORACLE_SQL["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), g AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT item_id, t, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL
+  ) GROUP BY ALL
+), p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ts) * n_docs) // n_terms AS m FROM d, g),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) WHERE doc_id IS NOT NULL GROUP BY ALL
+), k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op9_toxicity, op10_warc,
+        op11_lexical_search, op12_url_filter,
+    )
+}

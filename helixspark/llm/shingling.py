@@ -18,13 +18,16 @@ U = np.uint64
 CHUNK = 1 << 17  # bytes hashed at a time, unless one text is longer
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _tables(alphanumeric: bool = False) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240901))
     value = rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
     value[65:91] = value[97:123]
     gap = np.zeros(256, dtype=bool)
-    gap[[0x20, 9, 10, 11, 12, 13]] = True
+    if alphanumeric:
+        gap[:128] = [not chr(i).isalnum() for i in range(128)]
+    else:
+        gap[[0x20, 9, 10, 11, 12, 13]] = True
     value[gap] = 0
     return value, gap
 
@@ -67,11 +70,11 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         a = b
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def word_starts(data: np.ndarray, offsets: np.ndarray, alphanumeric: bool = False) -> np.ndarray:
     """First byte of each word."""
     if not len(data):
         return np.empty(0, dtype=np.int64)
-    inside = ~_tables()[1][data]
+    inside = ~_tables(alphanumeric)[1][data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -79,10 +82,13 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first byte of each word, first word of each text and the end)."""
-    value, _ = _tables()
-    at = word_starts(data, offsets)
+def words(data: np.ndarray, offsets: np.ndarray, alphanumeric: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first byte of each word, first word of each text and the end).
+
+    With ``alphanumeric`` a word is a run of bytes other than the ASCII ones that are neither letter nor digit.
+    """
+    value, _ = _tables(alphanumeric)
+    at = word_starts(data, offsets, alphanumeric)
     if not len(at):
         return np.empty(0, dtype=np.uint64), at, np.zeros(len(offsets), dtype=np.int64)
     up, down = _powers(len(data))
