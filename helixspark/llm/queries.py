@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, knn, lexical_search, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
+from . import bpe, exact_dedup, html_text, knn, lexical_search, near_dedup, packing, quality, substring_dedup, token_alignment, toxicity, url_filter, warc
 from .labelled import fold
 from .tables import table
 
@@ -197,10 +197,17 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), files).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_packing, op3_exact_dedup, op4_substring_dedup, op5_byte_bpe, op6_minhash_near_dedup, op7_exact_top_k, op8_html_text, op9_toxicity, op10_warc,
-        op11_lexical_search, op12_url_filter,
+        op11_lexical_search, op12_url_filter, op13_token_alignment,
     )
 }
