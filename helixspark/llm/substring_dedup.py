@@ -2,7 +2,7 @@
 
 Two kinds of passage are looked for, and one occurrence of each, in the document with the smallest id, stays.
 
-* Paragraphs (lines of at least ``min_paragraph`` words) that are near copies of each other: MinHash bands tuned for
+* Paragraphs (lines of at least ``min_paragraph`` words, by default those with a shingle) that are near copies of each other: MinHash bands tuned for
   high recall bring them together, the exact Jaccard similarity of their word shingles decides, and connected
   components of the verified links are the clusters.
 * Verbatim passages that start and end anywhere in a line.  A window of ``window`` words is taken at every anchor, an
@@ -12,7 +12,7 @@ Two kinds of passage are looked for, and one occurrence of each, in the document
   cluster's windows differ, a passage ends: there every window within ``spread`` words of the anchors is
   compared as well, so a passage is found from its first word to its last.  Overlapping windows join to a span.
 
-The defaults find every word of every verbatim passage of 51 words.  Words are runs of bytes other than space and 0x09-0x0D, and
+The defaults find every word of every verbatim passage of 51 words, and of every line of 5 words and more that stands in several documents.  Words are runs of bytes other than space and 0x09-0x0D, and
 compare without case in A-Z.  Repeats inside one document are left alone.
 
 Defined cases: null and blank texts, and rows with a null id, have no passages and stay as they are; rows that repeat
@@ -234,7 +234,7 @@ def near_paragraphs(rows: DataFrame, min_words: int, params: MinHash) -> DataFra
 
 
 def pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 26, spread: int = 25, min_paragraph: int = 50, params: MinHash = PARAGRAPH_HASH
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 26, spread: int = 25, min_paragraph: int = 5, params: MinHash = PARAGRAPH_HASH
 ) -> DataFrame:
     """Occurrences of passages that two or more documents share: ``id, th, start, n_words, keep_id`` (in words)."""
     rows = texts(docs, id_col, text_col)

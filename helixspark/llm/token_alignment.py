@@ -6,14 +6,12 @@ An id pair's count is the number of documents that hold it linked.
 
 Tokenising is done by stretch: between a non-space and a non-space character of the ranges in ``SAFE``, a single space
 starts a new token in both tokenizers, whatever stands around it, so a text's tokens are those of its stretches one after
-the other.  (Vocabularies for which that does not hold are recognised when they are loaded; texts are then one stretch.)
-A row of :func:`tokenised` is a block of documents: the tokens of its distinct stretches, and for each document the
-numbers of its stretches in order.  Groups and links are built once a distinct stretch and strung together by document.
+the other, and a worker need not encode a stretch again that it remembers.  (Vocabularies for which that does not hold are
+recognised when they are loaded; texts are then one stretch.)
 
-Token streams, not pairs of positions, are sorted to find the groups: ends, side and id are packed into one long, so that
-sorting both sides and the common ends yields the groups as runs, in time linear but for the sort.  Pair counts are
-joined in two ways: the ``HOT_PAIRS`` most frequent pairs are broadcast (their number bounds the table), and all others
-meet by a shuffle, in which no key can be hot.
+Ends, side and id of a token are packed into one long.  Sorting both sides' tokens and the common ends yields the groups
+as runs, in time linear but for the sort.  Pair counts are joined to the links in two ways: the ``HOT_PAIRS`` most
+frequent pairs are broadcast (their number bounds the table), and all others meet by a shuffle, in which no key can be hot.
 
 Defined cases: texts that are null or empty, or that a tokenizer changes (its tokens' bytes are not those of a space and
 the text), have no tokens: zeros, and an empty digest.  A null id is kept; rows that repeat an id are documents of their
@@ -37,8 +35,8 @@ from helixspark.plans.scratch import keep
 
 from .tables import slim
 
-BLOCK_CHARS = 4_000_000
-REMEMBERED = 300_000  # stretches a worker remembers
+BLOCK_CHARS = 1_000_000
+REMEMBERED = 150_000  # stretches in each of the two generations that a worker remembers
 HOT_PAIRS = 65_536
 ID_BITS = 21  # of a packed token: the side in the highest, then the id; all ones mark a common end
 MARK = (1 << ID_BITS) - 1
@@ -96,47 +94,59 @@ class _Worker:
         pre = spec.get("pre_tokenizer") or {}
         one_break = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.splits = one_break and not any(re.search("[^▁]▁", p) for p in entries)
-        self.known: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        #: 32-bit ids of stretches by side; None where a tokenizer changes the text.  Those not met for long are forgotten.
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def stretches(self, text: str) -> list[str]:
         return _BREAK.split(text) if self.splits else [text]
 
-    def learn(self, stretches: list[str]) -> None:
-        """Tokens of the stretches, many in one call where they begin and end safely."""
+    def learn(self, stretches: set[str]) -> None:
+        """Have the tokens of the stretches in ``known``; many are encoded in one call where they begin and end safely."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in stretches if x not in self.known]
+            self.older, self.known = self.known, {}
+        unknown = stretches - self.known.keys()
+        new = unknown - self.older.keys()
+        self.known.update((x, self.older[x]) for x in unknown - new)
         joined = [x for x in new if self.splits and _WHOLE.fullmatch(x)]
         runs = [joined[i : i + 256] for i in range(0, len(joined), 256)]
-        done = set(joined)
-        runs += [[x] for x in new if x not in done]
+        runs += [[x] for x in new.difference(joined)]
         for at in range(0, len(runs), 64):
             some = runs[at : at + 64]
             texts = [" ".join(run) for run in some]
             of_a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
             for run, text, *ids in zip(some, texts, of_a, self.b.encode(texts, num_threads=1), strict=True):
-                self._store(run, (" " + text).encode(), [np.array(x, dtype=np.int64) for x in ids])
+                self._store(run, (" " + text).encode(), ids)
 
-    def _store(self, run: list[str], raw: bytes, ids: list[np.ndarray]) -> None:
-        whole = [b"".join(map(table.__getitem__, own.tolist())) == raw for table, own in zip((self.bytes_a, self.bytes_b), ids, strict=True)]
-        if not all(whole):
+    def _store(self, run: list[str], raw: bytes, ids: list[list[int]]) -> None:
+        if any(b"".join(map(table.__getitem__, own)) != raw for table, own in zip((self.bytes_a, self.bytes_b), ids, strict=True)):
             if len(run) == 1:
                 self.known[run[0]] = None
-            for x in run if len(run) > 1 else ():
-                one = [x], (" " + x).encode(), [np.array(t, dtype=np.int64) for t in (self.a.encode(" " + x, add_special_tokens=False).ids, self.b.encode(x))]
-                self._store(*one)
+            else:
+                for x in run:
+                    self._store([x], (" " + x).encode(), [self.a.encode(" " + x, add_special_tokens=False).ids, self.b.encode(x)])
             return
-        begin = np.concatenate([[0], np.cumsum([len(x.encode()) + 1 for x in run])])
+        begin = np.cumsum([0] + [len(x.encode()) + 1 for x in run])
         cut = []
-        for side, own in enumerate(ids):
-            ends = np.cumsum(self.n_bytes[side][own])
-            upto = np.searchsorted(ends, begin, side="right")
-            ends -= np.repeat(begin[:-1], np.diff(upto))
-            cut.append((ends << ID_BITS | (SIDE if side else 0) | own, upto.tolist()))
+        for table, own in zip(self.n_bytes, ids, strict=True):
+            own = np.array(own, dtype=np.int32)
+            cut.append((own.tobytes(), (4 * np.searchsorted(np.cumsum(table[own]), begin, side="right")).tolist()))
         (a, of_a), (b, of_b) = cut
         for i, x in enumerate(run):
             self.known[x] = a[of_a[i] : of_a[i + 1]], b[of_b[i] : of_b[i + 1]]
 
+    def forget_long(self, stretches: set[str]) -> None:
+        for x in stretches:
+            if len(x) > 64:
+                del self.known[x]
+
+    def tokens(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of both sides of successive stretches; none if a tokenizer changes one of them."""
+        found = [self.known[x] for x in parts]
+        if None in found:
+            found = []
+        return [np.frombuffer(b"".join([f[side] for f in found]), dtype=np.int32) for side in (0, 1)]
+
 
 _WORKERS: dict[tuple[str, str], _Worker] = {}
 
@@ -148,19 +158,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-BLOCK = "docs array<struct<id:bigint,n_a:bigint,n_b:bigint,stretches:array<int>>>, tokens array<struct<a:array<bigint>,b:array<bigint>>>"
+TOKENS = "id long, ends_a array<int>, ends_b array<int>, a array<long>, b array<long>"
 
 
 def tokenised(docs: DataFrame, files: Tokenizers) -> DataFrame:
-    """Blocks of the documents ``id, text``: ``docs`` with their numbers of tokens and their stretches, and each stretch's packed tokens."""
+    """``id, ends_a, ends_b, a, b`` of ``id, text``: the byte offsets where tokens end, and the packed tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = files.worker()
         held: list[tuple[int | None, str]] = []
         chars = 0
         for batch in batches:
-            for row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((row[0], row[1] or ""))
+            ids = batch.column("id").to_pylist()
+            for i, text in zip(ids, batch.column("text"), strict=True):
+                held.append((i, text.as_py() or ""))
                 chars += len(held[-1][1]) + 64
                 if chars >= BLOCK_CHARS:
                     yield block(worker, held)
@@ -169,25 +180,20 @@ def tokenised(docs: DataFrame, files: Tokenizers) -> DataFrame:
             yield block(worker, held)
 
     def block(worker: _Worker, rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
-        number: dict[str, int] = {}
-        order = [[number.setdefault(x, len(number)) for x in worker.stretches(text)] if text else [] for _, text in rows]
-        worker.learn(list(number))
-        tokens = [worker.known[x] for x in number]
-        for x in [x for x in number if len(x) > 64]:
-            del worker.known[x]
-        bad = {i for i, t in enumerate(tokens) if t is None}
-        none = np.empty(0, dtype=np.int64)
-        sides = [[t[side] if t is not None else none for t in tokens] for side in (0, 1)]
-        size = [np.array([len(x) for x in side], dtype=np.int64) for side in sides]
-        order = [[] if bad and not bad.isdisjoint(x) else x for x in order]
-        counts = [pa.array([int(n[x].sum()) for x in order], pa.int64()) for n in size]
-        lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), pa.array(np.concatenate([none, *parts]).astype(kind)))
-        of_docs = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *counts, lists(order, np.int32)], ["id", "n_a", "n_b", "stretches"])
-        of_tokens = pa.StructArray.from_arrays([lists(side, np.int64) for side in sides], ["a", "b"])
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(of_docs), one(of_tokens)], ["docs", "tokens"])
-
-    return docs.mapInArrow(run, BLOCK)
+        parts = [worker.stretches(text) if text else [] for _, text in rows]
+        distinct = set().union(*parts)
+        worker.learn(distinct)
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for own in parts:
+            for side, ids in enumerate(worker.tokens(own)):
+                ends = np.cumsum(worker.n_bytes[side][ids])
+                columns[side].append(ends.astype(np.int32))
+                columns[2 + side].append(ends << ID_BITS | (SIDE if side else 0) | ids)
+        worker.forget_long(distinct)
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in c]).astype(np.int32)), pa.array(np.concatenate(c))) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists], ["id", "ends_a", "ends_b", "a", "b"])
+
+    return docs.mapInArrow(run, TOKENS)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -195,73 +201,55 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def groups(a: Column, b: Column, size_b: int) -> Column:
-    """The groups of a stretch's packed tokens as ``text`` (ids of both sides) and ``links`` (id of a * ``size_b`` + id of b)."""
-    ends = lambda tokens: F.transform(tokens, lambda x: F.shiftright(x, ID_BITS))
-    marks = F.transform(F.array_intersect(ends(a), ends(b)), lambda e: F.shiftleft(e, ID_BITS) + MARK)
+def groups(size_b: int) -> Column:
+    """The groups of :func:`tokenised` rows as ``text`` (ids of both sides) and ``links`` (id of a * ``size_b`` + id of b)."""
+    marks = F.transform(F.array_intersect("ends_a", "ends_b"), lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)
     own_id = lambda x: x.bitwiseAND(F.lit(SIDE - 1))
+    is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
+    link = lambda x, y: own_id(x) * size_b + own_id(y)
+
+    def text(*ids: Column | str) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else own_id(x).cast("string") for x in ids])
 
     def between(stream: Column, first: Column, mark: Column) -> Column:
-        """The group of the tokens from ``first`` up to the place of a mark."""
-        x, y = own_id(stream[first]), own_id(stream[first + 1])
-        pair = F.struct(F.concat(x.cast("string"), F.lit("|"), y.cast("string")).alias("text"), F.array(x * size_b + y).alias("links"))
-        side = lambda bit: F.transform(F.filter(F.transform(F.sequence(first, mark - 1), lambda i: stream[i]), lambda t: t.bitwiseAND(F.lit(SIDE)) == bit), own_id)
-        joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-        several = _let(
-            F.struct(side(0).alias("a"), side(SIDE).alias("b")),
+        """The group of the tokens from ``first`` up to the place of a mark; most have two or three tokens."""
+        x, y, z = (stream[first + i] for i in range(3))
+        two = F.struct(text(x, "|", y).alias("text"), F.array(link(x, y)).alias("links"))
+        # of three tokens the last two end together
+        split_a = F.struct(text(x, ",", y, "|", z).alias("text"), F.array(link(x, z), link(y, z)).alias("links"))
+        split_b = F.struct(text(y, "|", x, ",", z).alias("text"), F.array(link(y, x), link(y, z)).alias("links"))
+        side = lambda of_a: F.filter(F.transform(F.sequence(first, mark - 1), lambda i: stream[i]), lambda t: is_a(t) if of_a else ~is_a(t))
+        joined = lambda tokens: F.array_join(F.transform(tokens, own_id).cast("array<string>"), ",")
+        more = _let(
+            F.struct(side(True).alias("a"), side(False).alias("b")),
             lambda g: F.struct(
-                F.concat(joined(g["a"]), F.lit("|"), joined(g["b"])).alias("text"), F.flatten(F.transform(g["a"], lambda s: F.transform(g["b"], lambda t: s * size_b + t))).alias("links")
+                F.concat(joined(g["a"]), F.lit("|"), joined(g["b"])).alias("text"), F.flatten(F.transform(g["a"], lambda s: F.transform(g["b"], lambda t: link(s, t)))).alias("links")
             ),
         )
-        return F.when(mark - first == 2, pair).otherwise(several)
+        return F.when(mark - first == 2, two).when(mark - first == 3, F.when(is_a(x), split_a).otherwise(split_b)).otherwise(more)
 
     def cut(stream: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(stream) - 1), lambda p: stream[p].bitwiseAND(F.lit(MARK)) == MARK)
-        return _let(places, lambda m: F.transform(m, lambda p, j: between(stream, F.when(j > 0, m[j - 1] + 1).otherwise(F.lit(0)), p)))
+        return _let(F.concat(F.array(F.lit(-1)), places), lambda m: F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda j: between(stream, m[j - 1] + 1, m[j])))
 
-    found = _let(F.sort_array(F.concat(a, b, marks)), cut)
-    return _let(found, lambda g: F.struct(F.array_join(g["text"], ";").alias("text"), F.flatten(g["links"]).alias("links"), F.size(g).alias("n")))
+    return _let(F.sort_array(F.concat("a", "b", marks)), cut)
 
 
 def linked(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times``: a document's distinct linked pairs and how often each is linked."""
-    size_b = files.sizes[1]
-    kind = "int" if files.sizes[0] * size_b < 1 << 31 else "long"
+    """``id, n_a, n_b, n_groups, n_links, groups_sha256, links``: all links of a document as pair numbers, in order of these."""
+    kind = "int" if files.sizes[0] * files.sizes[1] < 1 << 31 else "long"
     rows = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("links"), F.lit(0).alias("n"))
-    aligned = F.transform("tokens", lambda t: F.when(F.size(t["a"]) > 0, groups(t["a"], t["b"], size_b)).otherwise(empty))
-
-    def of_document(d: Column, of_stretch: Column) -> Column:
-        links = F.sort_array(F.flatten(F.transform(d["stretches"], lambda k: of_stretch[k]["links"])))
-        text = F.array_join(F.transform(d["stretches"], lambda k: of_stretch[k]["text"]), ";")
-        n_groups = F.aggregate(d["stretches"], F.lit(0).cast("long"), lambda s, k: s + of_stretch[k]["n"])
-        some = F.size(d["stretches"]) > 0
-        return F.struct(
-            d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups.alias("n_groups"), F.when(some, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-            _let(links, counted).alias("pairs"),
-        )
-
-    def counted(links: Column) -> Column:
-        """Distinct pairs of sorted links and their numbers."""
-        places = F.filter(F.sequence(F.lit(0), F.size(links) - 1), lambda p: F.when(p == 0, F.lit(True)).otherwise(links[p] != links[p - 1]))
-        n = F.size(links)
-        found = _let(
-            places,
-            lambda m: F.struct(
-                F.transform(m, lambda p: links[p]).cast(f"array<{kind}>").alias("pair"), F.transform(m, lambda p, j: F.when(j + 1 < F.size(m), F.get(m, j + 1)).otherwise(n) - p).alias("times"), n.cast("long").alias("n")
-            ),
-        )
-        nothing = F.struct(F.array().cast(f"array<{kind}>").alias("pair"), F.array().cast("array<int>").alias("times"), F.lit(0).cast("long").alias("n"))
-        return F.when(n > 0, found).otherwise(nothing)
-
-    whole = _let(aligned, lambda of_stretch: F.transform("docs", lambda d: of_document(d, of_stretch)))
-    each = tokenised(rows, files).select(F.explode(whole).alias("d"))
-    return each.select("d.id", "d.n_a", "d.n_b", "d.n_groups", F.col("d.pairs.n").alias("n_links"), "d.groups_sha256", F.col("d.pairs.pair").alias("pairs"), F.col("d.pairs.times").alias("times"))
+    # rows without tokens get no groups; this column is its own step, so it is computed once
+    each = tokenised(rows, files).select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.when(F.size("a") > 0, groups(files.sizes[1])).alias("g"))
+    links = F.coalesce(F.sort_array(F.flatten("g.links")), F.array().cast("array<bigint>")).cast(f"array<{kind}>")
+    some = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    whole = each.select("id", F.col("n_a").cast("long"), F.col("n_b").cast("long"), some(F.when(F.col("n_a") > 0, F.size("g"))).alias("n_groups"), F.coalesce(F.sha2(F.array_join("g.text", ";"), 256), F.lit("")).alias("groups_sha256"), links.alias("links"))
+    return whole.withColumn("n_links", F.size("links").cast("long"))
 
 
 def pair_counts(held: DataFrame, size_b: int) -> DataFrame:
     """``pair, n, best``: in how many documents a pair is linked, and whether no pair of the same a id is in more."""
-    counts = held.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    counts = held.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     of_a = Window.partitionBy(F.floor(F.col("pair") / size_b))
     return counts.select("pair", "n", (F.col("n") == F.max("n").over(of_a)).cast("int").alias("best"))
 
@@ -271,8 +259,8 @@ def align(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col:
     held = keep(linked(docs, files, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = keep(pair_counts(held, files.sizes[1]), "pair-counts")
     hot = F.broadcast(keep(counts.orderBy(F.col("n").desc(), "pair").limit(HOT_PAIRS), "hot-pairs"))
-    each = held.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    sums = lambda joined: joined.groupBy("row").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    each = held.select("row", F.explode("links").alias("pair"))
+    sums = lambda joined: joined.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     frequent, others = sums(each.join(hot, "pair")), sums(each.join(hot.select("pair"), "pair", "left_anti").join(counts, "pair"))
     both = frequent.unionByName(others).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
