@@ -59,8 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Once a stage is written, its input and the side tables of its operators are deleted.
     """
     docs = table(spark, sf_dir, "documents")
-    start = scratch.mark()
+    tables = scratch.Run()
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
-        scratch.release(start, but=docs)
+        with tables:
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.release(but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

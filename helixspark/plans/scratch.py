@@ -11,12 +11,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_RUN: ContextVar[Run | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEAN_UP, before)
     _WRITTEN.append((spark, path))
+    if (run := _RUN.get()) is not None:
+        run.written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,18 +63,30 @@ def drop(df: DataFrame) -> None:
             _WRITTEN.remove(item)
 
 
-def mark() -> int:
-    """A point in the order of written tables, for :func:`release`."""
-    return len(_WRITTEN)
+class Run:
+    """The tables that :func:`keep` writes inside ``with`` blocks of this object, in the thread that entered them.
 
+    ``release`` deletes these alone, so runs side by side in one process leave each other's tables be.
+    """
 
-def release(since: int, but: DataFrame) -> None:
-    """Delete the tables written after the point ``since``, all but the table ``but`` that :func:`keep` returned."""
-    stays = {f.rsplit("/", 2)[1] for f in but.inputFiles()} or {_WRITTEN[-1][1].rsplit("/", 1)[1]}
-    for item in _WRITTEN[since:]:
-        if item[1].rsplit("/", 1)[1] not in stays:
-            _remove(*item)
-            _WRITTEN.remove(item)
+    def __init__(self):
+        self.written: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Run:
+        self._before = _RUN.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _RUN.reset(self._before)
+
+    def release(self, but: DataFrame) -> None:
+        """Delete the run's tables, all but the table ``but`` that :func:`keep` returned."""
+        stays = {f.rsplit("/", 2)[1] for f in but.inputFiles()} or {self.written[-1][1].rsplit("/", 1)[1]}
+        for item in [w for w in self.written if w[1].rsplit("/", 1)[1] not in stays]:
+            self.written.remove(item)
+            if item in _WRITTEN:
+                _remove(*item)
+                _WRITTEN.remove(item)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
