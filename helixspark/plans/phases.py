@@ -89,9 +89,10 @@ def run(spark: SparkSession, folder: str, out: str, config: Config | None = None
     if not fastq.has_fastq(spark, folder):
         raise ValueError(f"no FASTQ files in {folder}")
     found = fastq.find_samples(fastq.list_files(spark, folder))
-    one = run_phase1(fastq.read_samples(spark, found), config)
+    scanned = fastq.scan_samples(found)
+    one = run_phase1(scanned.records, config)
     results.save_results(one.profile, one.pairs, out)
-    tables = {"samples": found, "profile": one.profile, "pairs": one.pairs}
+    tables = {"samples": found, "failures": scanned.failures, "profile": one.profile, "pairs": one.pairs}
     meta = ranked = None
     if metadata_path:
         meta = metadata.read_metadata(spark, metadata_path, config.statistics.sample_id_column)

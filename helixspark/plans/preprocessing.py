@@ -24,7 +24,7 @@ def run(spark: SparkSession, folder: str, out: str, min_length: int = 50, quick:
     nothing left are marked ``failed`` and do not stop the others.
     """
     files = fastq.list_files(spark, folder)
-    reads = fastq.read_samples(spark, fastq.find_samples(files))
+    reads = fastq.read_samples(fastq.find_samples(files))
     clean = preprocess.clean_reads(reads, min_length, quick)
     if host and not quick:
         clean = preprocess.remove_host(clean, fasta_kmers(spark, host, k), k)

@@ -1,18 +1,16 @@
 """FASTQ discovery and reading.
 
-Reads are ``sample, file, mate, read_no, header, seq, qual, plus``, one row per record.  Files are found and read through
-Spark's readers only, so they may be in any store; gzip is decompressed by suffix.  A file is one task: records are four
-lines each and cannot be split safely at arbitrary bytes.
+Reads are ``sample, file, mate, read_no, header, seq, qual, plus``, one row per record.  Files are found through Spark's
+readers and read by :mod:`fastq_scan`, in byte ranges and in bounded memory; gzip is decompressed by suffix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixspark.sources.fastq_scan import SPLIT_BYTES, Scan, scan
+
 # File name endings and mate markers, in order of preference.
 EXTENSIONS = (".fastq.gz", ".fq.gz", ".fastq", ".fq")
 MATES = (("_R1", "_R2"), ("_1", "_2"), (".R1", ".R2"), (".1", ".2"), ("_F", "_R"), ("_forward", "_reverse"))
@@ -72,39 +70,13 @@ def has_fastq(spark: SparkSession, folder: str) -> bool:
     return bool(fs.exists(path)) and bool(fs.getFileStatus(path).isDirectory()) and not list_files(spark, folder).limit(1).isEmpty()
 
 
-def _records(lines: list[str]) -> Iterator[tuple[int, str, str, str, str]]:
-    """(number, header, sequence, plus, quality) of each whole record; a blank header line ends the file."""
-    for no, at in enumerate(range(0, len(lines) - 3, 4)):
-        header, seq, plus, qual = (x.strip() for x in lines[at : at + 4])
-        if not header:
-            return
-        yield no, header, seq.upper(), plus, qual
-
-
-def read_records(spark: SparkSession, paths: list[str], max_reads: int | None = None) -> DataFrame:
-    """All whole records of the files, valid or not."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for no, *rest in _records(text.split("\n")):
-                    if max_reads is not None and no >= max_reads:
-                        break
-                    rows.append((path, no, *rest))
-                    if len(rows) == 50_000:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    return raw.mapInArrow(run, "file string, read_no long, header string, seq string, plus string, qual string")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["file", "read_no", "header", "seq", "plus", "qual"]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "read_no" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
+def read_records(spark: SparkSession, paths: list[str], max_reads: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All whole records of the files, valid or not; ``OSError`` if a file cannot be read to its end."""
+    done = scan(spark.createDataFrame([(p,) for p in paths], "path string"), max_reads, split_bytes)
+    broken = done.failures.first()
+    if broken is not None:
+        raise OSError(f"{broken['file']}: {broken['error']}")
+    return done.records
 
 
 VALID = "startswith(header, '@') and startswith(plus, '+') and length(seq) = length(qual)"
@@ -123,15 +95,22 @@ def bad_records(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", reason).where("reason is not null")
 
 
-def read_samples(spark: SparkSession, samples: DataFrame, max_reads: int | None = None) -> DataFrame:
-    """Valid reads of discovered samples: ``sample, file, mate, read_no, header, seq, qual``; mates follow each other."""
-    placed = [(r["sample"], p, str(i + 1)) for r in samples.collect() for i, p in enumerate(r["paths"])]
-    if not placed:
-        return spark.createDataFrame([], "sample string, file string, mate string, read_no long, header string, seq string, qual string")
-    bare = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), r"^[a-z]+:/+", "/")
-    where = spark.createDataFrame(placed, "sample string, path string, mate string").select("sample", "mate", bare(F.col("path")).alias("key"))
-    reads = valid_records(read_records(spark, [p for _, p, _ in placed], max_reads)).withColumn("key", bare(F.col("file")))
-    return reads.join(F.broadcast(where), "key").select("sample", "file", "mate", "read_no", "header", "seq", "qual")
+def scan_samples(samples: DataFrame, max_reads: int | None = None, split_bytes: int = SPLIT_BYTES) -> Scan:
+    """Valid reads of discovered samples: ``sample, file, mate, read_no, header, seq, qual``.
+
+    A sample of which a file cannot be read is left out as a whole and listed in ``failures`` (``sample, mate, file,
+    error``); the others are not disturbed.
+    """
+    files = samples.select("sample", F.posexplode("paths").alias("at", "path")).select("path", "sample", (F.col("at") + 1).cast("string").alias("mate"))
+    done = scan(files, max_reads, split_bytes)
+    lost = done.failures.select("sample").distinct()
+    reads = valid_records(done.records).join(lost, "sample", "left_anti")
+    return Scan(reads.select("sample", "file", "mate", "read_no", "header", "seq", "qual"), done.failures.select("sample", "mate", "file", "error"))
+
+
+def read_samples(samples: DataFrame, max_reads: int | None = None) -> DataFrame:
+    """The reads of :func:`scan_samples`; mates follow each other."""
+    return scan_samples(samples, max_reads).records
 
 
 def manifest(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from helixspark import cli, queries
 from helixspark.functions import scalars
 from helixspark.operators import pairs, preprocess, recommend, stats
 from helixspark.plans import config, phases
-from helixspark.sources import fastq, metadata, results
+from helixspark.sources import fastq, fastq_scan, metadata, results
 
 M3 = (0.1, 0.8, 0.9, 0.9, 0.8, 0.1)
 M4 = (0.2, 0.8, 0.7, 0.7, 0.8, 0.3)
@@ -133,7 +134,7 @@ def test_discovery(spark, folder):
 
 def test_reading(spark, folder):
     samples = fastq.find_samples(fastq.list_files(spark, folder))
-    rows = fastq.read_samples(spark, samples).collect()
+    rows = fastq.read_samples(samples).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r["sample"], r["mate"], r["read_no"])):
         by.setdefault(r["sample"], []).append(r["seq"])
@@ -324,3 +325,91 @@ def test_entry():
 
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and "similar_pairs" in sql and len(names) >= 60
+
+
+# ---- FASTQ in ranges
+
+
+def brute_records(text):
+    """Four lines at a time from the start of the file; a blank first line ends it."""
+    lines = text.split("\n")
+    for no, at in enumerate(range(0, len(lines) - 3, 4)):
+        head, seq, plus, qual = (x.strip() for x in lines[at : at + 4])
+        if not head:
+            return
+        yield no, head, seq.upper(), plus, qual
+
+
+ODD_FASTQ = [
+    "", "\n", "@a", "@a\nAC\n+\n", "@a\nAC\n+\nII", "@a\nAC\n+\nII\n", "@a\r\nac\r\n+\r\n@@\r\n@b\nG\n+\n@\n", "@a\n@C\n+@\n@I\n" * 7, "\n@a\nAC\n+\nII\n", "@a\nAC\n+\nII\n \t\n@b\nAC\n+\nII\n",
+    "@a\n\n\n\n@b\nAC\n+\nII\nrest", "x\ny\nz\nw\n" * 9, "@é\nAC\n+\nII\n \nA\n+\nI\n", "@long\n" + "A" * 5000 + "\n+\n" + "I" * 5000 + "\n@b\nC\n+\nI\n",
+]
+
+
+@pytest.mark.parametrize("split", [1, 3, 7, 64, 1 << 20])
+def test_ranges_equal_the_whole_file(tmp_path, split):
+    rng = random.Random(split)
+    texts = ODD_FASTQ + ["".join(rng.choice(["@h", "+", "AC", "", "\n", "\n", "\n", " ", "I@"]) for _ in range(rng.randrange(60))) for _ in range(30)]
+    for i, text in enumerate(texts):
+        path = tmp_path / f"{i}.fq"
+        path.write_text(text, newline="")
+        raw = text.encode()
+        starts = list(range(0, max(1, len(raw)), split))
+        ends = [*starts[1:], fastq_scan.END]
+        probed = [fastq_scan.probe(str(path), a, b, fastq_scan.END) for a, b in zip(starts, ends, strict=True)]
+        first, stop = 0, fastq_scan.END
+        begins = []
+        for n, blank, error in probed:
+            assert error is None
+            begins.append(first)
+            if blank[-first % 4] < fastq_scan.END:
+                stop = min(stop, first + blank[-first % 4])
+            first += n
+        got = [(no, h, s.upper(), p, q) for a, b, line in zip(starts, ends, begins, strict=True) for no, (h, s, p, q) in fastq_scan.records_of(str(path), a, b, line, stop)]
+        assert got == list(brute_records(text)), (i, split)
+
+
+def test_scan_in_spark(spark, tmp_path):
+    texts = {f"s{i}.fq": t for i, t in enumerate(ODD_FASTQ)} | {"big.fastq": fastq_text([f"ACGT{'ACGT'[i % 4] * (i % 50)}" for i in range(3000)])}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t, newline="")
+        (tmp_path / (name + ".gz")).write_bytes(gzip.compress(t.encode()))
+    files = spark.createDataFrame([(str(tmp_path / n), n, 7) for name in texts for n in (name, name + ".gz")], "path string, name string, error_rate int")
+    done = fastq_scan.scan(files, split_bytes=1000)
+    assert done.failures.count() == 0 and done.records.where("error_rate <> 7").count() == 0
+    got = {}
+    for r in done.records.collect():
+        got.setdefault(r["name"], []).append((r["read_no"], r["header"], r["seq"], r["plus"], r["qual"]))
+    for name, t in texts.items():
+        assert sorted(got.get(name, [])) == sorted(got.get(name + ".gz", [])) == list(brute_records(t))
+    few = fastq_scan.scan(files.where("name like 'big%'"), max_reads=5).records
+    assert sorted((r["name"], r["read_no"]) for r in few.collect()) == [(n, i) for n in ("big.fastq", "big.fastq.gz") for i in range(5)]
+    assert fastq_scan.scan(files.limit(0)).records.count() == 0
+
+
+def test_max_reads_stops_early(tmp_path):
+    path = tmp_path / "x.fq"
+    path.write_text(fastq_text(["ACGT"] * 1000))
+    seen = []
+    real = fastq_scan.lines_from
+    fastq_scan.lines_from = lambda *a: (seen.append(x) or x for x in real(*a))
+    try:
+        assert len(list(fastq_scan.records_of(str(path), 0, fastq_scan.END, 0, 8))) == 2 and len(seen) <= 9
+    finally:
+        fastq_scan.lines_from = real
+
+
+def test_broken_files_are_named_and_others_read(spark, tmp_path):
+    for i in range(10):
+        (tmp_path / f"sample{i}.fq.gz").write_bytes(gzip.compress(fastq_text(["ACGTACGT"] * 2000).encode()))
+    whole = (tmp_path / "sample4.fq.gz").read_bytes()
+    (tmp_path / "sample4.fq.gz").write_bytes(whole[: len(whole) // 2])
+    done = fastq.scan_samples(fastq.find_samples(fastq.list_files(spark, str(tmp_path))))
+    assert {r["sample"]: r["count"] for r in done.records.groupBy("sample").count().collect()} == {f"sample{i}": 2000 for i in range(10) if i != 4}
+    assert [(r["sample"], r["mate"], "EOFError" in r["error"]) for r in done.failures.collect()] == [("sample4", "1", True)]
+    with pytest.raises(OSError):
+        fastq.read_records(spark, [str(tmp_path / "sample4.fq.gz")])
+    (tmp_path / "sample5.fq.gz").write_bytes(b"no gzip")
+    gone = spark.createDataFrame([(str(tmp_path / "none.fq"),), (str(tmp_path / "sample5.fq.gz"),), (str(tmp_path / "sample6.fq.gz"),)], "path string")
+    again = fastq_scan.scan(gone)
+    assert again.records.count() == 2000 and {r["error"].split(":")[0] for r in again.failures.collect()} == {"FileNotFoundError", "BadGzipFile"}
