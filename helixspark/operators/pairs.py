@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
+
 METRICS = ("jaccard", "weighted_jaccard", "cosine", "braycurtis", "euclidean", "manhattan", "hamming")
 SIMILARITIES = ("jaccard", "weighted_jaccard", "cosine")
 
@@ -97,7 +99,87 @@ def pairwise(prof: DataFrame, name: str = "braycurtis", exact: bool = True) -> D
     table = pair_table(prof, exact)
     if name == "hamming":
         table = table.join(F.broadcast(prof.agg(F.countDistinct("kmer").alias("n_vocabulary"))))
-    value = metric(name, F.col("n_vocabulary"))
+    return _as_pairs(table, name, F.col("n_vocabulary"))
+
+
+PREFIX_METRICS = ("jaccard", "weighted_jaccard", "cosine", "braycurtis", "manhattan")
+
+
+def cutoffs(ranked: DataFrame, sums: DataFrame, name: str, threshold: float, least: float) -> DataFrame:
+    """``sample, cutoff, rest``: a sample's k-mers that occur in ``cutoff`` samples or more are too light to make, alone,
+    any pair similar; ``rest`` is their share of what the metric sums up.
+
+    ``ranked`` is a profile with ``df``, the number of samples of the k-mer.  Weights are summed by (sample, df), so no
+    sample's k-mers are sorted.  ``least`` is the smallest ratio ``s / t`` of any sample.
+    """
+    c = F.col("cnt").cast("double")
+    weight = {"jaccard": F.lit(1.0), "cosine": c * c}.get(name, c)
+    whole = sums.withColumn("r", F.col("s") / F.col("t"))
+    both = F.col("r") + F.lit(least)  # of a pair, in units of the product of their totals, at least
+    of_total = {
+        "jaccard": F.lit(threshold) * F.col("n"), "cosine": F.lit(threshold * threshold) * F.col("q"), "weighted_jaccard": F.lit(threshold / (1 + threshold)) * both * F.col("t"),
+        "braycurtis": F.lit(threshold / 2) * both * F.col("t"), "manhattan": F.greatest(both - (1 - threshold), F.lit(0.0)) / 2 * F.col("t"),
+    }[name]
+    levels = ranked.groupBy("sample", "df").agg(F.sum(weight).alias("w"))
+    upto = levels.withColumn("upto", F.sum("w").over(Window.partitionBy("sample").orderBy(F.col("df").desc())))
+    bounded = upto.join(whole.select("sample", (of_total * (1 - 1e-9)).alias("most")), "sample")
+    light = F.col("upto") <= F.col("most")
+    return bounded.groupBy("sample").agg(F.min(F.when(light, F.col("df"))).alias("cutoff"), F.max(F.when(light, F.col("upto"))).alias("rest")).select(
+        "sample", F.coalesce("cutoff", F.lit(1 << 62)).alias("cutoff"), F.coalesce("rest", F.lit(0.0)).alias("rest")
+    )
+
+
+def prefix_join(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of the join on shared k-mers that can bring a similar pair together: both samples hold the k-mer before their cutoff."""
+    rows = ranked.join(cuts.select("sample", "cutoff"), "sample").where("df < cutoff")
+    side = lambda s: rows.select(F.col("sample").alias(f"sample_{s}"), "kmer", F.col("cnt").alias(f"c{s}"), F.col("total").alias(f"t{s}"))
+    return side("a").join(side("b"), "kmer").where("sample_a < sample_b")
+
+
+def similar(prof: DataFrame, name: str = "braycurtis", threshold: float = 0.1, exact: bool = True) -> DataFrame:
+    """The pairs of :func:`pairwise` with similarity above ``threshold``, without the join on frequent k-mers.
+
+    K-mers are ordered by the number of samples they are in.  If two samples are similar, the rarest k-mer that both hold
+    lies before the cutoffs of both, so the join on k-mers before the cutoffs finds every similar pair; sums over those
+    k-mers bound its similarity from above, and only pairs that pass are completed, by the k-mers behind the smaller of
+    their cutoffs.  ``euclidean``, ``hamming`` and, where profiles are filtered, ``manhattan`` distances may be small without
+    any shared k-mer: they take all pairs.
+    """
+    sums = sample_sums(prof, exact)
+    least = sums.agg(F.min(F.col("s") / F.col("t"))).first()[0] or 0.0
+    if name not in PREFIX_METRICS or threshold < 0 or (name == "manhattan" and 2 * least < 1 - threshold):
+        return above(pairwise(prof, name, exact), threshold)
+    kind = "long" if exact else "double"
+    prof = prof.select("sample", "kmer", F.col("cnt").cast(kind), F.col("total").cast(kind))
+    ranked = keep(prof.join(prof.groupBy("kmer").agg(F.count("*").alias("df")), "kmer").where("df > 1").select("sample", "kmer", "cnt", "total", "df"), "ranked")
+    cuts = keep(cutoffs(ranked, sums, name, threshold, least), "cutoffs")
+    x, y = F.col("ca") * F.col("tb"), F.col("cb") * F.col("ta")
+    added = lambda rows: rows.groupBy("sample_a", "sample_b").agg(
+        F.count("*").alias("inter"), F.sum(F.least(x, y)).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("p"), F.sum((x == y).cast("long")).alias("e")
+    )
+    side = lambda s: sums.join(cuts, "sample").select(F.col("sample").alias(f"sample_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "s", "q", "t", "cutoff", "rest")])
+    found = added(prefix_join(ranked, cuts)).join(side("a"), "sample_a").join(side("b"), "sample_b")
+    # what the k-mers behind the smaller cutoff can add at most
+    first = F.col("cutoff_a") <= F.col("cutoff_b")
+    more, other = F.when(first, F.col("rest_a")).otherwise(F.col("rest_b")), F.when(first, F.col("t_b")).otherwise(F.col("t_a"))
+    most = {"jaccard": ("inter", more), "cosine": ("p", F.sqrt(more * F.when(first, F.col("q_b")).otherwise(F.col("q_a"))))}.get(name, ("m", more * other))
+    bound = metric(name) if name in SIMILARITIES else 1 - metric(name)
+    candidates = keep(found.withColumn("own", F.col(most[0])).withColumn(most[0], F.col(most[0]) + most[1]).where(bound > threshold * (1 - 1e-9)).withColumn(most[0], F.col("own")).drop("own"), "candidates")
+    holder, partner = F.when(first, F.col("sample_a")).otherwise(F.col("sample_b")), F.when(first, F.col("sample_b")).otherwise(F.col("sample_a"))
+    asked = candidates.select("sample_a", "sample_b", holder.alias("sample"), partner.alias("partner"), first.alias("first"))
+    behind = ranked.join(cuts.select("sample", "cutoff"), "sample").where("df >= cutoff").select("sample", "kmer", "cnt", "total")
+    theirs = ranked.select(F.col("sample").alias("partner"), "kmer", F.col("cnt").alias("cnt2"), F.col("total").alias("total2"))
+    both = asked.join(behind, "sample").join(theirs, ["partner", "kmer"])
+    of = lambda a, b: F.when(F.col("first"), F.col(a)).otherwise(F.col(b))
+    rest = added(both.select("sample_a", "sample_b", of("cnt", "cnt2").alias("ca"), of("total", "total2").alias("ta"), of("cnt2", "cnt").alias("cb"), of("total2", "total").alias("tb")))
+    parts = ("inter", "m", "p", "e")
+    whole = candidates.join(rest.select("sample_a", "sample_b", *[F.col(c).alias(f"{c}_more") for c in parts]), ["sample_a", "sample_b"], "left")
+    whole = whole.withColumns({c: F.col(c) + F.coalesce(F.col(f"{c}_more"), F.lit(0)) for c in parts})
+    return above(_as_pairs(whole, name), threshold)
+
+
+def _as_pairs(table: DataFrame, name: str, n_vocabulary: Column | None = None) -> DataFrame:
+    value = metric(name, n_vocabulary)
     if name in SIMILARITIES:
         distance, similarity = 1 - value, value
     else:

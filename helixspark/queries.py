@@ -236,7 +236,7 @@ for _name in pairs.METRICS:
 
 @query(BC + " SELECT sample_a, sample_b, distance, similarity FROM bc WHERE similarity > 0.1")
 def similar_pairs(spark, sf_dir):
-    return pairs.above(braycurtis(spark, sf_dir), 0.1)
+    return pairs.similar(prof(spark, sf_dir), "braycurtis", 0.1)
 
 
 @query(

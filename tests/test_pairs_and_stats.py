@@ -69,6 +69,34 @@ def test_metrics_equal_naive_full_outer_join(spark, name, exact):
         assert abs(r["similarity"] - expected) < 1e-12
 
 
+@pytest.mark.parametrize("name", pairs.METRICS)
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.5, 0.9])
+def test_thresholded_join_equals_all_pairs(spark, name, threshold):
+    rng = random.Random(11)
+    rows = []
+    for i in range(24):
+        own = {f"k{int(40 * rng.random() ** 3):02}": rng.randrange(1, 9) for _ in range(rng.randrange(1, 25))} | {f"own{i // 3}_{j}": rng.randrange(1, 30) for j in range(rng.randrange(4))}
+        rows += [(f"s{i:02}", k, c, sum(own.values())) for k, c in own.items()]
+    prof = spark.createDataFrame(rows, PROFILE)
+    for p in (prof, prof.where("kmer <> 'k00'")):  # the second's totals are larger than its sums
+        assert sorted(map(tuple, pairs.similar(p, name, threshold).collect())) == sorted(map(tuple, pairs.above(pairs.pairwise(p, name), threshold).collect()))
+    assert pairs.similar(prof.limit(0), name, threshold).count() == 0
+
+
+def test_thresholded_join_leaves_frequent_kmers_out(spark):
+    """30 pairs of alike samples that all share 20 frequent k-mers: few rows meet."""
+    rows = []
+    for i in range(60):
+        own = {f"all{j}": 2 for j in range(20)} | {f"pair{i // 2}_{j}": 3 for j in range(30)} | {f"own{i}_{j}": 1 for j in range(5)}
+        rows += [(f"s{i:02}", k, c, sum(own.values())) for k, c in own.items()]
+    prof = spark.createDataFrame(rows, PROFILE)
+    everything = prof.groupBy("kmer").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.sum("n")).first()[0]
+    ranked = prof.join(prof.groupBy("kmer").agg(F.count("*").alias("df")), "kmer")
+    cuts = pairs.cutoffs(ranked, pairs.sample_sums(prof), "braycurtis", 0.5, 1.0)
+    assert pairs.prefix_join(ranked, cuts).count() == 30 * 30 < everything / 30
+    assert pairs.similar(prof, "braycurtis", 0.5).count() == 30
+
+
 def test_known_profiles(spark):
     p1 = {"A": {"ATG": 3, "TGC": 3, "GCA": 4}, "B": {"ATG": 2, "TGC": 4, "GCA": 4}, "C": {"ATG": 1, "TGC": 1, "XXX": 8}}
     prof = spark.createDataFrame([(s, k, c, 10) for s, p in p1.items() for k, c in p.items()], PROFILE)
