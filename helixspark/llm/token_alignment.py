@@ -201,9 +201,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def groups(size_b: int) -> Column:
-    """The groups of :func:`tokenised` rows as ``text`` (ids of both sides) and ``links`` (id of a * ``size_b`` + id of b)."""
-    marks = F.transform(F.array_intersect("ends_a", "ends_b"), lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)
+def groups(stream: str, size_b: int) -> Column:
+    """The groups of a sorted stream of packed tokens and marks as ``text`` (ids of both sides) and ``links`` (id of a * ``size_b`` + id of b)."""
     own_id = lambda x: x.bitwiseAND(F.lit(SIDE - 1))
     is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
     link = lambda x, y: own_id(x) * size_b + own_id(y)
@@ -211,15 +210,17 @@ def groups(size_b: int) -> Column:
     def text(*ids: Column | str) -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else own_id(x).cast("string") for x in ids])
 
-    def between(stream: Column, first: Column, mark: Column) -> Column:
+    tokens = F.col(stream)
+
+    def between(first: Column, mark: Column) -> Column:
         """The group of the tokens from ``first`` up to the place of a mark; most have two or three tokens."""
-        x, y, z = (stream[first + i] for i in range(3))
+        x, y, z = tokens[first], tokens[first + 1], tokens[first + 2]
         two = F.struct(text(x, "|", y).alias("text"), F.array(link(x, y)).alias("links"))
         # of three tokens the last two end together
         split_a = F.struct(text(x, ",", y, "|", z).alias("text"), F.array(link(x, z), link(y, z)).alias("links"))
         split_b = F.struct(text(y, "|", x, ",", z).alias("text"), F.array(link(y, x), link(y, z)).alias("links"))
-        side = lambda of_a: F.filter(F.transform(F.sequence(first, mark - 1), lambda i: stream[i]), lambda t: is_a(t) if of_a else ~is_a(t))
-        joined = lambda tokens: F.array_join(F.transform(tokens, own_id).cast("array<string>"), ",")
+        side = lambda of_a: F.filter(F.transform(F.sequence(first, mark - 1), lambda i: tokens[i]), lambda t: is_a(t) if of_a else ~is_a(t))
+        joined = lambda own: F.array_join(F.transform(own, own_id).cast("array<string>"), ",")
         more = _let(
             F.struct(side(True).alias("a"), side(False).alias("b")),
             lambda g: F.struct(
@@ -228,22 +229,24 @@ def groups(size_b: int) -> Column:
         )
         return F.when(mark - first == 2, two).when(mark - first == 3, F.when(is_a(x), split_a).otherwise(split_b)).otherwise(more)
 
-    def cut(stream: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(stream) - 1), lambda p: stream[p].bitwiseAND(F.lit(MARK)) == MARK)
-        return _let(F.concat(F.array(F.lit(-1)), places), lambda m: F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda j: between(stream, m[j - 1] + 1, m[j])))
-
-    return _let(F.sort_array(F.concat("a", "b", marks)), cut)
+    places = F.filter(F.sequence(F.lit(0), F.size(stream) - 1), lambda p: tokens[p].bitwiseAND(F.lit(MARK)) == MARK)
+    firsts = lambda m: F.slice(F.concat(F.array(F.lit(0)), F.transform(m, lambda p: p + 1)), F.lit(1), F.size(m))
+    return F.when(F.size(stream) > 0, _let(places, lambda m: F.zip_with(firsts(m), m, between)))
 
 
 def linked(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_a, n_b, n_groups, n_links, groups_sha256, links``: all links of a document as pair numbers, in order of these."""
     kind = "int" if files.sizes[0] * files.sizes[1] < 1 << 31 else "long"
     rows = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    # rows without tokens get no groups; this column is its own step, so it is computed once
-    each = tokenised(rows, files).select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.when(F.size("a") > 0, groups(files.sizes[1])).alias("g"))
+    # each step names what the one before it made more than once, so that Spark keeps the steps apart: what need not be a
+    # higher-order function then is compiled
+    shared = tokenised(rows, files).select("id", "a", "b", F.array_intersect("ends_a", "ends_b").alias("common"))
+    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)
+    streams = shared.select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), F.sort_array(F.concat("a", "b", marks)).alias("stream"))
+    each = streams.select("id", "n_a", "n_b", "n_groups", groups("stream", files.sizes[1]).alias("g"))
     links = F.coalesce(F.sort_array(F.flatten("g.links")), F.array().cast("array<bigint>")).cast(f"array<{kind}>")
-    some = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    whole = each.select("id", F.col("n_a").cast("long"), F.col("n_b").cast("long"), some(F.when(F.col("n_a") > 0, F.size("g"))).alias("n_groups"), F.coalesce(F.sha2(F.array_join("g.text", ";"), 256), F.lit("")).alias("groups_sha256"), links.alias("links"))
+    counts = [F.col(c).cast("long") for c in ("n_a", "n_b", "n_groups")]
+    whole = each.select("id", *counts, F.coalesce(F.sha2(F.array_join("g.text", ";"), 256), F.lit("")).alias("groups_sha256"), links.alias("links"))
     return whole.withColumn("n_links", F.size("links").cast("long"))
 
 
