@@ -1,6 +1,7 @@
-"""Kernels over the sample-by-sample matrix: ordination, agglomeration, choice of the number of clusters.
+"""Kernels over a small sample-by-sample matrix on the driver: metric scaling, t-SNE, and what tests compare with.
 
-These run on the driver on n x n values, n being the number of samples; ``MAX_SAMPLES`` guards the size.
+``MAX_SAMPLES`` guards the size.  Registered queries and the phases use :mod:`ordination` and :mod:`clusters`, which have
+no such bound.
 """
 
 from __future__ import annotations
@@ -230,34 +231,3 @@ def kmeans(points: np.ndarray, k: int, seed: int = 42, starts: int = 10, rounds:
             best = (inertia, labels)
     first: dict[int, int] = {}
     return np.array([first.setdefault(int(x), len(first)) for x in best[1]], dtype=int)
-
-
-def identify_clusters(spark, pairs: DataFrame, least: int = 2, most: int = 8, variant: str = "standard", seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(labels ``method, k, sample, label``; scores ``method, k, silhouette``; the best k of each method).
-
-    ``standard``: k-means on up to 10 principal coordinates with Euclidean silhouettes, and average linkage.
-    ``simple``: k-means on the rows of the similarity matrix and Ward linkage; nothing if the range is empty.
-    """
-    samples, d = collect_matrix(pairs)
-    n = len(samples)
-    label_rows, score_rows = [], []
-    points = pcoa(d, min(10, max(1, n - 1)))[0] if variant == "standard" else 1 - d
-    apart = np.sqrt(squared_distances(points, points)) if n else d
-    if n:
-        np.fill_diagonal(apart, 0.0)
-    merges = linkage(d, "average" if variant == "standard" else "ward") if n else []
-    for k in range(least, min(most, n - 1) + 1) if variant == "standard" or min(most, n - 1) > least else ():
-        for method, labels, by in (("kmeans", kmeans(points, k, seed), apart), ("hierarchical", cut(merges, n, k), d)):
-            label_rows += [(method, k, s, int(x)) for s, x in zip(samples, labels, strict=True)]
-            score_rows.append((method, k, silhouette_score(by, labels)))
-    best = {m: max((r for r in score_rows if r[0] == m), key=lambda r: (r[2], -r[1])) for m in {r[0] for r in score_rows}}
-    return (
-        spark.createDataFrame(label_rows, "method string, k int, sample string, label int"),
-        spark.createDataFrame(score_rows, "method string, k int, silhouette double"),
-        spark.createDataFrame(sorted(best.values()), "method string, k int, silhouette double"),
-    )
-
-
-def ordination(spark, names: list[str], coordinates: np.ndarray, prefix: str = "pc") -> DataFrame:
-    cols = [f"{prefix}{i + 1}" for i in range(coordinates.shape[1])]
-    return spark.createDataFrame([(s, *map(float, row)) for s, row in zip(names, coordinates, strict=True)], "sample string, " + ", ".join(f"{c} double" for c in cols))

@@ -210,6 +210,13 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     )
 
 
+def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
+    """Both directions of each pair, as ``sample, other`` and the columns ``values``."""
+    return pairs.select(F.col("sample_a").alias("sample"), F.col("sample_b").alias("other"), *values).unionByName(
+        pairs.select(F.col("sample_b").alias("sample"), F.col("sample_a").alias("other"), *values)
+    )
+
+
 def top_neighbours(pairs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` most similar others of each sample with similarity above 0, ties by name: ``sample, rank, other, similarity``."""
     rank = F.row_number().over(Window.partitionBy("sample").orderBy(F.col("similarity").desc(), "other"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.operators.matrix import collect_matrix, linkage
+from helixspark.operators.clusters import agglomerate
 from helixspark.operators.pairs import mirrored
 
 
@@ -17,8 +17,8 @@ def heatmap(pairs: DataFrame, samples: DataFrame, value: str = "distance") -> Da
 
 def dendrogram(spark, pairs: DataFrame, method: str = "ward") -> DataFrame:
     """``step, node_a, node_b, height, size`` from the true distances."""
-    _, d = collect_matrix(pairs)
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(linkage(d, method))], "step int, node_a int, node_b int, height double, size int")
+    _, merges = agglomerate(pairs, method)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step int, node_a int, node_b int, height double, size int")
 
 
 def variable_importance(results: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions.scalars import contamination_ladder, contiguity_gain, cost_multiplier, coverage_boost, quality_ladder
-from helixspark.operators.matrix import best_cut, collect_matrix, cut, linkage
-from helixspark.operators.pairs import similarity_structure
+from helixspark.operators.clusters import agglomerate, best_cut
+from helixspark.operators.matrix import cut
+from helixspark.operators.pairs import both_ways, similarity_structure
+from helixspark.plans.scratch import keep
 
 HIGH_SIMILARITY, MEDIUM_SIMILARITY, MAX_GROUP = 0.85, 0.30, 10
 HIGH_DISTANCE, MEDIUM_DISTANCE = 0.15, 0.30
@@ -93,12 +95,12 @@ def overall(groups: DataFrame) -> DataFrame:
     return kinds.select(strategy.alias("strategy"), confidence.alias("overall_confidence"), (F.col("n") - F.col("single")).alias("n_groups"), F.col("single").alias("n_individual"))
 
 
-def simple_groups(spark, pairs: DataFrame, samples: list[str] | None = None, max_group_size: int = MAX_GROUP) -> DataFrame:
+def simple_groups(spark, pairs: DataFrame, max_group_size: int = MAX_GROUP) -> DataFrame:
     """``group_id, sample_names, n, strategy, confidence, mean_similarity, min_similarity, std_similarity``."""
-    names, d = collect_matrix(pairs, samples)
     stats = similarity_structure(pairs, MEDIUM_SIMILARITY).first()
     if stats["similarity_pattern"] in ("very_high", "low"):
         alone = stats["similarity_pattern"] == "low"
+        names = [r["sample"] for r in both_ways(pairs).select("sample").distinct().orderBy("sample").collect()]
         members = [[s] for s in names] if alone else [names]
         out = spark.createDataFrame(list(enumerate(members)), GROUPS).withColumn("n", F.size("sample_names"))
         mean = 0.0 if alone else float(stats["mean_similarity"])
@@ -106,8 +108,8 @@ def simple_groups(spark, pairs: DataFrame, samples: list[str] | None = None, max
             "group_id", "sample_names", "n", F.lit("individual" if alone else "global").alias("strategy"), F.lit(0.7 if alone else min(0.9, mean)).alias("confidence"),
             F.lit(mean).alias("mean_similarity"), F.lit(0.0 if alone else float(stats["min_similarity"])).alias("min_similarity"), F.lit(0.0 if alone else float(stats["std_similarity"])).alias("std_similarity"),
         )
-    merges = linkage(d, "ward")
-    labels = cut(merges, len(names), best_cut(d, merges))
+    names, merges = agglomerate(pairs, "ward")
+    labels = cut(merges, len(names), best_cut(pairs, names, merges))
     members = [[s for s, x in zip(names, labels, strict=True) if x == c] for c in range(int(labels.max()) + 1 if len(labels) else 0)]
     scored = score_groups(group_similarities(spark.createDataFrame(list(enumerate(members)), GROUPS), pairs), max_group_size)
     return scored.select("group_id", "sample_names", "n", "strategy", "confidence", "mean_similarity", "min_similarity", "std_similarity")
@@ -139,10 +141,10 @@ def simple_commands(groups: DataFrame, batch: int = 10, suffix: str = ".fastq.gz
 # ---- standard variant
 
 
-def similarity_candidates(spark, pairs: DataFrame, samples: list[str] | None = None) -> DataFrame:
+def similarity_candidates(spark, pairs: DataFrame) -> DataFrame:
     """Average-linkage clusters of two members and more for k = 2 .. min(n, 8) - 1, with distances and confidence."""
-    names, d = collect_matrix(pairs, samples)
-    merges, rows = linkage(d, "average"), []
+    names, merges = agglomerate(pairs, "average")
+    rows = []
     for k in range(2, min(len(names), 8)):
         labels = cut(merges, len(names), k)
         for c in range(k):
@@ -182,23 +184,34 @@ def hybrid_boost(groups: DataFrame, clamp: bool = False) -> DataFrame:
     return groups.withColumn("confidence", F.least(F.lit(1.0), boosted) if clamp else boosted)
 
 
-def pick_disjoint(spark, groups: DataFrame) -> DataFrame:
-    """Groups by falling confidence, each kept if it shares no sample with those kept before.  Sequential over few rows."""
-    used: set[str] = set()
-    kept = []
-    for r in groups.orderBy(F.col("confidence").desc(), "group_id").collect():
-        if not used & set(r["sample_names"]):
-            kept.append(tuple(r))
-            used |= set(r["sample_names"])
-    return spark.createDataFrame(kept, groups.schema)
+def pick_disjoint(groups: DataFrame) -> DataFrame:
+    """Groups by falling confidence, each kept if it shares no sample with those kept before.
+
+    In rounds: a group that is the first of all open ones for each of its samples is kept, and those that share a sample
+    with it go.  That gives what one pass in order would, with as many rounds as groups block each other in a row.
+    """
+    key = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), F.col("group_id").alias("g"))
+    still = keep(groups.withColumn("__key", key), "open-groups")
+    kept = None
+    while True:
+        each = still.select("__key", F.explode("sample_names").alias("sample"))
+        ahead = each.groupBy("sample").agg(F.min("__key").alias("ahead"))
+        judged = each.join(ahead, "sample").groupBy("__key").agg(F.bool_and(F.col("__key") == F.col("ahead")).alias("won"))
+        won = keep(still.join(judged.where("won"), "__key", "left_semi"), "kept-groups")
+        if won.isEmpty():
+            break
+        kept = won if kept is None else kept.unionByName(won)
+        blocked = each.join(won.select(F.explode("sample_names").alias("sample")).distinct(), "sample", "left_semi").select("__key").distinct()
+        still = keep(still.join(blocked, "__key", "left_anti"), "open-groups")
+    return (groups.limit(0) if kept is None else kept.drop("__key")).orderBy(F.col("confidence").desc(), "group_id")
 
 
 def standard_groups(spark, pairs: DataFrame, long_meta: DataFrame | None = None, results: DataFrame | None = None, clamp: bool = False) -> DataFrame:
-    similar = pick_disjoint(spark, similarity_candidates(spark, pairs))
+    similar = pick_disjoint(similarity_candidates(spark, pairs))
     by_meta = metadata_groups(pairs, long_meta, results) if long_meta is not None and results is not None else None
     if by_meta is None or by_meta.isEmpty():
         return similar
-    return pick_disjoint(spark, hybrid_boost(similar.unionByName(by_meta), clamp))
+    return pick_disjoint(hybrid_boost(similar.unionByName(by_meta), clamp))
 
 
 def standard_overall(groups: DataFrame, n_samples: int) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.operators import matrix, pairs, profiles, recommend, sketch, stats
+from helixspark.operators import clusters, pairs, profiles, recommend, sketch, stats
 from helixspark.operators.lsh import lsh_similarities
 from helixspark.plans.config import Config
 from helixspark.plans.scratch import keep
@@ -52,7 +52,7 @@ def run_phase2(spark: SparkSession, phase1: Phase1, meta: DataFrame, config: Con
     t = config.statistics
     aligned = metadata.align(phase1.samples, meta)
     ranked = stats.analyze_variables(phase1.pairs, aligned, list(t.variables) if t.variables else None, t.permutations, t.variant)
-    return (keep(ranked, "variables"), *matrix.identify_clusters(spark, phase1.pairs, t.min_clusters, t.max_clusters, t.variant))
+    return (keep(ranked, "variables"), *clusters.identify_clusters(spark, phase1.pairs, t.min_clusters, t.max_clusters, t.variant))
 
 
 def run_phase3(spark: SparkSession, phase1: Phase1, config: Config, meta: DataFrame | None = None, ranked: DataFrame | None = None):

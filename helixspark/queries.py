@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions import kmers, scalars
-from helixspark.operators import graph, lsh, matrix, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
+from helixspark.operators import clusters, graph, lsh, ordination, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
 from helixspark.plans.scratch import keep
 from helixspark.sources import fastq, metadata, results
 
@@ -436,19 +436,19 @@ def numeric_agreement(spark, sf_dir):
 
 @query()
 def pcoa_points(spark, sf_dir):
-    names, d = matrix.collect_matrix(braycurtis(spark, sf_dir))
-    return matrix.ordination(spark, names, matrix.pcoa(d)[0], "axis")
+    names, points, _ = ordination.pcoa(braycurtis(spark, sf_dir))
+    return ordination.as_table(spark, names, points, "axis")
 
 
 @query()
 def pca_points(spark, sf_dir):
-    names, gram = matrix.profile_gram(prof(spark, sf_dir))
-    return matrix.ordination(spark, names, matrix.pca_from_gram(gram)[0])
+    names, points, _ = ordination.pca(prof(spark, sf_dir))
+    return ordination.as_table(spark, names, points)
 
 
 @query()
 def cluster_scores(spark, sf_dir):
-    return matrix.identify_clusters(spark, braycurtis(spark, sf_dir))[1]
+    return clusters.identify_clusters(spark, braycurtis(spark, sf_dir))[1]
 
 
 @query()

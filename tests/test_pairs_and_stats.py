@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixspark import queries
-from helixspark.operators import graph, lsh, matrix, pairs, plotdata, stats
+from helixspark.operators import clusters, graph, lsh, matrix, ordination, pairs, plotdata, recommend, stats
 
 FIXTURES = {
     "M1": (0.5, 0.8, 0.9, 0.7, 0.8, 0.3),
@@ -269,10 +269,10 @@ def test_ward_heights():
 def test_identify_clusters(spark):
     p = pair_frame(spark, (0.1, 0.8, 0.9, 0.85, 0.9, 0.9, 0.8, 0.9, 0.1, 0.5, 0.6, 0.55, 0.7, 0.1, 0.2), "ABCDEF")
     for variant in ("standard", "simple"):
-        labels, scores, best = matrix.identify_clusters(spark, p, 2, 4, variant)
+        labels, scores, best = clusters.identify_clusters(spark, p, 2, 4, variant)
         assert {(r["method"], r["k"]) for r in scores.collect()} == {(m, k) for m in ("kmeans", "hierarchical") for k in (2, 3, 4)}
         assert labels.count() == 36 and best.count() == 2
-    assert matrix.identify_clusters(spark, pair_frame(spark, (0.5,), "AB"), 2, 8, "simple")[1].count() == 0
+    assert clusters.identify_clusters(spark, pair_frame(spark, (0.5,), "AB"), 2, 8, "simple")[1].count() == 0
 
 
 def test_plot_tables(spark):
@@ -281,7 +281,7 @@ def test_plot_tables(spark):
     assert plotdata.heatmap(p, samples).count() == 16 and plotdata.dendrogram(spark, p).count() == 3
     meta = spark.createDataFrame([("A", "x", 1.0), ("B", "x", 2.0), ("C", "y", 3.0), ("Q", None, 9.0)], "sample string, site string, age double")
     assert plotdata.colour_columns(meta) == ["site", "age"] and plotdata.only_samples(meta, samples).count() == 3
-    points = matrix.ordination(spark, list("ABCD"), np.zeros((4, 2)))
+    points = ordination.as_table(spark, list("ABCD"), np.zeros((4, 2)))
     assert plotdata.coloured(points, meta, "site").where("value is null").count() == 1
     assert plotdata.hover_text(points, meta).where("sample = 'A'").first()["hover"] == "site: x<br>age: 1.0"
     results = spark.createDataFrame([("site", 0.01, 0.5), ("age", None, None)], "variable string, p_value double, r_squared double")
@@ -319,3 +319,99 @@ def test_squared_distances_equal_brute_force():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(7, 5)), rng.normal(size=(4, 5))
     assert np.allclose(matrix.squared_distances(a, b), ((a[:, None] - b[None]) ** 2).sum(2))
+
+
+def random_pairs(spark, n, seed, flat=False):
+    """Distances of points (``flat``) or any numbers, as a table and a matrix."""
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(n, 5)) + rng.integers(0, 3, (n, 1)) * 4
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)) if flat else rng.random((n, n))
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, 0.0)
+    names = [f"s{i:03}" for i in range(n)]
+    rows = [(names[i], names[j], float(d[i, j]), float(1 - d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    return d, names, spark.createDataFrame(rows, "sample_a string, sample_b string, distance double, similarity double")
+
+
+@pytest.mark.parametrize("flat", [True, False])
+def test_principal_coordinates_equal_the_square_matrix(spark, flat):
+    d, names, p = random_pairs(spark, 70, 2, flat)
+    found, coordinates, values = ordination.pcoa(p, 3)
+    axes, all_values = matrix.pcoa(d, 3)
+    assert found == names and np.allclose(values, all_values[:3], rtol=1e-9) and np.abs(coordinates - axes).max() < 1e-6
+    with pytest.raises(ValueError, match="1 pairs"):
+        ordination.pcoa(p.where("sample_a <> 's000' or sample_b <> 's001'"))
+    d[0, 1] = d[1, 0] = 0.7
+    _, coordinates, _ = ordination.pcoa(p.where("sample_a <> 's000' or sample_b <> 's001'"), 2, missing=0.7)
+    assert np.abs(coordinates - matrix.pcoa(d, 2)[0]).max() < 1e-6
+    assert ordination.pcoa(p.limit(0))[0] == []
+
+
+def test_principal_components_equal_the_gram_matrix(spark):
+    _, prof = random_profiles(spark, 40, 5)
+    names, scores, ratio = ordination.pca(prof, 3)
+    own, gram = matrix.profile_gram(prof)
+    want, want_ratio = matrix.pca_from_gram(gram, 3)
+    assert names == own and np.abs(scores - want).max() < 1e-6 and np.allclose(ratio, want_ratio)
+
+
+def test_eigenpairs_of_a_large_matrix_take_few_products():
+    rng = np.random.default_rng(6)
+    vectors = np.linalg.qr(rng.normal(size=(800, 800)))[0]
+    values = np.concatenate([[90, 70, 50], rng.uniform(-8, 10, 797)])
+    seen = []
+    found, axes = ordination.top_eigenpairs(lambda x: seen.append(x.shape[1]) or vectors @ (values[:, None] * (vectors.T @ x)), 800, 3)
+    assert np.allclose(found, [90, 70, 50]) and np.abs(np.abs((axes * vectors[:, :3]).sum(0)) - 1).max() < 1e-8 and sum(seen) < 200
+
+
+@pytest.mark.parametrize("method", ["average", "ward", "single", "complete"])
+@pytest.mark.parametrize("flat", [True, False])
+def test_agglomeration_equals_the_sequential_one(spark, method, flat):
+    d, names, p = random_pairs(spark, 14, 3, flat)
+    found, merges = clusters.agglomerate(p, method)
+    want = matrix.linkage(d, method)
+    assert found == names and [m[:2] + m[3:] for m in merges] == [m[:2] + m[3:] for m in want]
+    assert np.allclose([m[2] for m in merges], [m[2] for m in want])
+
+
+def test_agglomeration_of_ties_and_small_tables(spark):
+    names, merges = clusters.agglomerate(pair_frame(spark, (1.0,) * 6), "average")
+    assert len(merges) == 3 and {m[2] for m in merges} == {1.0} and merges[-1][3] == 4
+    assert clusters.agglomerate(pair_frame(spark, (1.0,) * 6).limit(0), "ward") == ([], [])
+    with pytest.raises(ValueError):
+        clusters.agglomerate(pair_frame(spark, (1.0,) * 6).limit(5))
+    with pytest.raises(ValueError):
+        clusters.agglomerate(pair_frame(spark, (1.0,) * 6), "other")
+
+
+def test_cluster_scores_equal_brute_force(spark):
+    d, names, p = random_pairs(spark, 18, 4, True)
+    labels, scores, best = clusters.identify_clusters(spark, p, 2, 3)
+    points = matrix.pcoa(d, 10)[0]
+    apart = np.sqrt(matrix.squared_distances(points, points))
+    np.fill_diagonal(apart, 0.0)
+    score = {(r["method"], r["k"]): r["silhouette"] for r in scores.collect()}
+    for method, k in score:
+        own = {r["sample"]: r["label"] for r in labels.where(f"method = '{method}' and k = {k}").collect()}
+        found = np.array([own[s] for s in names])
+        assert abs(score[method, k] - matrix.silhouette_score(apart if method == "kmeans" else d, found)) < 1e-9
+        assert method == "kmeans" or found.tolist() == matrix.cut(matrix.linkage(d, "average"), 18, k).tolist()
+        inertia = lambda x: sum(((points[x == c] - points[x == c].mean(0)) ** 2).sum() for c in set(x.tolist()))
+        assert method != "kmeans" or inertia(found) <= 1.1 * inertia(matrix.kmeans(points, k))
+    assert {r["method"]: r["silhouette"] for r in best.collect()} == {m: max(v for (n, _), v in score.items() if n == m) for m in ("kmeans", "hierarchical")}
+    merges = matrix.linkage(d, "ward")
+    assert clusters.best_cut(p, names, merges) == matrix.best_cut(d, merges)
+
+
+def test_disjoint_groups_equal_one_pass_in_order(spark):
+    rng = random.Random(9)
+    for _ in range(4):
+        rows = [(f"g{i:02}", rng.sample("abcdefghijklmnop", rng.randrange(1, 5)), rng.choice([0.1, 0.5, 0.9, None])) for i in range(25)]
+        used, want = set(), []
+        for g, s, _ in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0])):
+            if not used & set(s):
+                used |= set(s)
+                want.append(g)
+        frame = spark.createDataFrame(rows, "group_id string, sample_names array<string>, confidence double")
+        assert [r["group_id"] for r in recommend.pick_disjoint(frame).collect()] == want
+    assert recommend.pick_disjoint(frame.limit(0)).count() == 0
