@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from helixspark.operators.graph import connected_components
 from .grouped import edge_batches, forest, in_blocks, runs, sorted_groups
 from helixspark.plans.scratch import keep
-from helixspark.plans.skew import spread_join
 from .shingling import U, mix, text_sets
 from .sieve import bitmap, part, sift
 from .tables import slim, unused
@@ -161,7 +160,8 @@ def candidate_forest(reps: DataFrame, params: MinHash) -> DataFrame:
     cells = reps.select("id", F.explode("bands").alias("band"))
     groups = keep(cells.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     # most bands have one member; only what may be in a group is moved again
-    members = spread_join(sift(cells, bitmap(groups, "band"), "band"), groups, ["band"], F.col("id")).join(reps.select("id", "planes"), "id")
+    placed = keep(sift(cells, bitmap(groups, "band"), "band").join(groups, "band"), "band-members")
+    members = placed.join(sift(reps.select("id", "planes"), bitmap(placed, "id"), "id"), "id")
     dealt = in_blocks(members, "band", "id", F.col("n") / BLOCK).select("gid", "id", "planes")
     cut = params.cut()
 
@@ -245,7 +245,7 @@ def verified_edges(edges: DataFrame, sets: DataFrame, params: MinHash) -> DataFr
     """``src, dst, good`` of each edge: whether the full sets are linked.  The ends of a source meet it in blocks."""
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
     blocks = F.ceil(F.col("degree") / BLOCK)
-    dealt = spread_join(edges, degrees, ["src"], F.col("dst")).select("src", "dst", F.xxhash64("src", F.pmod(F.xxhash64(F.lit(23), "dst"), blocks)).alias("gid"))
+    dealt = edges.join(degrees, "src").select("src", "dst", F.xxhash64("src", F.pmod(F.xxhash64(F.lit(23), "dst"), blocks)).alias("gid"))
     members = dealt.select("gid", "src", F.col("dst").alias("id")).unionByName(dealt.select("gid", "src", F.col("src").alias("id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def labelled(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """The edges between the parts that their ends are in: distinct ``src, dst`` of different parts."""
     out = edges.select("src", "dst")
     for end, far in (("src", "dst"), ("dst", "src")):
-        named = spread_join(out, parts.select(F.col("node").alias(end), "component"), [end], F.col(far), "left")
+        named = out.join(parts.select(F.col("node").alias(end), "component"), end, "left")
         out = named.select(F.coalesce("component", end).alias(end), far)
     return out.where("src <> dst").distinct()
 
@@ -287,7 +287,7 @@ def cross_links(sets: DataFrame, members: DataFrame, params: MinHash) -> DataFra
     )
     count = lambda n, size: F.greatest(F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)), F.lit(1)).cast("int")
     plan = keep(whole.select("cluster", "main", count(F.col("top.n"), F.col("top.size")).alias("a"), count(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("b")), "blocks")
-    rows = spread_join(members, plan, ["cluster"], F.col("id"))
+    rows = members.join(plan, "cluster")
     h = F.xxhash64(F.lit(7), "id")
     is_main = F.col("part") == F.col("main")
     own = F.when(is_main, F.pmod(h, F.col("a").cast("long"))).otherwise(F.col("a") + F.pmod(h, F.col("b").cast("long"))).cast("int")
@@ -307,7 +307,8 @@ def cross_links(sets: DataFrame, members: DataFrame, params: MinHash) -> DataFra
 
         return edge_batches(links())
 
-    return sorted_groups(meeting.join(sets, "id").select("gid", "id", "shingles")).mapInArrow(run, "src long, dst long").distinct()
+    few = sift(sets, bitmap(members, "id"), "id")
+    return sorted_groups(meeting.join(few, "id").select("gid", "id", "shingles")).mapInArrow(run, "src long, dst long").distinct()
 
 
 def linked_parts(edges: DataFrame, sets_of: Callable[[DataFrame], DataFrame], params: MinHash) -> DataFrame:
@@ -323,12 +324,12 @@ def linked_parts(edges: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pa
     clusters = keep(connected_components(doubtful).select(F.col("node").alias("part"), F.col("component").alias("cluster")), "clusters")
     alone = nodes.join(parts, F.col("id") == F.col("node"), "left_anti").select("id", F.col("id").alias("part"))
     of_part = parts.select(F.col("node").alias("id"), F.col("component").alias("part")).unionByName(alone)
-    members = keep(spread_join(sift(of_part, bitmap(clusters, "part"), "part"), clusters, ["part"], F.col("id")).select("id", "cluster", "part"), "members")
+    members = keep(sift(of_part, bitmap(clusters, "part"), "part").join(clusters, "part").select("id", "cluster", "part"), "members")
     between = keep(labelled(cross_links(sets, members, params), of_part.select(F.col("id").alias("node"), F.col("part").alias("component"))), "between")
     if between.isEmpty():
         return parts
     merged = connected_components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    renamed = spread_join(of_part, merged, ["part"], F.col("id"), "left")
+    renamed = of_part.join(merged, "part", "left")
     return renamed.select(F.col("id").alias("node"), F.coalesce("whole", "part").alias("component"))
 
 
@@ -345,7 +346,9 @@ def groups_of(sig: DataFrame, sets_of: Callable[[DataFrame], DataFrame], params:
     classes = keep(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
     # classes of one need no join to find their first
     found = bitmap(classes.where("m > 1"), "k1", "k2")
-    maybe, single = part(usable.select("id", "k1", "k2", "bands", "planes"), found, "k1", "k2")
+    # a set with fewer shingles is far from any other: even one more makes the union too large
+    able = usable.where(F.col("n_shingles") * (100 - params.percent) >= params.percent)
+    maybe, single = part(able.select("id", "k1", "k2", "bands", "planes"), found, "k1", "k2")
     firsts = sift(classes, found, "k1", "k2").select(F.col("rep").alias("id"), "k1", "k2")
     of_several = sift(maybe, bitmap(firsts, "id", "k1", "k2"), "id", "k1", "k2").join(firsts, ["id", "k1", "k2"])
     reps = single.unionByName(of_several).select("id", "bands", "planes")
@@ -355,7 +358,7 @@ def groups_of(sig: DataFrame, sets_of: Callable[[DataFrame], DataFrame], params:
     named = keep(named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")), "named")
     key = ["k1", "k2", "n_shingles"]
     maybe, alone = part(sig.select("id", *key), bitmap(named, *key), *key)
-    joined = spread_join(maybe, named, key, F.col("id"), "left")
+    joined = maybe.join(named, key, "left")
     own = F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")), F.col("id"))
     rows = joined.select("id", "n_shingles", own.alias("component_id")).unionByName(alone.select("id", "n_shingles", F.col("id").alias("component_id")))
     return rows.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

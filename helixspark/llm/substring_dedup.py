@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.plans.scratch import keep
-from helixspark.plans.skew import spread_join
 from .near_dedup import MinHash, full_sets, groups_of, signatures
 from .shingling import _PLACE, U, _powers, mix, text_chunks, word_starts, words
 from .sieve import bitmap, part, sift
@@ -229,7 +228,7 @@ def near_paragraphs(rows: DataFrame, min_words: int, params: MinHash) -> DataFra
     near = keep(sift(grouped, bitmap(counts, "component_id"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
     placed = keep(sift(where, bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
     owners = placed.groupBy("component_id").agg(F.min("doc").alias("keep_id"), F.max("doc").alias("last_id")).where("keep_id <> last_id")
-    whole = spread_join(placed, owners.drop("last_id"), ["component_id"], F.col("pid"))
+    whole = placed.join(owners.drop("last_id"), "component_id")
     return whole.select(F.col("doc").alias("id"), "th", "start", "n_words", "keep_id")
 
 
@@ -239,12 +238,12 @@ def pieces(
     """Occurrences of passages that two or more documents share: ``id, th, start, n_words, keep_id`` (in words)."""
     rows = texts(docs, id_col, text_col)
     wins = windows(rows, window, spread)
-    ends = [f(x).alias(f"{x}_{f.__name__}") for x in ("l", "r") for f in (F.min, F.max)]
-    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id"), *ends).where("keep_id <> last_id")
+    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
+    held = keep(with_owner(wins, keep(shared.drop("last_id"), "shared")), "found")
+    # what stands around is compared among the shared windows only, which are few
+    ends = held.groupBy("k", "c").agg(*[f(x).alias(f"{x}_{f.__name__}") for x in ("l", "r") for f in (F.min, F.max)])
     open_ends = [F.expr(f"{x}_min = 0 or {x}_min <> {x}_max").alias(side) for x, side in (("l", "left"), ("r", "right"))]
-    shared = keep(shared.select("k", "c", "keep_id", *open_ends), "shared")
-    columns = ["id", "th", "start", "n_words", "keep_id"]
-    found = keep(with_owner(wins.drop("l", "r"), shared).select(*columns, "behind", "left", "right"), "found")
+    found = keep(held.join(ends.select("k", "c", *open_ends), ["k", "c"]).select("id", "th", "start", "n_words", "keep_id", "behind", "left", "right"), "found-ends")
     ahead, behind = F.when(F.col("left"), 0).otherwise(F.least("start", F.lit(spread))), F.when(F.col("right"), 0).otherwise(F.col("behind"))
     whole_sides = found.select("id", "th", (F.col("start") - ahead).alias("start"), (F.col("n_words") + ahead + behind).alias("n_words"), "keep_id")
     verbatim = whole_sides.unionByName(extended(rows, found, window, spread))
@@ -252,8 +251,11 @@ def pieces(
 
 
 def with_owner(wins: DataFrame, shared: DataFrame) -> DataFrame:
-    """The windows that are among the ``shared`` ones, with these' other columns; those of a common passage are spread."""
-    return spread_join(sift(wins, bitmap(shared, "k", "c"), "k", "c"), shared, ["k", "c"], F.xxhash64("id", "start"))
+    """The windows that are among the ``shared`` ones, with these' other columns.
+
+    Those of a common passage may be very many: both sides are plain shuffles, so adaptive execution splits them.
+    """
+    return sift(wins, bitmap(shared, "k", "c"), "k", "c").join(shared, ["k", "c"])
 
 
 def spans(found: DataFrame) -> DataFrame:
