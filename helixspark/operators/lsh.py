@@ -6,6 +6,10 @@ congruential sequence, so signatures are the same in any engine with 64-bit inte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +31,26 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 
 
 def signatures(prof: DataFrame, n_perm: int = 128) -> DataFrame:
-    """``sample, signature array<long>``: one aggregate with map-side partial minima."""
+    """``sample, signature array<long>``: minima of whole batches in numpy, of which a task sends one row a sample and hash."""
     number = F.col("kmer") if dict(prof.dtypes)["kmer"] == "bigint" else F.xxhash64("kmer")
-    x = F.pmod(number, F.lit(P))
-    mins = [F.min(F.pmod(x * F.lit(a).cast("long") + F.lit(b), F.lit(P))).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(n_perm))]
-    grouped = prof.groupBy("sample").agg(*mins)
-    return grouped.select("sample", F.array(*[f"h{i}" for i in range(n_perm)]).alias("signature"))
+    a, b = (np.array(c, dtype=np.uint64) for c in zip(*coefficients(n_perm), strict=True))
+    p = np.uint64(P)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = batch.column("sample").dictionary_encode()
+            owner = samples.indices.to_numpy()
+            order = np.argsort(owner, kind="stable")
+            x = batch.column("x").to_numpy().astype(np.uint64)[order]
+            start = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if len(x) else np.empty(0, dtype=np.int64)
+            lows = [np.minimum.reduceat((x * a[i] + b[i]) % p, start).astype(np.int64) if len(x) else np.empty(0, dtype=np.int64) for i in range(n_perm)]
+            names = samples.dictionary.take(pa.array(np.tile(owner[order][start], n_perm)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.repeat(np.arange(n_perm, dtype=np.int32), len(start))), pa.array(np.concatenate(lows))], ["sample", "i", "h"])
+
+    rows = prof.where("sample is not null and kmer is not null").select("sample", F.pmod(number, F.lit(P)).alias("x"))
+    lows = rows.mapInArrow(run, "sample string, i int, h long").groupBy("sample", "i").agg(F.min("h").alias("h"))
+    grouped = lows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
+    return grouped.select("sample", F.col("x.h").alias("signature"))
 
 
 def band_layout(threshold: float, n_perm: int) -> tuple[int, int]:
@@ -49,7 +67,8 @@ def band_layout(threshold: float, n_perm: int) -> tuple[int, int]:
 
 def candidates(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """Distinct ``sample_a, sample_b`` (a < b) that agree in all rows of a band."""
-    cells = F.array(*[F.concat_ws(",", F.lit(str(i)), F.slice("signature", i * rows + 1, rows).cast("array<string>")) for i in range(bands)])
+    own = F.col("signature")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.concat_ws(",", i.cast("string"), F.slice(own, i * rows + 1, F.lit(rows)).cast("array<string>")))
     each = signed.select("sample", F.explode(cells).alias("band"))
     pairs = each.select(F.col("sample").alias("sample_a"), "band").join(each.select(F.col("sample").alias("sample_b"), "band"), "band").where("sample_a < sample_b")
     return pairs.select("sample_a", "sample_b").distinct()

@@ -5,9 +5,14 @@ Pairs are ``sample_a, sample_b, distance`` with a < b.  Metadata in long form is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.plans.scratch import keep
+
 
 def long_metadata(meta: DataFrame, variables: list[str] | None = None, id_col: str = "sample") -> DataFrame:
     """``variable, sample, value`` without nulls; unknown variables are left out."""
@@ -42,32 +47,28 @@ def significance_code(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p < 0.1, ".").otherwise("")
 
 
-def _labelled(pairs: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of which both samples have a value, with both values: ``keys, distance, ga, gb``."""
-    a = groups.select(*keys, F.col("sample").alias("sample_a"), F.col("value").alias("ga"))
-    b = groups.select(*keys, F.col("sample").alias("sample_b"), F.col("value").alias("gb"))
-    return pairs.select("sample_a", "sample_b", "distance").join(a, "sample_a").join(b, ["sample_b", *keys])
-
-
 def permanova(pairs: DataFrame, groups: DataFrame, n_permutations: int = 999, variant: str = "standard", seed: int = 0) -> DataFrame:
     """PERMANOVA of each variable: ``variable, f_statistic, p_value, r_squared, n_samples, n_groups``.
 
     ``standard``: within and total sums of squared distances over unordered pairs, each divided by its number of samples;
     ``p = (1 + #{F* >= F}) / (1 + permutations)``.  ``simple``: sums of squared deviations of the squared distances from
     their mean over whole square blocks, diagonal included, and ``p = mean(F* >= F)``.  Statistics are null where a
-    degree of freedom or a divisor is 0; ``simple`` needs 3 samples.  Permutations are rows: one shuffle deals all of
-    them out, labels are permuted by md5 order, and one aggregate gives all statistics.  Statistics that differ by rounding
+    degree of freedom or a divisor is 0; ``simple`` needs 3 samples.  Labels are permuted by md5 order, and one pass over
+    the pairs gives all statistics.  Statistics that differ by rounding
     only (1e-9) count as equal, so p does not depend on the order of summation.
     """
     groups = groups.join(groups.groupBy("variable").agg(F.countDistinct("value").alias("__n")).where("__n >= 2").select("variable"), "variable", "left_semi")
-    observed = permuted_statistics(pairs, groups.withColumn("perm", F.lit(0)), variant).drop("perm")
     if n_permutations < 1:
+        observed = permuted_statistics(pairs, groups.withColumn("perm", F.lit(0)), variant).drop("perm")
         return observed.withColumn("p_value", F.lit(None).cast("double"))
     order = F.md5(F.concat_ws("#", F.col("perm").cast("string"), "sample", F.lit(str(seed))).cast("binary"))
     each = groups.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
     place = each.withColumn("k", F.row_number().over(Window.partitionBy("variable", "perm").orderBy(order, "sample"))).select("variable", "perm", "sample", "k")
     given = groups.withColumn("k", F.row_number().over(Window.partitionBy("variable").orderBy("sample"))).select("variable", "k", "value")
-    shuffled = permuted_statistics(pairs, place.join(given, ["variable", "k"]).drop("k"), variant).select("variable", F.col("f_statistic").alias("f_star"))
+    labels = place.join(given, ["variable", "k"]).select("variable", "perm", "sample", "value").unionByName(groups.select("variable", F.lit(0).alias("perm"), "sample", "value"))
+    statistics = keep(permuted_statistics(pairs, labels, variant), "permanova")
+    observed = statistics.where("perm = 0").drop("perm")
+    shuffled = statistics.where("perm > 0").select("variable", F.col("f_statistic").alias("f_star"))
     counted = shuffled.join(observed.select("variable", "f_statistic"), "variable").groupBy("variable").agg(F.sum((F.col("f_star") >= F.col("f_statistic") * (1 - 1e-9)).cast("long")).alias("hits"))
     hits = F.coalesce("hits", F.lit(0))
     p = (hits + 1) / (F.lit(n_permutations) + 1) if variant == "standard" else hits / F.lit(n_permutations)
@@ -75,15 +76,69 @@ def permanova(pairs: DataFrame, groups: DataFrame, n_permutations: int = 999, va
     return done.select("variable", "f_statistic", F.when(F.col("f_statistic").isNotNull(), p).alias("p_value"), "r_squared", "n_samples", "n_groups")
 
 
+BLOCK_SAMPLES = 256
+
+
+def label_codes(labels: DataFrame) -> DataFrame:
+    """``variable, sample, codes``: a sample's labels in all permutations ``variable, perm, sample, value``, in their order, as small integers."""
+    named = labels.select("variable", "value").distinct()
+    coded = named.withColumn("code", F.dense_rank().over(Window.partitionBy("variable").orderBy("value")) - 1)
+    each = labels.join(coded, ["variable", "value"])
+    return each.groupBy("variable", "sample").agg(F.array_sort(F.collect_list(F.struct("perm", "code"))).alias("x")).select("variable", "sample", F.col("x.perm").alias("perms"), F.col("x.code").alias("codes"))
+
+
+def inner_sums(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """``variable, perm, code, g1, g2``: sums of squared distances and of their squares over the pairs inside each group, and over all pairs with a null ``code``.
+
+    Samples are dealt into blocks.  Two blocks' pairs meet their samples' labels once, and all permutations are summed
+    there: a pair is one row, however many permutations there are.
+    """
+    blocks = max(1, -(-codes.select("sample").distinct().count() // BLOCK_SAMPLES))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(13), c), F.lit(blocks)).cast("int")
+    x, y = block("sample_a"), block("sample_b")
+    meeting = pairs.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high"), "sample_a", "sample_b", F.col("distance").cast("double").alias("distance"))
+    other = codes.withColumn("own", block("sample")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    given = other.select(F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "variable", "sample", "perms", "codes")
+    columns = ["variable", "perm", "code", "g1", "g2"]
+
+    def run(of_pairs: pa.Table, of_codes: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        d2 = of_pairs.column("distance").to_numpy() ** 2
+        a, b = (of_pairs.column(c).to_pylist() for c in ("sample_a", "sample_b"))
+        for variable in of_codes.column("variable").unique().to_pylist():
+            own = of_codes.filter(pc.equal(of_codes.column("variable"), variable))
+            at = {s: i for i, s in enumerate(own.column("sample").to_pylist())}
+            both = np.array([i for i, (s, t) in enumerate(zip(a, b, strict=True)) if s in at and t in at], dtype=np.int64)
+            if not len(both):
+                continue
+            ia, ib = (np.array([at[side[i]] for i in both], dtype=np.int64) for side in (a, b))
+            perms = own.column("perms")[0].as_py()
+            table = np.array(own.column("codes").to_pylist(), dtype=np.int32)
+            near, n = d2[both], int(table.max()) + 1
+            for p, perm in enumerate(perms):
+                same = table[ia, p] == table[ib, p]
+                group, value = table[ia[same], p], near[same]
+                g1, g2 = (np.bincount(group, weights=w, minlength=n) for w in (value, value * value))
+                rows = [*range(n), None], [*g1.tolist(), float(near.sum())], [*g2.tolist(), float((near * near).sum())]
+                for column, values in zip(out, ([variable] * (n + 1), [perm] * (n + 1), *rows), strict=True):
+                    column.extend(values)
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], columns)
+
+    found = meeting.groupBy("low", "high").cogroup(given.groupBy("low", "high")).applyInArrow(run, "variable string, perm int, code int, g1 double, g2 double")
+    return found.groupBy("variable", "perm", "code").agg(F.sum("g1").alias("g1"), F.sum("g2").alias("g2"))
+
+
 def permuted_statistics(pairs: DataFrame, labels: DataFrame, variant: str = "standard") -> DataFrame:
-    """F and R squared for each ``variable, perm`` of ``variable, perm, sample, value``."""
+    """F and R squared for each ``variable, perm`` of ``variable, perm, sample, value``; permutations of a variable have the same samples and values."""
     keys = ["variable", "perm"]
-    sizes = labels.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    codes = keep(label_codes(labels), "labels")
+    sums = keep(inner_sums(pairs, codes), "inner-sums")
+    each = codes.select("variable", F.explode(F.arrays_zip("perms", "codes")).alias("x")).select("variable", F.col("x.perms").alias("perm"), F.col("x.codes").alias("code"))
+    sizes = each.groupBy(*keys, "code").agg(F.count("*").alias("n"))
     whole = sizes.groupBy(*keys).agg(F.sum("n").alias("n_samples"), F.count("*").alias("n_groups"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("inner_df"))
-    both = _labelled(pairs, labels, keys).withColumn("d2", F.col("distance") * F.col("distance"))
-    total = both.groupBy(*keys).agg(F.sum("d2").alias("s1"), F.sum(F.col("d2") * F.col("d2")).alias("s2"))
-    inner = both.where("ga = gb").groupBy(*keys, F.col("ga").alias("value")).agg(F.sum("d2").alias("g1"), F.sum(F.col("d2") * F.col("d2")).alias("g2"))
-    cells = sizes.join(inner, [*keys, "value"], "left").na.fill(0.0, ["g1", "g2"])
+    total = sums.where("code is null").select(*keys, F.col("g1").alias("s1"), F.col("g2").alias("s2"))
+    inner = sums.where("code is not null")
+    cells = sizes.join(inner, [*keys, "code"], "left").na.fill(0.0, ["g1", "g2"])
     if variant == "standard":
         within = cells.groupBy(*keys).agg(F.sum(F.col("g1") / F.col("n")).alias("ss_within"))
         ss_total = F.col("s1") / F.col("n_samples")

@@ -41,17 +41,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are deleted with its end, for the written table replaces them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helixspark-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder in the shared one, for files that are no Parquet; it is deleted like the tables."""
+    path = f"{shared_dir(spark)}/helixspark-{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     if (run := _RUN.get()) is not None:
         run.written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop(df: DataFrame) -> None:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from helixspark.functions import kmers, scalars
 from helixspark.operators import clusters, graph, lsh, ordination, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
-from helixspark.plans.scratch import keep
-from helixspark.sources import fastq, metadata, results
+from helixspark.plans.scratch import keep, new_folder
+from helixspark.sources import fastq, fastq_scan, metadata, results
 
 K = 11
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +557,17 @@ def bad_records(spark, sf_dir):
     return fastq.bad_records(faulty_reads(spark, sf_dir)).select("read_no", "reason")
 
 
+@query(FAULTY + " SELECT read_no, seq, qual FROM fr WHERE header LIKE '@%' AND plus LIKE '+%' AND len(seq) = len(qual)")
+def fastq_scan_reads(spark, sf_dir):
+    """The records written as FASTQ files and scanned in ranges of 64 KiB."""
+    folder = new_folder(spark, "fastq")
+    record = F.concat_ws("\n", "header", "seq", "plus", "qual")
+    faulty_reads(spark, sf_dir).where("seq is not null").select(record.alias("value")).write.text(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path")
+    scanned = fastq_scan.scan(files, split_bytes=1 << 16).records
+    return fastq.valid_records(scanned).select(F.expr("cast(substr(header, 2) as long)").alias("read_no"), "seq", "qual")
+
+
 @query(
     FAULTY + """, v AS (SELECT sample, read_no, regexp_replace(seq, 'G{10,}$', '') AS seq, qual FROM fr WHERE header LIKE '@%' AND plus LIKE '+%' AND len(seq) = len(qual)), t AS (SELECT sample, read_no, seq, substr(qual, 1, len(seq)) AS qual FROM v),
 c AS (SELECT * FROM t WHERE len(seq) >= 50 AND len(replace(qual, 'I', '')) * 100 <= len(qual) * 30 AND len(seq) - len(replace(seq, 'N', '')) <= 5)
