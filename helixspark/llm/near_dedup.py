@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from helixspark.operators.graph import connected_components
 from .grouped import edge_batches, forest, in_blocks, runs, sorted_groups
-from helixspark.plans.scratch import keep
+from helixspark.plans.scratch import Run, keep
 from .shingling import U, mix, text_sets
 from .sieve import bitmap, part, sift
 from .tables import slim, unused
@@ -342,20 +342,22 @@ def near_groups(docs: DataFrame, params: MinHash = MinHash(), id_col: str = "doc
 
 def groups_of(sig: DataFrame, sets_of: Callable[[DataFrame], DataFrame], params: MinHash) -> DataFrame:
     """:func:`near_groups` from a table of signatures; ``sets_of`` gives the full sets of (at least) a table of ids."""
-    usable = sig.where("n_shingles > 0 and id is not null")
-    classes = keep(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
-    # classes of one need no join to find their first
-    found = bitmap(classes.where("m > 1"), "k1", "k2")
-    # a set with fewer shingles is far from any other: even one more makes the union too large
-    able = usable.where(F.col("n_shingles") * (100 - params.percent) >= params.percent)
-    maybe, single = part(able.select("id", "k1", "k2", "bands", "planes"), found, "k1", "k2")
-    firsts = sift(classes, found, "k1", "k2").select(F.col("rep").alias("id"), "k1", "k2")
-    of_several = sift(maybe, bitmap(firsts, "id", "k1", "k2"), "id", "k1", "k2").join(firsts, ["id", "k1", "k2"])
-    reps = single.unionByName(of_several).select("id", "bands", "planes")
-    edges = keep(candidate_forest(reps, params), "candidates")
-    parts = keep(linked_parts(edges, sets_of, params), "linked")
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("m > 1 or component is not null")
-    named = keep(named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")), "named")
+    with Run() as tables:
+        usable = sig.where("n_shingles > 0 and id is not null")
+        classes = keep(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
+        # classes of one need no join to find their first
+        found = bitmap(classes.where("m > 1"), "k1", "k2")
+        # a set with fewer shingles is far from any other: even one more makes the union too large
+        able = usable.where(F.col("n_shingles") * (100 - params.percent) >= params.percent)
+        maybe, single = part(able.select("id", "k1", "k2", "bands", "planes"), found, "k1", "k2")
+        firsts = sift(classes, found, "k1", "k2").select(F.col("rep").alias("id"), "k1", "k2")
+        of_several = sift(maybe, bitmap(firsts, "id", "k1", "k2"), "id", "k1", "k2").join(firsts, ["id", "k1", "k2"])
+        reps = single.unionByName(of_several).select("id", "bands", "planes")
+        edges = keep(candidate_forest(reps, params), "candidates")
+        parts = keep(linked_parts(edges, sets_of, params), "linked")
+        named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("m > 1 or component is not null")
+        named = keep(named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")), "named")
+        tables.release(named)
     key = ["k1", "k2", "n_shingles"]
     maybe, alone = part(sig.select("id", *key), bitmap(named, *key), *key)
     joined = maybe.join(named, key, "left")
@@ -370,7 +372,9 @@ def drop_near_copies(docs: DataFrame, params: MinHash = MinHash(), id_col: str =
     Only rows that may have to go are moved, for a left anti join with the ids that go.
     """
     key, own = unused(docs, "key", "own")
-    gone = keep(near_groups(docs, params, id_col, text_col).where("not kept").select(F.col("id").alias(key)).distinct(), "gone")
+    with Run() as tables:
+        gone = keep(near_groups(docs, params, id_col, text_col).where("not kept").select(F.col("id").alias(key)).distinct(), "gone")
+        tables.release(gone)
     maybe, stay = part(docs.withColumn(key, F.col(f"`{id_col}`").cast("long")), bitmap(gone, key), key)
     left = maybe.withColumnRenamed(key, own).join(gone, F.col(own) == F.col(key), "left_anti").withColumnRenamed(own, key)
     return stay.unionByName(left).select(*[f"`{c}`" for c in docs.columns])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.plans.scratch import keep
+from helixspark.plans.scratch import Run, keep
 from .near_dedup import MinHash, full_sets, groups_of, signatures
 from .shingling import _PLACE, U, _powers, mix, text_chunks, word_starts, words
 from .sieve import bitmap, part, sift
@@ -215,18 +215,20 @@ def lines(batch: pa.RecordBatch, min_words: int) -> Iterator[pa.RecordBatch]:
 
 def near_paragraphs(rows: DataFrame, min_words: int, params: MinHash) -> DataFrame:
     """``id, th, start, n_words, keep_id`` of the paragraphs that are near copies of one in another document."""
-    cut = partial(lines, min_words=min_words)
-    sig = keep(signatures(rows, params, cut, "id long, doc long, th long, start int, n_words int"), "paragraphs")
-    where = sig.select(F.col("id").alias("pid"), "doc", "th", "start", "n_words")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        texts_of = sift(where.select(F.col("pid").alias("id"), F.col("doc"), "th"), bitmap(nodes, "id"), "id").select(F.col("doc").alias("id"), "th").distinct()
-        return full_sets(sift(rows, bitmap(texts_of, "id", "th"), "id", "th"), params, cut)
-
-    grouped = groups_of(sig.drop("doc", "th", "start", "n_words"), sets_of, params).select("id", "component_id")
-    counts = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    near = keep(sift(grouped, bitmap(counts, "component_id"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
-    placed = keep(sift(where, bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
+    with Run() as tables:
+        cut = partial(lines, min_words=min_words)
+        sig = keep(signatures(rows, params, cut, "id long, doc long, th long, start int, n_words int"), "paragraphs")
+        where = sig.select(F.col("id").alias("pid"), "doc", "th", "start", "n_words")
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            texts_of = sift(where.select(F.col("pid").alias("id"), F.col("doc"), "th"), bitmap(nodes, "id"), "id").select(F.col("doc").alias("id"), "th").distinct()
+            return full_sets(sift(rows, bitmap(texts_of, "id", "th"), "id", "th"), params, cut)
+
+        grouped = groups_of(sig.drop("doc", "th", "start", "n_words"), sets_of, params).select("id", "component_id")
+        counts = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+        near = keep(sift(grouped, bitmap(counts, "component_id"), "component_id").select(F.col("id").alias("pid"), "component_id"), "near")
+        placed = keep(sift(where, bitmap(near, "pid"), "pid").join(near, "pid"), "placed")
+        tables.release(placed)
     owners = placed.groupBy("component_id").agg(F.min("doc").alias("keep_id"), F.max("doc").alias("last_id")).where("keep_id <> last_id")
     whole = placed.join(owners.drop("last_id"), "component_id")
     return whole.select(F.col("doc").alias("id"), "th", "start", "n_words", "keep_id")
@@ -282,11 +284,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text_at = columns.index(text_col)
     chars_at = columns.index(chars_col) if chars_col in columns else None
     key, th, starts, counts = unused(docs, "key", "th", "starts", "counts")
-    cuts = keep(
-        spans(pieces(docs, id_col, text_col, **options)).where("removed").groupBy("id", "th")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
-        .select(F.col("id").alias(key), F.col("th").alias(th), F.col("spans.start").alias(starts), F.col("spans.n_words").alias(counts)), "cuts",
-    )
+    with Run() as tables:
+        found = spans(pieces(docs, id_col, text_col, **options)).where("removed").groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
+        cuts = keep(found.select(F.col("id").alias(key), F.col("th").alias(th), F.col("spans.start").alias(starts), F.col("spans.n_words").alias(counts)), "cuts")
+        tables.release(cuts)
     keyed = docs.withColumns({key: F.col(f"`{id_col}`").cast("long"), th: F.xxhash64(F.col(f"`{text_col}`"))})
     maybe, whole = part(keyed, bitmap(cuts, key, th), key, th)
     joined = maybe.join(cuts, [key, th], "left").select(*[f"`{c}`" for c in columns], starts, counts)
