@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         with tables:
             docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
-        tables.release(but=docs)
+        tables.release(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

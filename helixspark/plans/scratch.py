@@ -12,12 +12,14 @@ import shutil
 import tempfile
 import uuid
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _RUN: ContextVar[Run | None] = ContextVar("run", default=None)
 
 
@@ -48,7 +50,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[kept] = path
+    return kept
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -62,9 +66,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`keep` returned, once nothing reads it any more."""
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        for item in [w for w in _WRITTEN if folder.endswith(w[1].rsplit("/", 1)[1])]:
+    _delete([w for w in _WRITTEN if w[1] == _PATH_OF.get(df)])
+
+
+def _delete(items: list[tuple[SparkSession, str]]) -> None:
+    for item in items:
+        if item in _WRITTEN:
             _remove(*item)
             _WRITTEN.remove(item)
 
@@ -72,7 +79,8 @@ def drop(df: DataFrame) -> None:
 class Run:
     """The tables that :func:`keep` writes inside ``with`` blocks of this object, in the thread that entered them.
 
-    ``release`` deletes these alone, so runs side by side in one process leave each other's tables be.
+    ``release`` deletes these alone, so runs side by side in one process leave each other's tables be.  What a run inside
+    another leaves belongs to the outer one.
     """
 
     def __init__(self):
@@ -84,15 +92,14 @@ class Run:
 
     def __exit__(self, *_) -> None:
         _RUN.reset(self._before)
-
-    def release(self, but: DataFrame) -> None:
-        """Delete the run's tables, all but the table ``but`` that :func:`keep` returned."""
-        stays = {f.rsplit("/", 2)[1] for f in but.inputFiles()} or {self.written[-1][1].rsplit("/", 1)[1]}
-        for item in [w for w in self.written if w[1].rsplit("/", 1)[1] not in stays]:
-            self.written.remove(item)
-            if item in _WRITTEN:
-                _remove(*item)
-                _WRITTEN.remove(item)
+        if (outer := _RUN.get()) is not None:
+            outer.written += self.written
+
+    def release(self, *but: DataFrame) -> None:
+        """Delete the run's tables, all but the tables ``but`` that :func:`keep` returned."""
+        stays = {_PATH_OF[df] for df in but}
+        _delete([w for w in self.written if w[1] not in stays])
+        self.written = [w for w in self.written if w[1] in stays]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
