@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions import kmers, scalars
-from helixspark.operators import clusters, graph, lsh, ordination, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
+from helixspark.operators import adapters, clusters, graph, lsh, ordination, pairs, plotdata, preprocess, profiles, recommend, sketch, stats
 from helixspark.plans.scratch import keep, new_folder
 from helixspark.sources import fastq, fastq_scan, metadata, results
 
@@ -577,6 +577,35 @@ def quality_filter_dedup(spark, sf_dir):
     return preprocess.clean_reads(fastq.valid_records(faulty_reads(spark, sf_dir))).select("sample", "read_no", "seq", "qual")
 
 
+# The usual adapters of paired reads, planted behind the inserts.
+ADAPTERS = ("AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT")
+
+
+def planted_mates(spark, sf_dir):
+    """Mates of 75 letters from inserts of 20 to 89; the fifth letter of every third first mate is overwritten."""
+    r = reads(spark, sf_dir).where("length(seq) >= 100")
+    insert = F.substr(F.col("seq"), F.lit(1), (20 + F.col("read_no") % 70).cast("int"))
+    mate = lambda s, adapter: F.substring(F.concat(s, F.lit(adapter + "A" * 75)), 1, 75)
+    one, two = mate(insert, ADAPTERS[0]), mate(kmers.reverse_complement(insert), ADAPTERS[1])
+    one = F.when(F.col("read_no") % 3 == 0, F.concat(F.substring(one, 1, 4), F.lit("A"), F.substring(one, 6, 70))).otherwise(one)
+    return r.select("sample", "read_no", one.alias("seq1"), F.lit("I" * 75).alias("qual1"), two.alias("seq2"), F.lit("I" * 75).alias("qual2"))
+
+
+MATES = WITH_READS + f""", ins AS (SELECT doc_id, substr(seq, 1, 20 + doc_id % 70) AS x FROM r WHERE len(seq) >= 100),
+raw AS (SELECT doc_id, substr(x || '{ADAPTERS[0]}' || repeat('A', 75), 1, 75) AS a, substr(translate(reverse(x), 'ACGT', 'TGCA') || '{ADAPTERS[1]}' || repeat('A', 75), 1, 75) AS b FROM ins),
+mt AS (SELECT doc_id AS read_no, CASE WHEN doc_id % 3 = 0 THEN substr(a, 1, 4) || 'A' || substr(a, 6) ELSE a END AS a, b FROM raw),
+ov AS (SELECT read_no, l, sum(CASE WHEN substr(a, i, 1) <> translate(substr(b, l - i + 1, 1), 'ACGT', 'TGCA') THEN 1 ELSE 0 END) AS wrong
+       FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM (SELECT *, unnest(range(20, 76)) AS l FROM mt)) GROUP BY read_no, l),
+bo AS (SELECT read_no, l FROM (SELECT *, row_number() OVER (PARTITION BY read_no ORDER BY wrong / l, l DESC) AS k FROM ov WHERE wrong * 100 <= 10 * l) WHERE k = 1)"""
+
+
+@query(MATES + " SELECT read_no, CASE WHEN l < 75 THEN CAST(l AS INTEGER) END AS insert_length, CASE WHEN l < 75 THEN substr(a, 1, l) ELSE a END AS seq1, CASE WHEN l < 75 THEN substr(b, 1, l) ELSE b END AS seq2 FROM mt LEFT JOIN bo USING (read_no)")
+def adapter_overlaps(spark, sf_dir):
+    found = adapters.overlaps(planted_mates(spark, sf_dir))
+    cut = lambda c: F.coalesce(F.substr(F.col(c), F.lit(1), F.col("insert_length")), F.col(c)).alias(c)
+    return found.select("read_no", "insert_length", cut("seq1"), cut("seq2"))
+
+
 @query(
     WITH_READS + """, w AS (SELECT DISTINCT doc_id, least(f, translate(reverse(f), 'ACGT', 'TGCA')) AS kmer FROM (SELECT doc_id, substr(seq, i, 11) AS f FROM (SELECT doc_id, seq, unnest(range(1, len(seq) - 9)) AS i FROM r WHERE len(seq) >= 11))),
 h AS (SELECT DISTINCT kmer FROM w WHERE doc_id % 10 = 0) SELECT doc_id AS read_no, round(count(h.kmer) / count(*), 6) AS host_share FROM w LEFT JOIN h USING (kmer) GROUP BY doc_id"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixspark import cli, queries
 from helixspark.functions import scalars
-from helixspark.operators import pairs, preprocess, recommend, stats
+from helixspark.operators import adapters, pairs, preprocess, recommend, stats
 from helixspark.plans import config, phases
 from helixspark.sources import fastq, fastq_scan, metadata, results
 
@@ -413,3 +413,48 @@ def test_broken_files_are_named_and_others_read(spark, tmp_path):
     gone = spark.createDataFrame([(str(tmp_path / "none.fq"),), (str(tmp_path / "sample5.fq.gz"),), (str(tmp_path / "sample6.fq.gz"),)], "path string")
     again = fastq_scan.scan(gone)
     assert again.records.count() == 2000 and {r["error"].split(":")[0] for r in again.failures.collect()} == {"FileNotFoundError", "BadGzipFile"}
+
+
+# ---- adapters
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+
+
+def brute_insert(a, b, least=20, percent=10):
+    best = None
+    for length in range(least, min(len(a), len(b)) + 1):
+        wrong = sum(x != y for x, y in zip(a[:length], rc(b[:length]), strict=True))
+        if wrong * 100 <= percent * length:
+            best = min([(wrong / length, -length), *([best] if best else [])])
+    return None if best is None or -best[1] >= max(len(a), len(b)) else -best[1]
+
+
+def test_adapters_by_overlap(spark):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    one, two = queries.ADAPTERS
+    rows = []
+    for i in range(300):
+        insert = some(rng.randrange(15, 110))
+        a, b = (insert + one + some(90))[:80], (rc(insert) + two + some(90))[: rng.choice([80, 80, 60])]
+        a = "".join(rng.choice("ACGTN") if rng.random() < 0.02 else x for x in a)
+        rows += [("s", i, "1", a, "I" * len(a)), ("s", i, "2", b, "I" * len(b))]
+    rows += [("s", 900, "1", "ACGT", "IIII"), ("s", 901, "1", "", ""), ("s", 901, "2", "ACGT", "IIII"), ("s", 902, "1", "A" * 80, "I" * 80), ("s", 902, "2", "T" * 80, "I" * 80)]
+    reads = spark.createDataFrame(rows, "sample string, read_no long, mate string, seq string, qual string")
+    found = adapters.overlaps(adapters.mates(reads))
+    got = {r["read_no"]: r for r in found.collect()}
+    assert set(got) == {*range(300), 901, 902}
+    assert {i: r["insert_length"] for i, r in got.items()} == {i: brute_insert(r["seq1"], r["seq2"]) for i, r in got.items()}
+    assert sum(r["insert_length"] is not None for r in got.values()) > 150
+    cut = {r["read_no"]: r for r in adapters.trimmed(found).collect()}
+    assert all(len(cut[i]["seq1"]) == len(cut[i]["qual1"]) == (r["insert_length"] or len(r["seq1"])) and cut[i]["trimmed"] == (r["insert_length"] is not None) for i, r in got.items())
+    named = {r["mate"]: r["adapter"] for r in adapters.adapter_sequences(found).collect()}
+    assert named["1"].startswith(one[:25]) and named["2"].startswith(two[:25])
+    single = adapters.trim_adapter(reads.where("mate = '1'"), one)
+    for r in single.collect():
+        seq = got[r["read_no"]]["seq1"] if r["read_no"] in got else "ACGT"
+        places = [at for at in range(max(0, len(seq) - 8) + 1) if 8 <= len(seq) - at and sum(x != y for x, y in zip(seq[at:], one, strict=False)) * 100 <= 10 * min(len(one), len(seq) - at)]
+        assert r["seq"] == seq[: min(places, default=len(seq))] and len(r["qual"]) == len(r["seq"])
+    assert adapters.overlaps(adapters.mates(reads.limit(0))).count() == 0
