@@ -295,3 +295,13 @@ def test_queries_run(spark):
     assert queries.op3_exact_dedup(spark, d).count() == n
     assert queries.op6_minhash_near_dedup(spark, d).count() == n
     assert queries.op4_substring_dedup(spark, d).count() > 0
+
+
+def test_short_lines_are_passages(spark):
+    """A line of 45 words in five documents, and near copies of one of 30 words in two; shorter than five words is none."""
+    rng = random.Random(45)
+    line, near = prose(rng, 45), prose(rng, 30)
+    texts = [f"{prose(rng, 40)}\n{line}\n{prose(rng, 20)}" for _ in range(5)] + [f"{prose(rng, 25)}\n{near}", f"{edited(rng, near, 0)} end\n{prose(rng, 25)}"] + [f"{prose(rng, 30)}\nshort line" for _ in range(2)]
+    found = substring_dedup.spans(substring_dedup.pieces(table(spark, texts))).collect()
+    where = {(r["id"], r["start"], r["n_words"], r["removed"], r["keep_id"]) for r in found}
+    assert {(i, 40, 45, i > 0, 0) for i in range(5)} | {(5, 25, 30, False, 5), (6, 0, 31, True, 5)} == where

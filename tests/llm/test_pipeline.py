@@ -103,3 +103,31 @@ def test_run_on_empty_tables(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null, empty and very long texts, ties, and extra columns with names that stages use inside."""
+    rng = random.Random(30)
+    one, two, line = prose(rng, 80), prose(rng, 90), prose(rng, 45)
+    texts = [
+        (1, one), (1, one), (None, one), (2, edited(rng, one, 1)), (3, None), (4, ""), (4, "  "), (None, None), (5, two), (6, f"{two}x\n{line}"), (7, f"{prose(rng, 60)}\n{line}"), (8, "w " * 60_000), (9, "short"), (9, "other text"),
+    ]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, th long, kept boolean, component_id long, span string"
+    docs = spark.createDataFrame([(i, t, "en", "odd", None if t is None else len(t), n, "k", 7, None, n % 3, "x") for n, (i, t) in enumerate(texts)], columns)
+    named = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name in ("quality", "exact_dedup", "near_dedup", "substring_dedup"):
+        made = named[name](spark, docs, D)
+        assert made.columns == docs.columns and named[name](spark, docs.limit(0), D).count() == 0
+        got[name] = {r["id"]: r for r in made.collect()}
+        assert all(r["key"] == "k" and r["component_id"] == n % 3 and r["doc_id"] == texts[n][0] for n, r in got[name].items())
+    assert {texts[n][1] or "" for n in got["exact_dedup"]} == {t or "" for _, t in texts} and len(got["exact_dedup"]) == len({t or "" for _, t in texts})
+    near = {n: shingle_set(t) for n, (_, t) in enumerate(texts)}
+    assert {2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13} <= set(got["near_dedup"]) and 3 not in got["near_dedup"] and {0, 1} <= set(got["near_dedup"])
+    assert len(near[0] & near[3]) * 100 >= 75 * len(near[0] | near[3])
+    cut = got["substring_dedup"]
+    assert line in cut[9]["text"] and line not in cut[10]["text"] and cut[10]["n_chars"] == len(cut[10]["text"])
+    assert all(cut[n]["text"] == texts[n][1] for n in (0, 1, 2, 4, 5, 6, 7, 8, 11, 12, 13))
+    packed = named["packing"](spark, docs, D).collect()
+    assert sum(r["n_tokens"] for r in packed) == sum(len(words(t)) for _, t in texts) and len([r for r in packed if r["bucket"] is None]) == 4
+    assert named["packing"](spark, docs.limit(0), D).count() == 0
