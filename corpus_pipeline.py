@@ -16,28 +16,47 @@ MIN_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like others (by their one empty passage); rows with a null id, repeated rows and extra
+    columns stay as they are.  Without labels every document has the score 0.5 and stays.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model, MIN_QUALITY)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts the row with the smallest id stays.
+
+    A null text counts as empty; of equal texts with null ids only, one row stays; of rows that repeat an id and a text one
+    stays.
+    """
     return exact_dedup.drop_exact_copies(docs, keep="min")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Null and blank texts are near nothing and stay, as do rows with a null id; rows that repeat an id stay or go together.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur in several documents stay in the one with the smallest id."""
+    """Passages that occur in several documents stay in the one with the smallest id.
+
+    Null and blank texts and rows with a null id stay as they are; rows that repeat an id are one document; a text of which
+    nothing is left goes; ``n_chars`` follows a text that is cut.
+    """
     return substring_dedup.drop_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of pieces by length buckets: one row per piece."""
+    """Batches of pieces by length buckets: one row per piece.
+
+    A null, blank or empty text is one piece of no tokens, in no bucket; rows with a null or a repeated id are packed like
+    others; other columns are left out.
+    """
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
