@@ -82,6 +82,41 @@ def _letters() -> np.ndarray:
 
 
 _CODE = _letters()
+BLOCK_LETTERS = 1 << 20
+
+
+def _spoilt(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each letter is in a segment with a strange letter; segments start with each read and behind each N."""
+    n = len(code)
+    edge = code == 4
+    edge[1:] |= edge[:-1]
+    edge[offsets[:-1][offsets[:-1] < n]] = True
+    edge[0] = True
+    starts = np.flatnonzero(edge)
+    return np.repeat(np.maximum.reduceat(code == 5, starts), np.diff(np.append(starts, n)))
+
+
+def window_blocks(data: np.ndarray, offsets: np.ndarray, k: int, letters: int = BLOCK_LETTERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What :func:`packed_windows` gives, in blocks of at most ``letters`` letters: numbers take some hundred bytes a letter.
+
+    A block is of whole reads, or a part of one longer read.  Parts overlap by k - 1 letters, and spoilt segments are
+    made N before they are cut, so each window is in one block.
+    """
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        start = offsets[first]
+        last = max(first + 1, int(np.searchsorted(offsets, start + letters, "right")) - 1)
+        part = data[start : offsets[last]]
+        if len(part) <= letters:
+            kmer, read = packed_windows(part, offsets[first : last + 1] - start, k)
+            yield kmer, read + first
+        else:
+            part = np.where(_spoilt(_CODE[part], np.array([0, len(part)])), np.uint8(ord("N")), part)
+            for at in range(0, len(part) - k + 1, letters):
+                piece = part[at : at + letters + k - 1]
+                kmer, read = packed_windows(piece, np.array([0, len(piece)]), k)
+                yield kmer, read + first
+        first = last
 
 
 def packed_windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,14 +126,7 @@ def packed_windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     code = _CODE[data]
     read = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    # segments start with each read and behind each N; one strange letter spoils all of a segment
-    edge = code == 4
-    edge[1:] |= edge[:-1]
-    edge[offsets[:-1][offsets[:-1] < n]] = True
-    edge[0] = True
-    starts = np.flatnonzero(edge)
-    spoilt = np.repeat(np.maximum.reduceat(code == 5, starts), np.diff(np.append(starts, n)))
-    bad = np.concatenate([[0], np.cumsum(spoilt | (code >= 4))])
+    bad = np.concatenate([[0], np.cumsum(_spoilt(code, offsets) | (code >= 4))])
     at = np.arange(n - k + 1)
     at = at[(bad[k:] == bad[: n - k + 1]) & (at + k <= offsets[1:][read[: n - k + 1]])]
     if not len(at):
@@ -145,22 +173,32 @@ def packed_sets(reads: DataFrame, k: int, keys: list[str], seq_col: str = "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kmer, read = packed_windows(*_bytes(batch.column(len(keys))), k)
-            order = np.lexsort((kmer, read))
-            kmer, read = kmer[order], read[order]
-            new = np.r_[True, (kmer[1:] != kmer[:-1]) | (read[1:] != read[:-1])] if len(kmer) else np.empty(0, dtype=bool)
-            rows = pa.array(read[new])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(keys))], pa.array(kmer[new].view(np.int64))], [*keys, "kmer"])
+            last, seen = -1, np.empty(0, dtype=np.uint64)
+            for kmer, read in window_blocks(*_bytes(batch.column(len(keys))), k):
+                if not len(kmer):
+                    continue
+                order = np.lexsort((kmer, read))
+                kmer, read = kmer[order], read[order]
+                new = np.r_[True, (kmer[1:] != kmer[:-1]) | (read[1:] != read[:-1])]
+                kmer, read = kmer[new], read[new]
+                if read[0] == last:  # a further part of a long read
+                    fresh = ~np.isin(kmer, seen)
+                    kmer, read = kmer[fresh], read[fresh]
+                    seen = np.concatenate([seen, kmer])
+                else:
+                    last, seen = read[-1], kmer
+                rows = pa.array(read)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(keys))], pa.array(kmer.view(np.int64))], [*keys, "kmer"])
 
     kinds = dict(reads.dtypes)
     return reads.select(*keys, seq_col).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "kmer long"]))
 
 
 def packed_counts(reads: DataFrame, k: int, by: str = "sample", seq_col: str = "seq") -> DataFrame:
-    """``by, kmer (packed long), cnt``: counts of each batch of reads; groups recur and are to be summed.
+    """``by, kmer (packed long), cnt``: counts of each block of reads; groups recur and are to be summed.
 
-    Windows are taken and counted by whole batches in numpy, so that what leaves the task is one row per distinct
-    (group, k-mer) of a batch.
+    Windows are taken and counted by blocks in numpy, so that what leaves the task is one row per distinct (group, k-mer)
+    of a block, and a task's memory does not grow with the batch.
     """
     check_k(k, packed=True)
 
@@ -168,21 +206,21 @@ def packed_counts(reads: DataFrame, k: int, by: str = "sample", seq_col: str = "
         for batch in batches:
             groups = batch.column(0).dictionary_encode()
             owner = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            kmer, read = packed_windows(*_bytes(batch.column(1)), k)
-            if not len(kmer):
-                continue
-            group = owner[read]
-            if 2 * k + int(len(groups.dictionary) + 1).bit_length() <= 63:
-                key, cnt = np.unique(((group + 1).astype(np.uint64) << np.uint64(2 * k)) | kmer, return_counts=True)
-                group, kmer = (key >> np.uint64(2 * k)).astype(np.int64) - 1, key & np.uint64((1 << 2 * k) - 1)
-            else:
-                order = np.lexsort((kmer, group))
-                group, kmer = group[order], kmer[order]
-                new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (kmer[1:] != kmer[:-1])])
-                cnt = np.diff(np.append(new, len(kmer)))
-                group, kmer = group[new], kmer[new]
-            names = groups.dictionary.take(pa.array(np.where(group < 0, 0, group), mask=group < 0))
-            yield pa.RecordBatch.from_arrays([names, pa.array(kmer.view(np.int64)), pa.array(cnt.astype(np.int64))], [by, "kmer", "cnt"])
+            for kmer, read in window_blocks(*_bytes(batch.column(1)), k):
+                if not len(kmer):
+                    continue
+                group = owner[read]
+                if 2 * k + int(len(groups.dictionary) + 1).bit_length() <= 63:
+                    key, cnt = np.unique(((group + 1).astype(np.uint64) << np.uint64(2 * k)) | kmer, return_counts=True)
+                    group, kmer = (key >> np.uint64(2 * k)).astype(np.int64) - 1, key & np.uint64((1 << 2 * k) - 1)
+                else:
+                    order = np.lexsort((kmer, group))
+                    group, kmer = group[order], kmer[order]
+                    new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (kmer[1:] != kmer[:-1])])
+                    cnt = np.diff(np.append(new, len(kmer)))
+                    group, kmer = group[new], kmer[new]
+                names = groups.dictionary.take(pa.array(np.where(group < 0, 0, group), mask=group < 0))
+                yield pa.RecordBatch.from_arrays([names, pa.array(kmer.view(np.int64)), pa.array(cnt.astype(np.int64))], [by, "kmer", "cnt"])
 
     kind = dict(reads.dtypes)[by]
     return reads.select(by, seq_col).mapInArrow(run, f"`{by}` {kind}, kmer long, cnt long")

@@ -152,3 +152,27 @@ def test_streaming_counts(spark, tmp_path):
         q.stop()
     batch = spark.createDataFrame(rows, "sample string, seq string")
     assert got == counted(profiles.kmer_counts(batch, 3))
+
+
+def test_blocks_of_letters_give_the_windows_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGTacgtACGTACGTN" + ("R" if i % 3 == 0 else "")) for _ in range(n)) for i, n in enumerate((0, 5, 40, 700, 0, 3, 90, 501, 0))] + ["ACGT" * 60]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    for k in (1, 5, 11):
+        kmer, read = kmers.packed_windows(data, offsets, k)
+        whole = sorted(zip(read.tolist(), kmer.tolist(), strict=True))
+        for letters in (1, 16, 64, 10_000):
+            blocks = list(kmers.window_blocks(data, offsets, k, letters))
+            assert sorted(x for kmer, read in blocks for x in zip(read.tolist(), kmer.tolist(), strict=True)) == whole
+            assert max(len(kmer) for kmer, _ in blocks) <= letters or letters >= len(data)
+
+
+def test_sets_of_reads_longer_than_a_block(spark):
+    rng = random.Random(9)
+    read = "".join(rng.choice("ACGT") for _ in range(kmers.BLOCK_LETTERS + 5000))
+    df = reads(spark, [("a", read + read[:9000]), ("b", "ACGTACGT")]).coalesce(1)
+    got = kmers.packed_sets(df, 13, ["sample"])
+    assert got.count() == got.distinct().count() > 1_000_000
+    one = kmers.packed_counts(df, 13).groupBy("sample").agg(F.sum("cnt").alias("n"))
+    assert {r["sample"]: r["n"] for r in one.collect()} == {"a": len(read) + 9000 - 12}
