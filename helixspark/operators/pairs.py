@@ -1,16 +1,20 @@
-"""All-pairs sample metrics from one join and one aggregate over shared k-mers.
+"""All-pairs sample metrics from one pass over the profile by k-mer.
 
-For samples a and b only the k-mers that both have are joined; everything else follows from per-sample sums.  Sums are of
+For samples a and b only the k-mers that both have are paired; everything else follows from per-sample sums.  Sums are of
 integers (counts scaled by the other sample's total), so results do not depend on the order of summation; ``exact=False``
 uses doubles where ``cnt * total`` could pass 64 bits (with ANSI arithmetic Spark fails rather than overflow).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.plans.scratch import keep
+from helixspark.plans.scratch import keep, once
 
 METRICS = ("jaccard", "weighted_jaccard", "cosine", "braycurtis", "euclidean", "manhattan", "hamming")
 SIMILARITIES = ("jaccard", "weighted_jaccard", "cosine")
@@ -35,18 +39,111 @@ def completed(found: DataFrame, prof: DataFrame, similarity: float = 0.0) -> Dat
     return every_pair(sample_list(prof)).join(known, ["sample_a", "sample_b"], "left").select("sample_a", "sample_b", (1 - s).alias("distance"), s.alias("similarity"))
 
 
-def pair_sums(prof: DataFrame, exact: bool = True) -> DataFrame:
+PARTS = ("inter", "m", "p", "e")
+NEEDED = {"jaccard": ("inter",), "cosine": ("p",), "euclidean": ("p",), "hamming": ("inter", "e")}
+ROWS, DENSE, SAFE = 100_000, 1 << 16, 2.0**63 * (1 - 1e-9)
+
+
+def pair_sums(prof: DataFrame, exact: bool = True, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """Sums over shared k-mers: ``inter``, ``m`` (sum of minima), ``p`` (of products), ``e`` (equal frequencies).
 
-    ``m`` and ``e`` are over counts scaled to the common denominator ``total_a * total_b``.
+    ``m`` and ``e`` are over counts scaled to the common denominator ``total_a * total_b``.  A profile has one row for a
+    sample and k-mer.  Rows are dealt and sorted by k-mer once; a task pairs and sums the rows of each k-mer in numpy, a
+    batch at a time, so pairs of rows are never rows of a table.  Only ``parts`` are summed.
     """
     kind = "long" if exact else "double"
-    side = lambda s: prof.select(F.col("sample").alias(f"sample_{s}"), "kmer", F.col("cnt").cast(kind).alias(f"c{s}"), F.col("total").cast(kind).alias(f"t{s}"))
-    joined = side("a").join(side("b"), "kmer").where("sample_a < sample_b")
-    x, y = F.col("ca") * F.col("tb"), F.col("cb") * F.col("ta")
-    return joined.groupBy("sample_a", "sample_b").agg(
-        F.count("*").alias("inter"), F.sum(F.least(x, y)).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("p"), F.sum((x == y).cast("long")).alias("e")
-    )
+    rows = prof.where("sample is not null and kmer is not null").select("sample", "kmer", F.col("cnt").cast(kind).alias("cnt"), F.col("total").cast(kind).alias("total"))
+    kinds = dict(rows.dtypes)
+    number = {"inter": "long", "e": "long"} | dict.fromkeys(("m", "p"), kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                rows = pa.Table.from_batches(held)
+                keys = rows.column("kmer")
+                # the last k-mer may go on in the next batch
+                low, high = 0, rows.num_rows - 1
+                while low < high:
+                    middle = (low + high) // 2
+                    low, high = (low, middle) if keys[middle] == keys[-1] else (middle + 1, high)
+                if low:
+                    yield from summed(rows.slice(0, low), exact, parts)
+                held = rows.slice(low).combine_chunks().to_batches()
+        if held:
+            yield from summed(pa.Table.from_batches(held), exact, parts)
+
+    found = rows.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(run, f"sample_a {kinds['sample']}, sample_b {kinds['sample']}, " + ", ".join(f"{c} {number[c]}" for c in parts))
+    return found.groupBy("sample_a", "sample_b").agg(*[F.sum(c).alias(c) for c in parts])
+
+
+def summed(rows: pa.Table, exact: bool, parts: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The sums of :func:`pair_sums` over rows that are sorted by k-mer: each row is paired with the next of its k-mer, the next but one, and so on.
+
+    Pairs of few samples are summed in one array; it is sent and cleared before a sum could pass 64 bits.
+    """
+    words = rows.column("sample").combine_chunks().dictionary_encode()
+    order = np.array(sorted(range(len(words.dictionary)), key=lambda i: words.dictionary[i].as_py()), dtype=np.int64)
+    n, rank = len(order), np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(n)
+    sample, names = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order))
+    kmer = rows.column("kmer").combine_chunks().dictionary_encode().indices.to_numpy()
+    cnt, total = (rows.column(c).to_numpy() for c in ("cnt", "total"))
+    dense = n * n <= DENSE
+    kinds = {c: np.int64 if exact or c in ("inter", "e") else np.float64 for c in {*parts, "inter"}}
+    sums, whole = {c: np.zeros(n * n, dtype=kind) for c, kind in kinds.items()} if dense else {}, dict.fromkeys(kinds, 0.0)
+
+    def made(codes: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+        a, b = (names.take(pa.array(x)) for x in (codes // n, codes % n))
+        return pa.RecordBatch.from_arrays([a, b, *[pa.array(values[c]) for c in parts]], ["sample_a", "sample_b", *parts])
+
+    def sent() -> pa.RecordBatch:
+        codes = np.flatnonzero(sums["inter"])
+        out = made(codes, {c: sums[c][codes] for c in parts})
+        for c in sums:
+            sums[c][:], whole[c] = 0, 0.0
+        return out
+
+    at, lag = np.arange(len(kmer)), 1
+    while True:
+        at = at[: np.searchsorted(at, len(kmer) - lag)]
+        at = at[kmer[at + lag] == kmer[at]]
+        if not len(at):
+            break
+        i, j = at, at + lag
+        lag += 1
+        code = np.minimum(sample[i], sample[j]) * n + np.maximum(sample[i], sample[j])
+        values = {"inter": np.ones(len(i), dtype=np.int64)}
+        if "m" in parts or "e" in parts:
+            x, y = _product(cnt[i], total[j]), _product(cnt[j], total[i])
+            values |= {"m": np.minimum(x, y), "e": (x == y).astype(np.int64)}
+        if "p" in parts:
+            values["p"] = _product(cnt[i], cnt[j])
+        added = {c: values[c].sum(dtype=np.float64) for c in kinds}
+        if exact and max(added.values()) >= SAFE:
+            codes, own = np.unique(code, return_inverse=True)
+            if max(np.bincount(own, weights=values[c]).max() for c in kinds) >= SAFE:
+                raise ArithmeticError("sums of counts times totals pass 64 bits; use exact=False")
+        if not dense:
+            by = np.argsort(code, kind="stable")
+            new = np.flatnonzero(np.r_[True, np.diff(code[by]) != 0])
+            yield made(code[by][new], {c: np.add.reduceat(values[c][by], new) for c in parts})
+            continue
+        if exact and max(whole[c] + added[c] for c in kinds) >= SAFE:
+            yield sent()
+        for c in kinds:
+            np.add.at(sums[c], code, values[c])
+            whole[c] += added[c]
+    if dense:
+        yield sent()
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The product; ``ArithmeticError`` where one of whole numbers passes 64 bits."""
+    if x.dtype == np.int64 and float(x.max()) * float(y.max()) >= SAFE and (x.astype(np.float64) * y).max() >= SAFE:
+        raise ArithmeticError("counts times totals pass 64 bits; use exact=False")
+    return x * y
 
 
 def sample_sums(prof: DataFrame, exact: bool = True) -> DataFrame:
@@ -55,11 +152,12 @@ def sample_sums(prof: DataFrame, exact: bool = True) -> DataFrame:
     return prof.groupBy("sample").agg(F.count("*").alias("n"), F.sum(c).alias("s"), F.sum(c * c).alias("q"), F.max("total").cast("long" if exact else "double").alias("t"))
 
 
-def pair_table(prof: DataFrame, exact: bool = True) -> DataFrame:
-    """One row for every two samples with all sums, zeros for samples without a shared k-mer."""
+def pair_table(prof: DataFrame, exact: bool = True, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row for every two samples with all sums, zeros for samples without a shared k-mer.  The profile is evaluated once."""
+    prof = once(prof, "profile")
     sums = sample_sums(prof, exact)
     side = lambda s: sums.select(F.col("sample").alias(f"sample_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "s", "q", "t")])
-    pairs = every_pair(sample_list(prof)).join(pair_sums(prof, exact), ["sample_a", "sample_b"], "left").na.fill(0, ["inter", "m", "p", "e"])
+    pairs = every_pair(sample_list(prof)).join(pair_sums(prof, exact, parts), ["sample_a", "sample_b"], "left").na.fill(0, list(parts))
     return pairs.join(side("a"), "sample_a").join(side("b"), "sample_b")
 
 
@@ -96,7 +194,10 @@ def pairwise(prof: DataFrame, name: str = "braycurtis", exact: bool = True) -> D
     Similarity is 1 - distance; for euclidean max(0, 1 - distance / 2).  Two samples without any shared k-mer have
     similarity 0 in all metrics that are similarities by definition.
     """
-    table = pair_table(prof, exact)
+    if name not in METRICS:
+        raise ValueError(f"unknown metric: {name}; one of {', '.join(METRICS)}")
+    prof = once(prof, "profile")
+    table = pair_table(prof, exact, NEEDED.get(name, ("m",)))
     if name == "hamming":
         table = table.join(F.broadcast(prof.agg(F.countDistinct("kmer").alias("n_vocabulary"))))
     return _as_pairs(table, name, F.col("n_vocabulary"))
@@ -129,9 +230,14 @@ def cutoffs(ranked: DataFrame, sums: DataFrame, name: str, threshold: float, lea
     )
 
 
+def before_cutoffs(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The k-mers of each sample before its cutoff."""
+    return ranked.join(cuts.select("sample", "cutoff"), "sample").where("df < cutoff")
+
+
 def prefix_join(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
     """The rows of the join on shared k-mers that can bring a similar pair together: both samples hold the k-mer before their cutoff."""
-    rows = ranked.join(cuts.select("sample", "cutoff"), "sample").where("df < cutoff")
+    rows = before_cutoffs(ranked, cuts)
     side = lambda s: rows.select(F.col("sample").alias(f"sample_{s}"), "kmer", F.col("cnt").alias(f"c{s}"), F.col("total").alias(f"t{s}"))
     return side("a").join(side("b"), "kmer").where("sample_a < sample_b")
 
@@ -143,22 +249,28 @@ def similar(prof: DataFrame, name: str = "braycurtis", threshold: float = 0.1, e
     lies before the cutoffs of both, so the join on k-mers before the cutoffs finds every similar pair; sums over those
     k-mers bound its similarity from above, and only pairs that pass are completed, by the k-mers behind the smaller of
     their cutoffs.  ``euclidean``, ``hamming`` and, where profiles are filtered, ``manhattan`` distances may be small without
-    any shared k-mer: they take all pairs.
+    any shared k-mer: they take all pairs.  So do profiles of which most pairs of rows lie before the cutoffs, or whose
+    candidates' completion would cost more than all pairs; the result is the same.
     """
+    prof = once(prof, "profile")
     sums = sample_sums(prof, exact)
     least = sums.agg(F.min(F.col("s") / F.col("t"))).first()[0] or 0.0
     if name not in PREFIX_METRICS or threshold < 0 or (name == "manhattan" and 2 * least < 1 - threshold):
         return above(pairwise(prof, name, exact), threshold)
     kind = "long" if exact else "double"
-    prof = prof.select("sample", "kmer", F.col("cnt").cast(kind), F.col("total").cast(kind))
+    whole_profile, prof = prof, prof.select("sample", "kmer", F.col("cnt").cast(kind), F.col("total").cast(kind))
     ranked = keep(prof.join(prof.groupBy("kmer").agg(F.count("*").alias("df")), "kmer").where("df > 1").select("sample", "kmer", "cnt", "total", "df"), "ranked")
     cuts = keep(cutoffs(ranked, sums, name, threshold, least), "cutoffs")
+    before = before_cutoffs(ranked, cuts)
+    everything = ranked.agg(F.sum(F.col("df") - 1)).first()[0] or 0  # twice the pairs of rows
+    if 2 * (before.groupBy("kmer").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0) > everything:
+        return above(pairwise(whole_profile, name, exact), threshold)
     x, y = F.col("ca") * F.col("tb"), F.col("cb") * F.col("ta")
     added = lambda rows: rows.groupBy("sample_a", "sample_b").agg(
         F.count("*").alias("inter"), F.sum(F.least(x, y)).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("p"), F.sum((x == y).cast("long")).alias("e")
     )
     side = lambda s: sums.join(cuts, "sample").select(F.col("sample").alias(f"sample_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "s", "q", "t", "cutoff", "rest")])
-    found = added(prefix_join(ranked, cuts)).join(side("a"), "sample_a").join(side("b"), "sample_b")
+    found = pair_sums(before, exact).join(side("a"), "sample_a").join(side("b"), "sample_b")
     # what the k-mers behind the smaller cutoff can add at most
     first = F.col("cutoff_a") <= F.col("cutoff_b")
     more, other = F.when(first, F.col("rest_a")).otherwise(F.col("rest_b")), F.when(first, F.col("t_b")).otherwise(F.col("t_a"))
@@ -168,6 +280,8 @@ def similar(prof: DataFrame, name: str = "braycurtis", threshold: float = 0.1, e
     holder, partner = F.when(first, F.col("sample_a")).otherwise(F.col("sample_b")), F.when(first, F.col("sample_b")).otherwise(F.col("sample_a"))
     asked = candidates.select("sample_a", "sample_b", holder.alias("sample"), partner.alias("partner"), first.alias("first"))
     behind = ranked.join(cuts.select("sample", "cutoff"), "sample").where("df >= cutoff").select("sample", "kmer", "cnt", "total")
+    if 8 * (asked.join(behind.groupBy("sample").agg(F.count("*").alias("n")), "sample").agg(F.sum("n")).first()[0] or 0) > everything:
+        return above(pairwise(whole_profile, name, exact), threshold)
     theirs = ranked.select(F.col("sample").alias("partner"), "kmer", F.col("cnt").alias("cnt2"), F.col("total").alias("total2"))
     both = asked.join(behind, "sample").join(theirs, ["partner", "kmer"])
     of = lambda a, b: F.when(F.col("first"), F.col(a)).otherwise(F.col(b))

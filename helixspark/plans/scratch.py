@@ -55,6 +55,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as :func:`keep` returns it; a table that it returned stays as it is."""
+    return df if df in _PATH_OF else keep(df, name)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a folder in the shared one, for files that are no Parquet; it is deleted like the tables."""
     path = f"{shared_dir(spark)}/helixspark-{name}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ def reads(spark: SparkSession, sf_dir: str, letters: str = "ACGTacgt") -> DataFr
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat_ws("_", "lang", "source").alias("sample"), F.lit("documents").alias("file"), F.col("doc_id").alias("read_no"),
-        F.upper(F.regexp_replace("text", f"[^{letters}]", "")).alias("seq"),
+        F.upper(F.regexp_replace("text", f"[^{letters}]+", "")).alias("seq"),
     )
 
 
@@ -260,7 +260,7 @@ def top_neighbors(spark, sf_dir):
 round(avg(similarity), 6) AS mean_similarity, round(stddev_pop(similarity), 6) AS std_similarity, round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity, round(quantile_cont(similarity, 0.5), 6) AS median_similarity FROM bc, n WHERE similarity > 0.1"""
 )
 def similarity_summary(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     s = pairs.similarity_summary(pairs.pairwise(p, "braycurtis"), p.select("sample").distinct().count(), 0.1)
     return s.select("n_samples", "n_significant_pairs", "total_possible_pairs", *[r6(c).alias(c) for c in s.columns[3:]])
 
@@ -280,7 +280,7 @@ def similarity_structure(spark, sf_dir):
 SELECT round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance) FILTER (distance > 0), 6) AS min_positive, round(max(distance), 6) AS max FROM f"""
 )
 def distance_overview(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     s = pairs.distance_overview(pairs.pairwise(p, "braycurtis"), p.select("sample").distinct().count())
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
@@ -298,7 +298,7 @@ def distance_histogram(spark, sf_dir):
 comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id) SELECT component, list_sort(list(id)) AS samples, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 2"""
 )
 def sample_components(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     return graph.sample_clusters(p.select("sample").distinct(), pairs.pairwise(p, "braycurtis"), 0.35)
 
 
@@ -320,19 +320,19 @@ def lsh_pairs(spark, sf_dir):
 SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(similarity, 6) AS value FROM (SELECT sample_a, sample_b, similarity FROM c UNION ALL SELECT sample_b, sample_a, similarity FROM c) JOIN n a ON a.sample = sample_a JOIN n b ON b.sample = sample_b
 UNION ALL SELECT CAST(i AS INTEGER), CAST(i AS INTEGER), 1.0 FROM n""")
 def similarity_coordinates(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     return results.coordinates(pairs.pairwise(p, "braycurtis"), p).withColumn("value", r6("value"))
 
 
 @query(BC + MIRROR + " SELECT sample, other, round(distance, 6) AS value FROM mi UNION ALL SELECT sample, sample, 0.0 FROM st")
 def distance_heatmap(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     return plotdata.heatmap(pairs.pairwise(p, "braycurtis"), p).withColumn("value", r6("value"))
 
 
 @query(BC + " SELECT round(corr(bc.distance, 1 - pt.inter / (pt.n_a + pt.n_b - pt.inter)), 6) AS r, count(*) AS n_pairs FROM bc JOIN pt USING (sample_a, sample_b)")
 def matrix_correlation(spark, sf_dir):
-    p = prof(spark, sf_dir)
+    p = keep(prof(spark, sf_dir), "profile")
     return pairs.matrix_correlation(pairs.pairwise(p, "braycurtis"), pairs.pairwise(p, "jaccard")).select(r6("r").alias("r"), "n_pairs")
 
 
@@ -540,7 +540,7 @@ def recommend_standard(spark, sf_dir):
 def faulty_reads(spark, sf_dir):
     """Records with faults by rule: every 7th header, 11th separator and 13th quality is broken."""
     d = table(spark, sf_dir, "documents")
-    seq = F.upper(F.regexp_replace("text", "[^ACGTRacgtr]", ""))
+    seq = F.upper(F.regexp_replace("text", "[^ACGTRacgtr]+", ""))
     return d.select(
         F.concat_ws("_", "lang", "source").alias("sample"), F.lit("documents").alias("file"), F.col("doc_id").alias("read_no"), seq.alias("seq"),
         F.concat(F.when(F.col("doc_id") % 7 == 0, ">").otherwise("@"), F.col("doc_id")).alias("header"), F.when(F.col("doc_id") % 11 == 0, "-").otherwise("+").alias("plus"),

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,3 +416,34 @@ def test_disjoint_groups_equal_one_pass_in_order(spark):
         frame = spark.createDataFrame(rows, "group_id string, sample_names array<string>, confidence double")
         assert [r["group_id"] for r in recommend.pick_disjoint(frame).collect()] == want
     assert recommend.pick_disjoint(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 16])
+def test_pair_sums_equal_brute_force_without_joined_rows(spark, monkeypatch, dense):
+    monkeypatch.setattr(pairs, "ROWS", 50)
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    rng = random.Random(5)
+    own = {f"s{i:02}": {k: rng.randrange(1, 50) for k in range(60) if rng.random() < 0.6} for i in range(20)}
+    total = {s: sum(x.values()) for s, x in own.items()}
+    kernel = pa.table({c: list(v) for c, v in zip(("sample", "kmer", "cnt", "total"), zip(*sorted(((s, k, c, total[s]) for s, x in own.items() for k, c in x.items()), key=lambda r: r[1]), strict=True), strict=True)})
+    got: dict = {}
+    for batch in pairs.summed(kernel, True, pairs.PARTS):
+        for a, b, *sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            got[a, b] = [x + y for x, y in zip(got.get((a, b), [0] * 4), sums, strict=True)]
+    want = {}
+    for a, b in itertools.combinations(sorted(own), 2):
+        both = [(own[a][k] * total[b], own[b][k] * total[a], own[a][k] * own[b][k]) for k in own[a].keys() & own[b].keys()]
+        want[a, b] = [len(both), sum(min(x, y) for x, y, _ in both), sum(p for *_, p in both), sum(x == y for x, y, _ in both)]
+    assert got == want
+    sums = pairs.pair_sums(spark.createDataFrame(kernel.to_pandas()))
+    assert {(r[0], r[1]): list(r[2:]) for r in sums.collect()} == want
+    assert "Join" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_sums_of_large_counts_stay_whole_numbers_or_fail(spark):
+    rows = lambda c, t: pa.table({"sample": ["a", "b"] * 3, "kmer": [1, 1, 2, 2, 3, 3], "cnt": [c] * 6, "total": [t] * 6})
+    batches = list(pairs.summed(rows(2**31 + 1, 2**30), True, ("m",)))
+    assert sum(x for b in batches for x in b.column(2).to_pylist()) == 3 * (2**31 + 1) * 2**30
+    for c, t in ((2**32, 2**32), (2**32, 2**30 + 2**29)):
+        with pytest.raises(ArithmeticError):
+            list(pairs.summed(rows(c, t), True, ("m",)))
