@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -176,3 +178,21 @@ def test_sets_of_reads_longer_than_a_block(spark):
     assert got.count() == got.distinct().count() > 1_000_000
     one = kmers.packed_counts(df, 13).groupBy("sample").agg(F.sum("cnt").alias("n"))
     assert {r["sample"]: r["n"] for r in one.collect()} == {"a": len(read) + 9000 - 12}
+
+
+@pytest.mark.parametrize("margin", [12, -100])
+def test_reservoir_sorts_few_occurrences_and_draws_the_first_of_all(spark, monkeypatch, margin):
+    monkeypatch.setattr(sketch, "MARGIN", margin)  # -100: bounds so low that they must grow
+    rows = [(s, f"k{i}", 1 + (i * 7) % 40) for s, n in (("a", 300), ("b", 3), (None, 60)) for i in range(n)]
+    counts = spark.createDataFrame(rows, "sample string, kmer string, cnt long")
+    ranked = []
+    below = sketch._below
+    monkeypatch.setattr(sketch, "_below", lambda *given: ranked.append(below(*given)) or ranked[-1])
+    got = {(r["sample"], r["kmer"]): r["cnt"] for r in sketch.reservoir_sketch(counts, 50, seed=7).collect()}
+    want = Counter()
+    for s in ("a", "b", None):
+        each = [(hashlib.md5(f"{k}#{i}#7".encode()).hexdigest(), k, i) for t, k, c in rows if t == s for i in range(1, c + 1)]
+        want.update((s, k) for _, k, _ in sorted(each)[:50])
+    assert got == want
+    assert len(ranked) == 1 if margin > 0 else len(ranked) > 1
+    assert margin < 0 or ranked[0].count() < 1000 < sum(c for *_, c in rows) / 5
