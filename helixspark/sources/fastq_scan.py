@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from helixspark.plans.scratch import keep
 
-SPLIT_BYTES = 64 << 20
+SPLIT_BYTES = TASK_BYTES = 64 << 20
 ROWS = 20_000
 END = 1 << 62
 
@@ -129,7 +129,9 @@ def scan(files: DataFrame, max_reads: int | None = None, split_bytes: int = SPLI
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     last = whole | (F.col("start") + split_bytes >= F.col("size"))
     ranges = keep(sized.withColumn("start", F.explode(F.coalesce(starts, F.array(F.lit(0).cast("long"))))).withColumn("end", F.when(last, F.lit(END)).otherwise(F.col("start") + split_bytes)), "ranges")
-    tasks = max(1, min(ranges.count(), 100_000))
+    n_ranges, size = ranges.agg(F.count("*"), F.sum(F.coalesce(F.least("end", "size") - F.col("start"), F.lit(0)))).first()
+    # a task for each TASK_BYTES, or as many as run at a time: small ranges share tasks
+    tasks = max(1, min(n_ranges, 100_000, max(-(-(size or 0) // TASK_BYTES), 2 * files.sparkSession.sparkContext.defaultParallelism)))
     most = END if max_reads is None else 4 * max_reads
 
     def look(r: dict) -> list[tuple]:
