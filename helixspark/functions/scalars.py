@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,12 @@ def cost_multiplier(n: Column) -> Column:
 def safe_name(name: Column) -> Column:
     """A variable's name for use in file names."""
     return F.translate(name, " /", "__")
+
+
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row.
+
+    Filters and later columns read a generator's values, where a plain column's expression is repeated in each of them.
+    """
+    cell = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__cell")
+    return df.select(*[c for c in df.columns if c not in columns], cell).select("*", "__cell.*").drop("__cell")

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions.kmers import MAX_PACKED, kmers_of, pack, packed_sets
+from helixspark.functions.scalars import evaluated
 
 
 def trim_poly_g(reads: DataFrame, least: int = 10) -> DataFrame:
     """Cut a run of at least ``least`` G from the end of reads, and as much quality."""
     kept = F.length(F.regexp_replace("seq", f"G{{{least},}}$", ""))
-    out = reads.withColumn("__n", kept).withColumn("seq", F.expr("substring(seq, 1, __n)"))
+    out = evaluated(reads, __n=kept).withColumn("seq", F.expr("substring(seq, 1, __n)"))
     return (out.withColumn("qual", F.expr("substring(qual, 1, __n)")) if "qual" in reads.columns else out).drop("__n")
 
 
@@ -28,9 +29,13 @@ def quality_filter(reads: DataFrame, min_length: int = 50, min_phred: int = 20,
 
 
 def drop_duplicate_reads(reads: DataFrame) -> DataFrame:
-    """Of equal sequences of a sample the first, by file and read number."""
-    rank = F.row_number().over(Window.partitionBy("sample", "seq").orderBy("file", "read_no"))
-    return reads.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """Of equal sequences of a sample the first, by file and read number.
+
+    Rows are dealt and sorted by a hash before the letters, so whole reads are compared only where hashes agree.
+    """
+    hashed = reads.withColumn("__hash", F.xxhash64("sample", "seq"))
+    rank = F.row_number().over(Window.partitionBy("__hash", "sample", "seq").orderBy("file", "read_no"))
+    return hashed.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__hash")
 
 
 def clean_reads(reads: DataFrame, min_length: int = 50, quick: bool = False, dedup: bool = True) -> DataFrame:

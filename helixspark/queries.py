@@ -539,12 +539,13 @@ def recommend_standard(spark, sf_dir):
 
 def faulty_reads(spark, sf_dir):
     """Records with faults by rule: every 7th header, 11th separator and 13th quality is broken."""
-    d = table(spark, sf_dir, "documents")
-    seq = F.upper(F.regexp_replace("text", "[^ACGTRacgtr]+", ""))
-    return d.select(
-        F.concat_ws("_", "lang", "source").alias("sample"), F.lit("documents").alias("file"), F.col("doc_id").alias("read_no"), seq.alias("seq"),
-        F.concat(F.when(F.col("doc_id") % 7 == 0, ">").otherwise("@"), F.col("doc_id")).alias("header"), F.when(F.col("doc_id") % 11 == 0, "-").otherwise("+").alias("plus"),
-        F.repeat(F.when(F.col("doc_id") % 5 == 0, "#").otherwise("I"), F.length(seq) - F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0)).alias("qual"),
+    d = scalars.evaluated(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), seq=F.upper(F.regexp_replace("text", "[^ACGTRacgtr]+", "")))
+    return scalars.evaluated(
+        d.select(
+            F.concat_ws("_", "lang", "source").alias("sample"), F.lit("documents").alias("file"), F.col("doc_id").alias("read_no"), "seq",
+            F.concat(F.when(F.col("doc_id") % 7 == 0, ">").otherwise("@"), F.col("doc_id")).alias("header"), F.when(F.col("doc_id") % 11 == 0, "-").otherwise("+").alias("plus"),
+        ),
+        qual=F.repeat(F.when(F.col("read_no") % 5 == 0, "#").otherwise("I"), F.length("seq") - F.when(F.col("read_no") % 13 == 0, 1).otherwise(0)),
     )
 
 
