@@ -1,12 +1,13 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes of a text.
 
-Both tokenizers run over each text, and all that follows is Spark's higher-order functions.  Byte offsets where tokens of
+Both tokenizers run over each text, and groups and links are made by Spark's higher-order functions.  Byte offsets where tokens of
 both end (``array_intersect`` of the end arrays) cut the tokens into groups; tokens of both sides in one group are linked.
 An id pair's count is the number of documents that hold it linked.
 
 Tokenising is done by stretch: between a non-space and a non-space character of the ranges in ``SAFE``, a single space
 starts a new token in both tokenizers, whatever stands around it, so a text's tokens are those of its stretches one after
-the other, and a worker need not encode a stretch again that it remembers.  (Vocabularies for which that does not hold are
+the other, and a worker need not encode a stretch again that it remembers.  Nor are its groups made again: a task makes them
+once a stretch, and a document's are put together of those.  (Vocabularies for which that does not hold are
 recognised when they are loaded; texts are then one stretch.)
 
 Ends, side and id of a token are packed into one long.  Sorting both sides' tokens and the common ends yields the groups
@@ -20,11 +21,13 @@ own; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from helixspark.plans.scratch import keep
 from .tables import slim
 
 BLOCK_CHARS = 1_000_000
-REMEMBERED = 150_000  # stretches in each of the two generations that a worker remembers
+REMEMBERED = 150_000  # stretches that a task remembers
 HOT_PAIRS = 65_536
 ID_BITS = 21  # of a packed token: the side in the highest, then the id; all ones mark a common end
 MARK = (1 << ID_BITS) - 1
@@ -94,58 +97,54 @@ class _Worker:
         pre = spec.get("pre_tokenizer") or {}
         one_break = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.splits = one_break and not any(re.search("[^▁]▁", p) for p in entries)
-        #: 32-bit ids of stretches by side; None where a tokenizer changes the text.  Those not met for long are forgotten.
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        #: ids of stretches by side, as :meth:`learn` met them; None where a tokenizer changes the text
+        self.known: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
 
     def stretches(self, text: str) -> list[str]:
         return _BREAK.split(text) if self.splits else [text]
 
-    def learn(self, stretches: set[str]) -> None:
-        """Have the tokens of the stretches in ``known``; many are encoded in one call where they begin and end safely."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        unknown = stretches - self.known.keys()
-        new = unknown - self.older.keys()
-        self.known.update((x, self.older[x]) for x in unknown - new)
+    def encoded(self, new: list[str]) -> Iterator[tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]]:
+        """(stretches, of each side their ids one after the other and how many each has), in other order and some thousands at
+        a time.  A stretch that a tokenizer changes has none.
+
+        Many are encoded in one call where they begin and end safely.
+        """
         joined = [x for x in new if self.splits and _WHOLE.fullmatch(x)]
         runs = [joined[i : i + 256] for i in range(0, len(joined), 256)]
-        runs += [[x] for x in new.difference(joined)]
+        if len(joined) < len(new):
+            runs += [[x] for x in set(new).difference(joined)]
         for at in range(0, len(runs), 64):
             some = runs[at : at + 64]
             texts = [" ".join(run) for run in some]
             of_a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
-            for run, text, *ids in zip(some, texts, of_a, self.b.encode(texts, num_threads=1), strict=True):
-                self._store(run, (" " + text).encode(), ids)
+            found = [x for run, text, *ids in zip(some, texts, of_a, self.b.encode(texts, num_threads=1), strict=True) for x in self._cut(run, (" " + text).encode(), ids)]
+            sides = [(np.concatenate([f[side][0] for f in found]), np.concatenate([f[side][1] for f in found])) for side in (0, 1)]
+            yield [x for run in some for x in run], sides
 
-    def _store(self, run: list[str], raw: bytes, ids: list[list[int]]) -> None:
+    def _cut(self, run: list[str], raw: bytes, ids: list[list[int]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """The tokens of a run of stretches, and of each of these alone where a tokenizer changes the run."""
         if any(b"".join(map(table.__getitem__, own)) != raw for table, own in zip((self.bytes_a, self.bytes_b), ids, strict=True)):
             if len(run) == 1:
-                self.known[run[0]] = None
-            else:
-                for x in run:
-                    self._store([x], (" " + x).encode(), [self.a.encode(" " + x, add_special_tokens=False).ids, self.b.encode(x)])
-            return
-        begin = np.cumsum([0] + [len(x.encode()) + 1 for x in run])
+                return [[(np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64))] * 2]
+            return [y for x in run for y in self._cut([x], (" " + x).encode(), [self.a.encode(" " + x, add_special_tokens=False).ids, self.b.encode(x)])]
+        upto = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode()) + 1 for x in run])
         cut = []
         for table, own in zip(self.n_bytes, ids, strict=True):
-            own = np.array(own, dtype=np.int32)
-            cut.append((own.tobytes(), (4 * np.searchsorted(np.cumsum(table[own]), begin, side="right")).tolist()))
-        (a, of_a), (b, of_b) = cut
-        for i, x in enumerate(run):
-            self.known[x] = a[of_a[i] : of_a[i + 1]], b[of_b[i] : of_b[i + 1]]
+            own = np.array(own, dtype=np.int64)
+            cut.append((own, np.diff(np.searchsorted(np.cumsum(table[own]), upto, side="right"), prepend=0)))
+        return [cut]
 
-    def forget_long(self, stretches: set[str]) -> None:
-        for x in stretches:
-            if len(x) > 64:
-                del self.known[x]
+    def learn(self, stretches: set[str]) -> None:
+        """Have the tokens of the stretches in ``known``."""
+        for some, sides in self.encoded(list(stretches - self.known.keys())):
+            own = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in sides]
+            self.known.update((x, (a, b) if len(a) else None) for x, a, b in zip(some, *own, strict=True))
 
     def tokens(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of both sides of successive stretches; none if a tokenizer changes one of them."""
+        """Ids of both sides of successive stretches that were learnt; none if a tokenizer changes one of them."""
         found = [self.known[x] for x in parts]
-        if None in found:
-            found = []
-        return [np.frombuffer(b"".join([f[side] for f in found]), dtype=np.int32) for side in (0, 1)]
+        whole = all(f is not None for f in found)
+        return [np.concatenate([np.empty(0, dtype=np.int64), *([f[side] for f in found] if whole else [])]) for side in (0, 1)]
 
 
 _WORKERS: dict[tuple[str, str], _Worker] = {}
@@ -158,44 +157,164 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-TOKENS = "id long, ends_a array<int>, ends_b array<int>, a array<long>, b array<long>"
+TOKENS = "number int, id long, parts array<int>, ends_a array<int>, ends_b array<int>, a array<long>, b array<long>"
+LINKED = "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<{}>"
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+
+
+class _Numbers:
+    """Numbers of the stretches that a task remembers.
+
+    Beyond ``most`` stretches, or 32 letters for each, those met in the fewest blocks since the last time are forgotten, and
+    their numbers are given anew.
+    """
 
+    def __init__(self, most: int):
+        self.most = most
+        self.of: dict[str, int] = {}
+        self.letters = 0
+        self.free: list[int] = []
+        self.met = np.zeros(0, dtype=np.int32)
 
-def tokenised(docs: DataFrame, files: Tokenizers) -> DataFrame:
-    """``id, ends_a, ends_b, a, b`` of ``id, text``: the byte offsets where tokens end, and the packed tokens."""
+    def give(self, new: list[str]) -> np.ndarray:
+        n = len(new)
+        reused = self.free[len(self.free) - min(n, len(self.free)) :]
+        del self.free[len(self.free) - len(reused) :]
+        numbers = reused + list(range(len(self.met), len(self.met) + n - len(reused)))
+        self.met = np.concatenate([self.met, np.zeros(n - len(reused), dtype=np.int32)])
+        self.of.update(zip(new, numbers, strict=True))
+        self.letters += sum(map(len, new))
+        return np.array(numbers, dtype=np.int32)
+
+    def forget(self) -> None:
+        if len(self.of) <= self.most and self.letters <= 32 * self.most:
+            return
+        stays = 2
+        while stays < 64:
+            kept = {x: i for x, i in self.of.items() if self.met[i] >= stays}
+            letters = sum(map(len, kept))
+            if len(kept) <= self.most // 2 and letters <= 16 * self.most:
+                break
+            stays *= 2
+        else:
+            kept, letters = {}, 0
+        self.of, self.letters = kept, letters
+        gone = np.ones(len(self.met), dtype=bool)
+        gone[list(kept.values())] = False
+        self.free = np.flatnonzero(gone).tolist()
+        self.met[:] = 0
+
+
+def tokenised(docs: DataFrame, files: Tokenizers, remembered: int = REMEMBERED) -> DataFrame:
+    """Rows of stretches, each before the rows of the documents that hold it, of ``id, text``.
+
+    A stretch has a ``number``, the byte offsets where its tokens end (``ends_a, ends_b``) and the packed tokens (``a, b``;
+    none if a tokenizer changes it).  A document has ``id`` and ``parts``, the numbers of its stretches.  A number stands for
+    the last stretch that had it in the task; a task makes a row of a stretch again only if it has forgotten it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = files.worker()
+        worker, numbers = files.worker(), _Numbers(remembered)
         held: list[tuple[int | None, str]] = []
         chars = 0
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for i, text in zip(ids, batch.column("text"), strict=True):
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 held.append((i, text.as_py() or ""))
                 chars += len(held[-1][1]) + 64
                 if chars >= BLOCK_CHARS:
-                    yield block(worker, held)
+                    yield from block(worker, held, numbers)
                     held, chars = [], 0
         if held:
-            yield block(worker, held)
+            yield from block(worker, held, numbers)
 
-    def block(worker: _Worker, rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
+    def block(worker: _Worker, rows: list[tuple[int | None, str]], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
         parts = [worker.stretches(text) if text else [] for _, text in rows]
-        distinct = set().union(*parts)
-        worker.learn(distinct)
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for own in parts:
-            for side, ids in enumerate(worker.tokens(own)):
-                ends = np.cumsum(worker.n_bytes[side][ids])
-                columns[side].append(ends.astype(np.int32))
-                columns[2 + side].append(ends << ID_BITS | (SIDE if side else 0) | ids)
-        worker.forget_long(distinct)
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in c]).astype(np.int32)), pa.array(np.concatenate(c))) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists], ["id", "ends_a", "ends_b", "a", "b"])
+        numbers.forget()
+        for some, sides in worker.encoded(list(set().union(*parts).difference(numbers.of))):
+            yield stretch_rows(worker, numbers.give(some), sides)
+        lengths = np.array([len(own) for own in parts])
+        flat = np.fromiter(map(numbers.of.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=lengths.sum())
+        met = np.zeros(len(numbers.met), dtype=bool)
+        met[flat] = True
+        numbers.met += met
+        none = [_lists(np.empty(0, dtype=t), np.zeros(len(rows), dtype=np.int32)) for t in (np.int32, np.int32, np.int64, np.int64)]
+        cols = [pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), _lists(flat, lengths), *none]
+        yield pa.RecordBatch.from_arrays(cols, ["number", "id", "parts", "ends_a", "ends_b", "a", "b"])
+
+    def stretch_rows(worker: _Worker, number: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ends, tokens = [], []
+        for side, (ids, n) in enumerate(sides):
+            upto = np.concatenate([[0], np.cumsum(worker.n_bytes[side][ids])])
+            own = upto[1:] - np.repeat(upto[np.cumsum(n) - n], n)
+            ends.append(_lists(own.astype(np.int32), n))
+            tokens.append(_lists(own << ID_BITS | (SIDE if side else 0) | ids, n))
+        parts = _lists(np.empty(0, dtype=np.int32), np.zeros(len(number), dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.nulls(len(number), pa.int64()), parts, *ends, *tokens], ["number", "id", "parts", "ends_a", "ends_b", "a", "b"])
 
     return docs.mapInArrow(run, TOKENS)
 
 
+def assembled(each: DataFrame, kind: str) -> DataFrame:
+    """The documents of ``number, id, parts, n_a, n_b, n_groups, text, links``, in which stretches stand as in :func:`tokenised`.
+
+    Both tokenizers end a token with each stretch, so a document's groups are those of its stretches one after the other.
+    No shuffle lies between, so rows come in the order in which the task made them.
+    """
+    own = np.dtype(np.int32 if kind == "int" else np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        links: list[bytes] = []
+        counts = np.empty((0, 3), dtype=np.int64)
+        for batch in batches:
+            of_stretch = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(of_stretch[1:] != of_stretch[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if not of_stretch[a]:
+                    yield documents(rows, texts, links, counts)
+                    continue
+                number = rows.column("number").to_numpy()
+                more = number.max() + 1 - len(texts)
+                if more > 0:
+                    texts += [b""] * more
+                    links += [b""] * more
+                    if len(counts) < len(texts):
+                        counts = np.concatenate([counts, np.empty((len(texts), 3), dtype=np.int64)])
+                counts[number] = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")], axis=1)
+                lists = rows.column("links")
+                raw = lists.flatten().to_numpy().astype(own).tobytes()
+                ends = np.cumsum(lists.value_lengths().to_numpy()) * own.itemsize
+                begin = 0
+                for i, text, end in zip(number.tolist(), rows.column("text").cast(pa.binary()).to_pylist(), ends.tolist(), strict=True):
+                    texts[i], links[i] = text, raw[begin:end]
+                    begin = end
+
+    def documents(rows: pa.RecordBatch, texts: list[bytes], links: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+        flat, lengths = rows.column("parts").flatten().to_numpy(), rows.column("parts").value_lengths().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        sums, digests, pairs = np.zeros((len(rows), 3), dtype=np.int64), [""] * len(rows), [np.empty(0, dtype=own)] * len(rows)
+        for i in np.flatnonzero(lengths).tolist():
+            at = flat[upto[i] : upto[i + 1]]
+            n = counts[at]
+            if not n[:, 2].all():  # a tokenizer changes one of the stretches
+                continue
+            parts = at.tolist()
+            sums[i] = n.sum(0)
+            digests[i] = hashlib.sha256(b";".join(map(texts.__getitem__, parts))).hexdigest()
+            pairs[i] = np.sort(np.frombuffer(b"".join(map(links.__getitem__, parts)), dtype=own))
+        n_links = np.array([len(x) for x in pairs], dtype=np.int64)
+        cols = [rows.column("id"), *[pa.array(sums[:, j]) for j in range(3)], pa.array(n_links), pa.array(digests), _lists(np.concatenate(pairs), n_links)]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+
+    return each.mapInArrow(run, LINKED.format(kind))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
@@ -234,20 +353,20 @@ def groups(stream: str, size_b: int) -> Column:
     return F.when(F.size(stream) > 0, _let(places, lambda m: F.zip_with(firsts(m), m, between)))
 
 
-def linked(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``id, n_a, n_b, n_groups, n_links, groups_sha256, links``: all links of a document as pair numbers, in order of these."""
     kind = "int" if files.sizes[0] * files.sizes[1] < 1 << 31 else "long"
     rows = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    place = ["number", "id", "parts"]
     # each step names what the one before it made more than once, so that Spark keeps the steps apart: what need not be a
     # higher-order function then is compiled
-    shared = tokenised(rows, files).select("id", "a", "b", F.array_intersect("ends_a", "ends_b").alias("common"))
+    shared = tokenised(rows, files, remembered).select(*place, "a", "b", F.array_intersect("ends_a", "ends_b").alias("common"))
     marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)
-    streams = shared.select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), F.sort_array(F.concat("a", "b", marks)).alias("stream"))
-    each = streams.select("id", "n_a", "n_b", "n_groups", groups("stream", files.sizes[1]).alias("g"))
-    links = F.coalesce(F.sort_array(F.flatten("g.links")), F.array().cast("array<bigint>")).cast(f"array<{kind}>")
-    counts = [F.col(c).cast("long") for c in ("n_a", "n_b", "n_groups")]
-    whole = each.select("id", *counts, F.coalesce(F.sha2(F.array_join("g.text", ";"), 256), F.lit("")).alias("groups_sha256"), links.alias("links"))
-    return whole.withColumn("n_links", F.size("links").cast("long"))
+    counts = [F.size(c).alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("common", "n_groups"))]
+    streams = shared.select(*place, *counts, F.sort_array(F.concat("a", "b", marks)).alias("stream"))
+    each = streams.select(*place, "n_a", "n_b", "n_groups", groups("stream", files.sizes[1]).alias("g"))
+    links = F.coalesce(F.flatten("g.links"), F.array().cast("array<bigint>")).cast(f"array<{kind}>")
+    return assembled(each.select(*place, "n_a", "n_b", "n_groups", F.coalesce(F.array_join("g.text", ";"), F.lit("")).alias("text"), links.alias("links")), kind)
 
 
 def pair_counts(held: DataFrame, size_b: int) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -287,6 +288,18 @@ def test_alignment_query_equals_brute_force(spark, files):
     assert sorted(map(tuple, queries.op13_token_alignment(spark, D).collect()), key=str) == brute_alignment(files, rows)
 
 
+@pytest.mark.parametrize("remembered", [0, 4, 150_000])
+def test_groups_are_made_once_a_stretch(spark, files, monkeypatch, remembered):
+    rows = [(i, "the same words, and the same words again " * 30 + ("▁" if i % 5 == 3 else "")) for i in range(20)]
+    frame = spark.createDataFrame(rows + list(enumerate(TEXTS)), "id long, text string").coalesce(1)
+    if remembered > 4:
+        once = token_alignment.tokenised(frame.where("text like 'the same%'"), files, remembered).where("number is not null").toPandas()
+        assert once["number"].tolist() == list(range(len(once))) and len(once) <= 20
+    monkeypatch.setattr(token_alignment, "linked", partial(token_alignment.linked, remembered=remembered))
+    got = sorted(map(tuple, token_alignment.align(frame, files, "id").collect()), key=str)
+    assert got == brute_alignment(files, [tuple(r) for r in frame.collect()])
+
+
 def test_stretches_have_the_tokens_of_the_whole(files):
     rng = random.Random(8)
     worker = token_alignment._Worker(files)
