@@ -112,9 +112,11 @@ def anchors(hashed: np.ndarray, first: np.ndarray, window: int, spread: int) ->
     return np.sort(at[head])
 
 
-def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
+def windows(docs: DataFrame, window: int, spread: int, hashes_only: bool = False) -> DataFrame:
     """``id, th, start, n_words, k, c, l, r, behind``: the chains of equal windows of ``id, th, text``, the words around
     them (0 where a chain's windows differ in them) and how many there are behind, up to ``spread``.
+
+    With ``hashes_only`` it is ``id, k, c``, and what stands around is not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +129,18 @@ def windows(docs: DataFrame, window: int, spread: int) -> DataFrame:
                     continue
                 k, c = window_hashes(hashed, at, window)
                 row = np.searchsorted(first, at, side="right") - 1
+                if hashes_only:
+                    head, _ = chains(at, row, k, c, window)
+                    cols = [ids[a:b][row[head]], k[head].view(np.int64), c[head].view(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "k", "c"])
+                    continue
                 head, n, left, right = chains(at, row, k, c, window, *contexts(hashed, at, first[row], first[row + 1], window, spread))
                 at, row = at[head], row[head]
                 cols = [ids[a:b][row], th[a:b][row], (at - first[row]).astype(np.int32), n.astype(np.int32), k[head].view(np.int64), c[head].view(np.int32)]
                 cols += [left.view(np.int64), right.view(np.int64), np.minimum(first[row + 1] - at - n, spread).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "th", "start", "n_words", "k", "c", "l", "r", "behind"])
 
-    return docs.mapInArrow(run, "id long, th long, start int, n_words int, k long, c int, l long, r long, behind int")
+    return docs.mapInArrow(run, "id long, k long, c int" if hashes_only else "id long, th long, start int, n_words int, k long, c int, l long, r long, behind int")
 
 
 def edge_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -239,17 +246,23 @@ def pieces(
 ) -> DataFrame:
     """Occurrences of passages that two or more documents share: ``id, th, start, n_words, keep_id`` (in words)."""
     rows = texts(docs, id_col, text_col)
-    wins = windows(rows, window, spread)
-    shared = wins.groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
-    held = keep(with_owner(wins, keep(shared.drop("last_id"), "shared")), "found")
+    with Run() as tables:
+        verbatim = keep(shared_windows(rows, window, spread), "verbatim")
+        tables.release(verbatim)
+    return verbatim.unionByName(near_paragraphs(rows, min_paragraph, params))
+
+
+def shared_windows(rows: DataFrame, window: int, spread: int) -> DataFrame:
+    """``id, th, start, n_words, keep_id`` of the windows that two or more documents share, with what they have around them in common."""
+    shared = windows(rows, window, spread, hashes_only=True).groupBy("k", "c").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id <> last_id")
+    held = keep(with_owner(windows(rows, window, spread), keep(shared.drop("last_id"), "shared")), "found")
     # what stands around is compared among the shared windows only, which are few
     ends = held.groupBy("k", "c").agg(*[f(x).alias(f"{x}_{f.__name__}") for x in ("l", "r") for f in (F.min, F.max)])
     open_ends = [F.expr(f"{x}_min = 0 or {x}_min <> {x}_max").alias(side) for x, side in (("l", "left"), ("r", "right"))]
     found = keep(held.join(ends.select("k", "c", *open_ends), ["k", "c"]).select("id", "th", "start", "n_words", "keep_id", "behind", "left", "right"), "found-ends")
     ahead, behind = F.when(F.col("left"), 0).otherwise(F.least("start", F.lit(spread))), F.when(F.col("right"), 0).otherwise(F.col("behind"))
     whole_sides = found.select("id", "th", (F.col("start") - ahead).alias("start"), (F.col("n_words") + ahead + behind).alias("n_words"), "keep_id")
-    verbatim = whole_sides.unionByName(extended(rows, found, window, spread))
-    return verbatim.unionByName(near_paragraphs(rows, min_paragraph, params))
+    return whole_sides.unionByName(extended(rows, found, window, spread))
 
 
 def with_owner(wins: DataFrame, shared: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixspark.llm import exact_dedup, near_dedup, queries, shingling, substring_dedup
 from helixspark.llm.near_dedup import MinHash
 from helixspark.operators import graph
+from helixspark.plans.scratch import Run
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, keep_id int, text_sha256 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,6 +194,17 @@ def test_passages_of_51_words_are_found(spark):
         assert [w for w in words(texts[i])[: at[i]]] == words(out[i]["text"])[: at[i]]
 
 
+def test_side_tables_of_windows_go_before_paragraphs(spark):
+    rng = random.Random(3)
+    passage, fill = [" ".join(str(rng.random()) for _ in range(n)) for n in (60, 40)]
+    rows = substring_dedup.texts(table(spark, [f"{passage} {fill}", passage]), "doc_id", "text")
+    bare, whole = (substring_dedup.windows(rows, 26, 25, b).select("id", "k", "c").collect() for b in (True, False))
+    assert len(bare) > 2 and sorted(bare) == sorted(whole)
+    with Run() as tables:
+        substring_dedup.pieces(rows, "id", min_paragraph=1000)
+    assert sorted(path.rsplit("/", 1)[1].split("-")[1] for _, path in tables.written) == ["placed", "verbatim"]
+
+
 def test_near_paragraphs_are_found(spark):
     rng = random.Random(5)
     para = prose(rng, 80)
