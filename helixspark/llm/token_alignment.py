@@ -6,11 +6,14 @@ An id pair's count is the number of documents that hold it linked.
 
 Tokenising is done by stretch: between a non-space and a non-space character of the ranges in ``SAFE``, a single space
 starts a new token in both tokenizers, whatever stands around it, so a text's tokens are those of its stretches one after
-the other, and a worker need not encode a stretch again that it remembers.  Nor are its groups made again: a task makes them
-once a stretch, and a document's are put together of those.  (Vocabularies for which that does not hold are
+the other, and a worker need not encode a stretch again that it remembers.  (Vocabularies for which that does not hold are
 recognised when they are loaded; texts are then one stretch.)
 
-Ends, side and id of a token are packed into one long.  Sorting both sides' tokens and the common ends yields the groups
+Which tokens share a group follows from where tokens end, not from their ids.  The ends of both sides are the shape of a
+stretch; many stretches have one shape.  A task makes groups and links once a shape, of the tokens' places; ids are put into
+these places for each stretch that it meets, and a document's groups are those of its stretches.
+
+End, side and place of a token are packed into one long.  Sorting both sides' tokens and the common ends yields the groups
 as runs, in time linear but for the sort.  Pair counts are joined to the links in two ways: the ``HOT_PAIRS`` most
 frequent pairs are broadcast (their number bounds the table), and all others meet by a shuffle, in which no key can be hot.
 
@@ -39,11 +42,13 @@ from helixspark.plans.scratch import keep
 from .tables import slim
 
 BLOCK_CHARS = 1_000_000
+BLOCK_PARTS = 1 << 18  # stretches of the documents put together at a time, unless one has more
 REMEMBERED = 150_000  # stretches that a task remembers
+SHAPES = 30_000  # shapes that a task remembers
 HOT_PAIRS = 65_536
-ID_BITS = 21  # of a packed token: the side in the highest, then the id; all ones mark a common end
-MARK = (1 << ID_BITS) - 1
-SIDE = 1 << (ID_BITS - 1)
+PLACE_BITS = 32  # of a packed token: the side in the highest, then the place; all ones mark a common end
+MARK = (1 << PLACE_BITS) - 1
+SIDE = 1 << (PLACE_BITS - 1)
 
 SAFE = "[!-~¡-ɏ]"
 _BREAK = re.compile(f"(?<={SAFE}) (?={SAFE})")
@@ -60,8 +65,8 @@ class Tokenizers:
     def __post_init__(self):
         a, b = self._open()
         self.sizes = a.get_vocab_size(), b.get_piece_size()
-        if max(self.sizes) >= SIDE - 1:
-            raise ValueError(f"ids must be below {SIDE - 1}")
+        if max(self.sizes) >= 1 << 31:
+            raise ValueError(f"ids must be below {1 << 31}")
 
     def _open(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,7 +162,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-TOKENS = "number int, id long, parts array<int>, ends_a array<int>, ends_b array<int>, a array<long>, b array<long>"
+TOKENS = "number int, id long, parts array<int>, ends_a array<int>, ends_b array<int>, shapes array<int>, ids array<int>"
+NAMES = [x.split()[0] for x in TOKENS.split(", ")]
 LINKED = "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<{}>"
 
 
@@ -208,16 +214,52 @@ class _Numbers:
         self.met[:] = 0
 
 
+class _Shapes:
+    """Numbers of the shapes that a task remembers.  Beyond ``most``, or 64 bytes for each, all are forgotten."""
+
+    def __init__(self, n_bytes: list[np.ndarray], most: int):
+        self.n_bytes, self.most = n_bytes, most
+        self.of: dict[tuple, int] = {}
+        self.bytes = 0
+
+    def of_stretches(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+        """(number of each stretch's shape, the numbers that are new, of each side the ends of these)."""
+        if len(self.of) > self.most or self.bytes > 64 * self.most:
+            self.of, self.bytes = {}, 0
+        ends, masks, brief = [], [], True
+        for table, (ids, n) in zip(self.n_bytes, sides, strict=True):
+            upto = np.concatenate([[0], np.cumsum(table[ids])])
+            first = np.cumsum(n) - n
+            own = (upto[1:] - np.repeat(upto[first], n)).astype(np.int32)
+            # up to 63 bytes the bits at the ends are the shape
+            mask = np.zeros(len(n), dtype=np.uint64)
+            mask[n > 0] = np.bitwise_or.reduceat(np.uint64(1) << (own & 63).astype(np.uint64), first[n > 0]) if len(own) else 0
+            brief = brief & (upto[first + n] - upto[first] < 64) & (np.bitwise_count(mask) == n)
+            ends.append((own, first, n))
+            masks.append(mask.tolist())
+        keys = list(zip(*masks, strict=True))
+        for i in np.flatnonzero(~brief).tolist():
+            keys[i] = tuple(own[first[i] : first[i] + n[i]].tobytes() for own, first, n in ends)
+            self.bytes += 0 if keys[i] in self.of else len(keys[i][0]) + len(keys[i][1])
+        before, of = len(self.of), self.of
+        numbers = np.array([of.setdefault(key, len(of)) for key in keys], dtype=np.int32)
+        late = np.flatnonzero(numbers >= before)
+        new, at = np.unique(numbers[late], return_index=True)
+        return numbers, new, [[own[first[i] : first[i] + n[i]] for i in late[at].tolist()] for own, first, n in ends]
+
+
 def tokenised(docs: DataFrame, files: Tokenizers, remembered: int = REMEMBERED) -> DataFrame:
-    """Rows of stretches, each before the rows of the documents that hold it, of ``id, text``.
+    """Rows of shapes, of stretches and of documents, each before those that name it, of ``id, text``.
 
-    A stretch has a ``number``, the byte offsets where its tokens end (``ends_a, ends_b``) and the packed tokens (``a, b``;
-    none if a tokenizer changes it).  A document has ``id`` and ``parts``, the numbers of its stretches.  A number stands for
-    the last stretch that had it in the task; a task makes a row of a stretch again only if it has forgotten it.
+    A shape has a ``number`` and the byte offsets where its tokens end (``ends_a, ends_b``; none if a tokenizer changes the
+    text).  A row of stretches has their numbers as ``parts``, their ``shapes`` and ``ids``: of each stretch those of a, then of b.  A
+    document has ``id`` and ``parts``, the numbers of its stretches.  A number stands for the last shape, or stretch, that had
+    it in the task; a task makes a row again only of what it has forgotten.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, numbers = files.worker(), _Numbers(remembered)
+        shapes = _Shapes(worker.n_bytes, SHAPES)
         held: list[tuple[int | None, str]] = []
         chars = 0
         for batch in batches:
@@ -225,92 +267,163 @@ def tokenised(docs: DataFrame, files: Tokenizers, remembered: int = REMEMBERED)
                 held.append((i, text.as_py() or ""))
                 chars += len(held[-1][1]) + 64
                 if chars >= BLOCK_CHARS:
-                    yield from block(worker, held, numbers)
+                    yield from block(worker, held, numbers, shapes)
                     held, chars = [], 0
         if held:
-            yield from block(worker, held, numbers)
+            yield from block(worker, held, numbers, shapes)
 
-    def block(worker: _Worker, rows: list[tuple[int | None, str]], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
+    def block(worker: _Worker, rows: list[tuple[int | None, str]], numbers: _Numbers, shapes: _Shapes) -> Iterator[pa.RecordBatch]:
         parts = [worker.stretches(text) if text else [] for _, text in rows]
         numbers.forget()
         for some, sides in worker.encoded(list(set().union(*parts).difference(numbers.of))):
-            yield stretch_rows(worker, numbers.give(some), sides)
+            yield from stretch_rows(numbers.give(some), sides, shapes)
         lengths = np.array([len(own) for own in parts])
         flat = np.fromiter(map(numbers.of.__getitem__, chain.from_iterable(parts)), dtype=np.int32, count=lengths.sum())
         met = np.zeros(len(numbers.met), dtype=bool)
         met[flat] = True
         numbers.met += met
-        none = [_lists(np.empty(0, dtype=t), np.zeros(len(rows), dtype=np.int32)) for t in (np.int32, np.int32, np.int64, np.int64)]
-        cols = [pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), _lists(flat, lengths), *none]
-        yield pa.RecordBatch.from_arrays(cols, ["number", "id", "parts", "ends_a", "ends_b", "a", "b"])
-
-    def stretch_rows(worker: _Worker, number: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ends, tokens = [], []
-        for side, (ids, n) in enumerate(sides):
-            upto = np.concatenate([[0], np.cumsum(worker.n_bytes[side][ids])])
-            own = upto[1:] - np.repeat(upto[np.cumsum(n) - n], n)
-            ends.append(_lists(own.astype(np.int32), n))
-            tokens.append(_lists(own << ID_BITS | (SIDE if side else 0) | ids, n))
-        parts = _lists(np.empty(0, dtype=np.int32), np.zeros(len(number), dtype=np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(number), pa.nulls(len(number), pa.int64()), parts, *ends, *tokens], ["number", "id", "parts", "ends_a", "ends_b", "a", "b"])
+        yield rows_of(len(rows), id=pa.array([r[0] for r in rows], pa.int64()), parts=_lists(flat, lengths))
+
+    def stretch_rows(number: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], shapes: _Shapes) -> Iterator[pa.RecordBatch]:
+        own, new, ends = shapes.of_stretches(sides)
+        if len(new):
+            of_side = [_lists(np.concatenate(x), np.array([len(y) for y in x])) for x in ends]
+            yield rows_of(len(new), number=pa.array(new), ends_a=of_side[0], ends_b=of_side[1])
+        (a, n_a), (b, n_b) = sides
+        ids = np.empty(len(a) + len(b), dtype=np.int32)
+        ids[np.arange(len(a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)] = a
+        ids[np.arange(len(b)) + np.repeat(np.cumsum(n_a), n_b)] = b
+        yield rows_of(1, **{name: _lists(x, np.array([len(x)])) for name, x in (("parts", number), ("shapes", own), ("ids", ids))})
+
+    def rows_of(n: int, **cols: pa.Array) -> pa.RecordBatch:
+        kinds = {"number": pa.int32(), "id": pa.int64()}
+        return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, kinds.get(c, pa.list_(pa.int32()))) for c in NAMES], NAMES)
 
     return docs.mapInArrow(run, TOKENS)
 
 
-def assembled(each: DataFrame, kind: str) -> DataFrame:
-    """The documents of ``number, id, parts, n_a, n_b, n_groups, text, links``, in which stretches stand as in :func:`tokenised`.
+def _binaries(data: bytes | np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)])
+
+
+class _Assembler:
+    """What a task keeps of the shapes, by number, and of the stretches, by number."""
+
+    def __init__(self, size_b: int, own: np.dtype):
+        self.size_b, self.own = size_b, own
+        #: of a shape: its text with ``%d`` for ids, the places these are taken from, and its links' places
+        self.shapes: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.shape_counts = np.zeros((0, 3), dtype=np.int64)
+        #: of a stretch: where its text, with a ``;`` behind, and its links are
+        self.at = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros((0, 3), dtype=np.int64)
+        self.texts = self.links = pa.array([], pa.large_binary())
+
+    def learn_shapes(self, rows: pa.RecordBatch) -> None:
+        number = rows.column("number").to_numpy()
+        self.shape_counts = _longer(self.shape_counts, int(number.max()) + 1)
+        self.shapes += [None] * (len(self.shape_counts) - len(self.shapes))
+        self.shape_counts[number] = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")], axis=1)
+        flat, ends = zip(*[(np.array(x.flatten()), np.cumsum(x.value_lengths().to_numpy()).tolist()) for x in (rows.column("order"), rows.column("links"))], strict=True)
+        a = b = 0
+        for i, text, end_a, end_b in zip(number.tolist(), rows.column("text").to_pylist(), *ends, strict=True):
+            self.shapes[i] = text.encode(), flat[0][a:end_a], flat[1][b:end_b]
+            a, b = end_a, end_b
+
+    def learn_stretches(self, number: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
+        """The stretches of these numbers and shapes, whose ids follow each other."""
+        n = self.shape_counts[own]
+        base = np.cumsum(n[:, 0] + n[:, 1]) - n[:, 0] - n[:, 1]
+        used, own = np.unique(own, return_inverse=True)
+        texts, order, links = zip(*[self.shapes[i] for i in used.tolist()], strict=True)
+
+        def of_each(places: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(places of each stretch's shape, where its ids begin, the places' ends)."""
+            sizes = np.array([len(x) for x in places])
+            first, size = (np.cumsum(sizes) - sizes)[own], sizes[own]
+            ends = np.cumsum(size)
+            return np.concatenate(places)[np.repeat(first - ends + size, size) + np.arange(ends[-1])], np.repeat(base, size), ends
+
+        place, begin, _ = of_each(order)
+        text = np.frombuffer(b"\n".join([*map(texts.__getitem__, own.tolist()), b""]) % tuple(ids[begin + place].tolist()), dtype=np.uint8)
+        behind = text == ord("\n")
+        place, begin, ends = of_each(links)
+        pairs = ids[begin + (place >> (PLACE_BITS - 1))].astype(np.int64) * self.size_b + ids[begin + (place & (SIDE - 1))]
+        self.counts = _longer(self.counts, int(number.max()) + 1)
+        self.at = _longer(self.at, len(self.counts))
+        self.counts[number] = n
+        self.at[number] = np.arange(len(number)) + len(self.texts)
+        self.texts = pa.concat_arrays([self.texts, _binaries(np.where(behind, np.uint8(ord(";")), text), np.flatnonzero(behind) + 1)])
+        self.links = pa.concat_arrays([self.links, _binaries(pairs.astype(self.own), ends * self.own.itemsize)])
+        if len(self.texts) > 2 * len(self.at) + 20_000:  # of numbers given anew the former stretches go
+            self.texts, self.links = (x.take(pa.array(self.at)) for x in (self.texts, self.links))
+            self.at = np.arange(len(self.at))
+
+    def documents(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flat, lengths = rows.column("parts").flatten().to_numpy(), rows.column("parts").value_lengths().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + BLOCK_PARTS, side="right")) - 1)
+            yield self._documents(rows.column("id").slice(a, b - a), flat[upto[a] : upto[b]], upto[a : b + 1] - upto[a])
+            a = b
+
+    def _documents(self, ids: pa.Array, parts: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
+        n, some = self.counts[parts], np.flatnonzero(upto[:-1] < upto[1:])
+        sums, whole = np.zeros((len(ids), 3), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        if len(some):
+            sums[some] = np.add.reduceat(n, upto[some], axis=0)
+            whole[some] = np.minimum.reduceat(n[:, 2], upto[some]) > 0  # else a tokenizer changes one of the stretches
+        sums[~whole] = 0
+        at = pa.array(self.at[parts])
+        (text, to_text), (link, to_link) = (self._joined(x.take(at), upto) for x in (self.texts, self.links))
+        digests, pairs = [""] * len(ids), np.frombuffer(link, dtype=self.own).copy()
+        to_link //= self.own.itemsize
+        for i in np.flatnonzero(whole).tolist():
+            digests[i] = hashlib.sha256(text[to_text[i] : to_text[i + 1] - 1]).hexdigest()
+            pairs[to_link[i] : to_link[i + 1]].sort()
+        n_links = np.diff(to_link)
+        pairs, n_links = pairs[np.repeat(whole, n_links)], n_links * whole
+        cols = [ids, *[pa.array(sums[:, j]) for j in range(3)], pa.array(n_links), pa.array(digests), _lists(pairs, n_links)]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+
+    @staticmethod
+    def _joined(each: pa.LargeBinaryArray, upto: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(the values one behind the other, where those of each document begin and the end)."""
+        ends = np.frombuffer(each.buffers()[1], dtype=np.int64)[: len(each) + 1] if len(each) else np.zeros(1, dtype=np.int64)
+        return memoryview(each.buffers()[2] or b"")[: ends[-1]], ends[upto]
+
 
-    Both tokenizers end a token with each stretch, so a document's groups are those of its stretches one after the other.
-    No shuffle lies between, so rows come in the order in which the task made them.
+def _longer(x: np.ndarray, n: int) -> np.ndarray:
+    """At least ``n`` long, with zeros behind; room is doubled."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros((max(n, 2 * len(x)) - len(x), *x.shape[1:]), dtype=x.dtype)])
+
+
+def assembled(each: DataFrame, size_b: int, kind: str) -> DataFrame:
+    """The documents of ``number, id, parts, shapes, ids, n_a, n_b, n_groups, text, order, links``, in which rows stand as in :func:`tokenised`.
+
+    ``text``, ``order`` and ``links`` are the shapes'.  Both tokenizers end a token with each stretch, so a document's groups
+    are those of its stretches one after the other.  No shuffle lies between, so rows come in the order in which the task
+    made them.
     """
-    own = np.dtype(np.int32 if kind == "int" else np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        links: list[bytes] = []
-        counts = np.empty((0, 3), dtype=np.int64)
+        known = _Assembler(size_b, np.dtype(np.int32 if kind == "int" else np.int64))
         for batch in batches:
-            of_stretch = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(of_stretch[1:] != of_stretch[:-1]) + 1).tolist(), len(batch)]
+            of_shape, of_stretches = (batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("number", "shapes"))
+            role = of_shape * 2 + of_stretches
+            cuts = [0, *(np.flatnonzero(role[1:] != role[:-1]) + 1).tolist(), len(batch)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 rows = batch.slice(a, b - a)
-                if not of_stretch[a]:
-                    yield documents(rows, texts, links, counts)
-                    continue
-                number = rows.column("number").to_numpy()
-                more = number.max() + 1 - len(texts)
-                if more > 0:
-                    texts += [b""] * more
-                    links += [b""] * more
-                    if len(counts) < len(texts):
-                        counts = np.concatenate([counts, np.empty((len(texts), 3), dtype=np.int64)])
-                counts[number] = np.stack([rows.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups")], axis=1)
-                lists = rows.column("links")
-                raw = lists.flatten().to_numpy().astype(own).tobytes()
-                ends = np.cumsum(lists.value_lengths().to_numpy()) * own.itemsize
-                begin = 0
-                for i, text, end in zip(number.tolist(), rows.column("text").cast(pa.binary()).to_pylist(), ends.tolist(), strict=True):
-                    texts[i], links[i] = text, raw[begin:end]
-                    begin = end
-
-    def documents(rows: pa.RecordBatch, texts: list[bytes], links: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-        flat, lengths = rows.column("parts").flatten().to_numpy(), rows.column("parts").value_lengths().to_numpy()
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        sums, digests, pairs = np.zeros((len(rows), 3), dtype=np.int64), [""] * len(rows), [np.empty(0, dtype=own)] * len(rows)
-        for i in np.flatnonzero(lengths).tolist():
-            at = flat[upto[i] : upto[i + 1]]
-            n = counts[at]
-            if not n[:, 2].all():  # a tokenizer changes one of the stretches
-                continue
-            parts = at.tolist()
-            sums[i] = n.sum(0)
-            digests[i] = hashlib.sha256(b";".join(map(texts.__getitem__, parts))).hexdigest()
-            pairs[i] = np.sort(np.frombuffer(b"".join(map(links.__getitem__, parts)), dtype=own))
-        n_links = np.array([len(x) for x in pairs], dtype=np.int64)
-        cols = [rows.column("id"), *[pa.array(sums[:, j]) for j in range(3)], pa.array(n_links), pa.array(digests), _lists(np.concatenate(pairs), n_links)]
-        return pa.RecordBatch.from_arrays(cols, ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+                if of_shape[a]:
+                    known.learn_shapes(rows)
+                elif of_stretches[a]:
+                    for i in range(len(rows)):
+                        known.learn_stretches(*[rows.column(c)[i].values.to_numpy() for c in ("parts", "shapes", "ids")])
+                else:
+                    yield from known.documents(rows)
 
     return each.mapInArrow(run, LINKED.format(kind))
 
@@ -320,30 +433,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def groups(stream: str, size_b: int) -> Column:
-    """The groups of a sorted stream of packed tokens and marks as ``text`` (ids of both sides) and ``links`` (id of a * ``size_b`` + id of b)."""
-    own_id = lambda x: x.bitwiseAND(F.lit(SIDE - 1))
+def groups(stream: str) -> Column:
+    """The groups of a sorted stream of packed tokens and marks as ``text`` (``%d`` for ids), ``order`` (the places of these) and
+    ``links`` (place in a * ``SIDE`` + place in b)."""
+    place = lambda x: x.bitwiseAND(F.lit(SIDE - 1))
     is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
-    link = lambda x, y: own_id(x) * size_b + own_id(y)
+    link = lambda x, y: place(x) * F.lit(SIDE) + place(y)
 
-    def text(*ids: Column | str) -> Column:
-        return F.concat(*[F.lit(x) if isinstance(x, str) else own_id(x).cast("string") for x in ids])
+    def group(text: Column, order: Column, links: Column) -> Column:
+        return F.struct(text.alias("text"), order.alias("order"), links.alias("links"))
 
     tokens = F.col(stream)
 
     def between(first: Column, mark: Column) -> Column:
         """The group of the tokens from ``first`` up to the place of a mark; most have two or three tokens."""
         x, y, z = tokens[first], tokens[first + 1], tokens[first + 2]
-        two = F.struct(text(x, "|", y).alias("text"), F.array(link(x, y)).alias("links"))
+        two = group(F.lit("%d|%d"), F.array(place(x), place(y)), F.array(link(x, y)))
         # of three tokens the last two end together
-        split_a = F.struct(text(x, ",", y, "|", z).alias("text"), F.array(link(x, z), link(y, z)).alias("links"))
-        split_b = F.struct(text(y, "|", x, ",", z).alias("text"), F.array(link(y, x), link(y, z)).alias("links"))
-        side = lambda of_a: F.filter(F.transform(F.sequence(first, mark - 1), lambda i: tokens[i]), lambda t: is_a(t) if of_a else ~is_a(t))
-        joined = lambda own: F.array_join(F.transform(own, own_id).cast("array<string>"), ",")
+        split_a = group(F.lit("%d,%d|%d"), F.array(place(x), place(y), place(z)), F.array(link(x, z), link(y, z)))
+        split_b = group(F.lit("%d|%d,%d"), F.array(place(y), place(x), place(z)), F.array(link(y, x), link(y, z)))
+        side = lambda of_a: F.filter(F.slice(tokens, first + 1, mark - first), lambda t: is_a(t) if of_a else ~is_a(t))
+        ids = lambda own: F.array_join(F.array_repeat(F.lit("%d"), F.size(own)), ",")
         more = _let(
             F.struct(side(True).alias("a"), side(False).alias("b")),
-            lambda g: F.struct(
-                F.concat(joined(g["a"]), F.lit("|"), joined(g["b"])).alias("text"), F.flatten(F.transform(g["a"], lambda s: F.transform(g["b"], lambda t: link(s, t)))).alias("links")
+            lambda g: group(
+                F.concat(ids(g["a"]), F.lit("|"), ids(g["b"])),
+                F.transform(F.concat(g["a"], g["b"]), place),
+                F.flatten(F.transform(g["a"], lambda s: F.transform(g["b"], lambda t: link(s, t)))),
             ),
         )
         return F.when(mark - first == 2, two).when(mark - first == 3, F.when(is_a(x), split_a).otherwise(split_b)).otherwise(more)
@@ -357,16 +473,17 @@ def linked(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col:
     """``id, n_a, n_b, n_groups, n_links, groups_sha256, links``: all links of a document as pair numbers, in order of these."""
     kind = "int" if files.sizes[0] * files.sizes[1] < 1 << 31 else "long"
     rows = slim(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    place = ["number", "id", "parts"]
-    # each step names what the one before it made more than once, so that Spark keeps the steps apart: what need not be a
-    # higher-order function then is compiled
-    shared = tokenised(rows, files, remembered).select(*place, "a", "b", F.array_intersect("ends_a", "ends_b").alias("common"))
-    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), ID_BITS) + MARK)
-    counts = [F.size(c).alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("common", "n_groups"))]
-    streams = shared.select(*place, *counts, F.sort_array(F.concat("a", "b", marks)).alias("stream"))
-    each = streams.select(*place, "n_a", "n_b", "n_groups", groups("stream", files.sizes[1]).alias("g"))
-    links = F.coalesce(F.flatten("g.links"), F.array().cast("array<bigint>")).cast(f"array<{kind}>")
-    return assembled(each.select(*place, "n_a", "n_b", "n_groups", F.coalesce(F.array_join("g.text", ";"), F.lit("")).alias("text"), links.alias("links")), kind)
+    place = ["number", "id", "parts", "shapes", "ids"]
+    # each step names what the one before it made more than once, so that Spark keeps the steps apart
+    shared = tokenised(rows, files, remembered).select(*place, "ends_a", "ends_b", F.array_intersect("ends_a", "ends_b").alias("common"))
+    packed = lambda c, first: F.transform(c, lambda e, i: F.shiftleft(e.cast("long"), PLACE_BITS) + first + i)
+    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), PLACE_BITS) + F.lit(MARK))
+    counts = [F.size(c).cast("long").alias(n) for c, n in (("ends_a", "n_a"), ("ends_b", "n_b"), ("common", "n_groups"))]
+    streams = shared.select(*place, *counts, F.sort_array(F.concat(packed("ends_a", F.lit(0)), packed("ends_b", F.size("ends_a") + F.lit(SIDE)), marks)).alias("stream"))
+    each = streams.select(*place, "n_a", "n_b", "n_groups", groups("stream").alias("g"))
+    places = [F.coalesce(F.flatten(f"g.{c}"), F.array().cast("array<bigint>")).alias(c) for c in ("order", "links")]
+    done = each.select(*place, "n_a", "n_b", "n_groups", F.coalesce(F.array_join("g.text", ";"), F.lit("")).alias("text"), *places)
+    return assembled(done, files.sizes[1], kind)
 
 
 def pair_counts(held: DataFrame, size_b: int) -> DataFrame:

@@ -300,6 +300,22 @@ def test_groups_are_made_once_a_stretch(spark, files, monkeypatch, remembered):
     assert got == brute_alignment(files, [tuple(r) for r in frame.collect()])
 
 
+@pytest.mark.parametrize("most", [0, 30_000])
+def test_groups_are_made_once_a_shape(spark, files, monkeypatch, most):
+    monkeypatch.setattr(token_alignment, "SHAPES", most)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 7))) for _ in range(400)] + ["q" * 70, "é" * 40]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    worker = token_alignment._Worker(files)
+    used = {w for _, text in rows for w in text.split(" ")}
+    ids = [(worker.a.encode(" " + w, add_special_tokens=False).ids, worker.b.encode(w)) for w in used]
+    shapes = {tuple(tuple(np.cumsum(worker.n_bytes[side][own[side]]).tolist()) for side in (0, 1)) for own in ids}
+    made = token_alignment.tokenised(frame, files).where("number is not null").count()
+    assert made == len(shapes) < len(used)
+    assert sorted(map(tuple, token_alignment.align(frame, files, "id").collect()), key=str) == brute_alignment(files, rows)
+
+
 def test_stretches_have_the_tokens_of_the_whole(files):
     rng = random.Random(8)
     worker = token_alignment._Worker(files)
