@@ -42,7 +42,8 @@ from helixspark.plans.scratch import keep
 from .tables import slim
 
 BLOCK_CHARS = 1_000_000
-BLOCK_PARTS = 1 << 18  # stretches of the documents put together at a time, unless one has more
+BATCH_ROWS = 500  # documents given to Python at a time
+BLOCK_PARTS = 1 << 17  # stretches of the documents put together at a time, unless one has more
 REMEMBERED = 150_000  # stretches that a task remembers
 SHAPES = 30_000  # shapes that a task remembers
 HOT_PAIRS = 65_536
@@ -315,6 +316,7 @@ class _Assembler:
         self.shapes: list[tuple[bytes, np.ndarray, np.ndarray]] = []
         self.shape_counts = np.zeros((0, 3), dtype=np.int64)
         #: of a stretch: where its text, with a ``;`` behind, and its links are
+        self.n = 0
         self.at = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros((0, 3), dtype=np.int64)
         self.texts = self.links = pa.array([], pa.large_binary())
@@ -355,9 +357,10 @@ class _Assembler:
         self.at[number] = np.arange(len(number)) + len(self.texts)
         self.texts = pa.concat_arrays([self.texts, _binaries(np.where(behind, np.uint8(ord(";")), text), np.flatnonzero(behind) + 1)])
         self.links = pa.concat_arrays([self.links, _binaries(pairs.astype(self.own), ends * self.own.itemsize)])
-        if len(self.texts) > 2 * len(self.at) + 20_000:  # of numbers given anew the former stretches go
-            self.texts, self.links = (x.take(pa.array(self.at)) for x in (self.texts, self.links))
-            self.at = np.arange(len(self.at))
+        self.n = max(self.n, int(number.max()) + 1)
+        if len(self.texts) > 1.5 * self.n + 20_000:  # of numbers given anew the former stretches go
+            self.texts, self.links = (x.take(pa.array(self.at[: self.n])) for x in (self.texts, self.links))
+            self.at[: self.n] = np.arange(self.n)
 
     def documents(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         flat, lengths = rows.column("parts").flatten().to_numpy(), rows.column("parts").value_lengths().to_numpy()
@@ -495,7 +498,14 @@ def pair_counts(held: DataFrame, size_b: int) -> DataFrame:
 
 def align(docs: DataFrame, files: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of each document."""
-    held = keep(linked(docs, files, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "aligned")
+    spark, rows_a_batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = int(spark.conf.get(rows_a_batch))
+    # rows are whole texts and all stretches of a block: a batch of the usual number holds a task's
+    spark.conf.set(rows_a_batch, str(min(usual, BATCH_ROWS) if usual > 0 else BATCH_ROWS))
+    try:
+        held = keep(linked(docs, files, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "aligned")
+    finally:
+        spark.conf.set(rows_a_batch, str(usual))
     counts = keep(pair_counts(held, files.sizes[1]), "pair-counts")
     hot = F.broadcast(keep(counts.orderBy(F.col("n").desc(), "pair").limit(HOT_PAIRS), "hot-pairs"))
     each = held.select("row", F.explode("links").alias("pair"))
