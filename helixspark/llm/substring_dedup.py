@@ -229,7 +229,9 @@ def near_paragraphs(rows: DataFrame, min_words: int, params: MinHash) -> DataFra
 
         def sets_of(nodes: DataFrame) -> DataFrame:
             texts_of = sift(where.select(F.col("pid").alias("id"), F.col("doc"), "th"), bitmap(nodes, "id"), "id").select(F.col("doc").alias("id"), "th").distinct()
-            return full_sets(sift(rows, bitmap(texts_of, "id", "th"), "id", "th"), params, cut)
+            sets = full_sets(sift(rows, bitmap(texts_of, "id", "th"), "id", "th"), params, cut)
+            # most lines of these texts are no nodes
+            return sift(sets, bitmap(nodes, "id"), "id").join(nodes, "id", "left_semi")
 
         grouped = groups_of(sig.drop("doc", "th", "start", "n_words"), sets_of, params).select("id", "component_id")
         counts = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")

@@ -214,6 +214,26 @@ def test_near_paragraphs_are_found(spark):
     assert {(r["id"], r["start"], r["n_words"], r["removed"]) for r in got} == {(0, 3, 80, False), (2, 2, 80, True)}
 
 
+def test_sets_of_paragraphs_are_the_candidates_alone(spark, monkeypatch):
+    rng = random.Random(31)
+    shared = prose(rng, 30)
+    texts = ["\n".join([*[prose(rng, 12) for _ in range(9)], edited(rng, shared, 1)]) for _ in range(4)]
+    seen, groups_of = [], substring_dedup.groups_of
+
+    def spied(sig, sets_of, params):
+        def spied_sets(nodes):
+            sets = sets_of(nodes)
+            seen.append((sorted(r[0] for r in sets.select("id").collect()), sorted(r[0] for r in nodes.collect())))
+            return sets
+
+        return groups_of(sig, spied_sets, params)
+
+    monkeypatch.setattr(substring_dedup, "groups_of", spied)
+    substring_dedup.near_paragraphs(substring_dedup.texts(table(spark, texts), "doc_id", "text"), 5, substring_dedup.PARAGRAPH_HASH).collect()
+    [(ids, nodes)] = seen
+    assert len(nodes) >= 2 and ids == nodes
+
+
 def test_passages_odd_rows(spark):
     rng = random.Random(6)
     same = prose(rng, 70)
