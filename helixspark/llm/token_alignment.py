@@ -45,7 +45,7 @@ BLOCK_CHARS = 1_000_000
 BATCH_ROWS = 500  # documents given to Python at a time
 BLOCK_PARTS = 1 << 17  # stretches of the documents put together at a time, unless one has more
 REMEMBERED = 150_000  # stretches that a task remembers
-SHAPES = 30_000  # shapes that a task remembers
+SHAPES = 60_000  # shapes that a task remembers
 HOT_PAIRS = 65_536
 PLACE_BITS = 32  # of a packed token: the side in the highest, then the place; all ones mark a common end
 MARK = (1 << PLACE_BITS) - 1
@@ -54,6 +54,7 @@ SIDE = 1 << (PLACE_BITS - 1)
 SAFE = "[!-~¡-ɏ]"
 _BREAK = re.compile(f"(?<={SAFE}) (?={SAFE})")
 _WHOLE = re.compile(f"{SAFE}(?:.*{SAFE})?", re.S)
+_ODD = re.compile(f"[^ \n{SAFE[1:-1]}]")
 
 
 @dataclass
@@ -107,7 +108,11 @@ class _Worker:
         self.known: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
 
     def stretches(self, text: str) -> list[str]:
-        return _BREAK.split(text) if self.splits else [text]
+        if not self.splits:
+            return [text]
+        # of such a text every space is a break
+        plain = not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _ODD.search(text))
+        return text.split(" ") if plain else _BREAK.split(text)
 
     def encoded(self, new: list[str]) -> Iterator[tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]]:
         """(stretches, of each side their ids one after the other and how many each has), in other order and some thousands at

@@ -316,6 +316,21 @@ def test_groups_are_made_once_a_shape(spark, files, monkeypatch, most):
     assert sorted(map(tuple, token_alignment.align(frame, files, "id").collect()), key=str) == brute_alignment(files, rows)
 
 
+def test_plain_texts_are_cut_without_the_pattern(files, monkeypatch):
+    rng = random.Random(9)
+    worker, pattern = token_alignment._Worker(files), token_alignment._BREAK
+    texts = ["".join(rng.choice(["a", "É", "b-c", "ɏ", "ɐ", " ", " ", "\n", "\t", "\u00a0", "¡", "日"]) for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    texts += [" ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "a\nb c", "\n", "a\x7f b"]
+    assert [worker.stretches(x) for x in texts] == [pattern.split(x) for x in texts]
+
+    class Unused:
+        def split(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(token_alignment, "_BREAK", Unused())
+    assert worker.stretches("the first é line,\nand another one") == ["the", "first", "é", "line,\nand", "another", "one"]
+
+
 def test_stretches_have_the_tokens_of_the_whole(files):
     rng = random.Random(8)
     worker = token_alignment._Worker(files)
